@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from arcstep.llm import bpe, chat_format, quality_rules
+from arcstep.llm import bpe, chat_format, packing, quality_rules
 
-MODULES = (bpe, chat_format, quality_rules)
+MODULES = (bpe, chat_format, packing, quality_rules)
 
 
 def queries() -> dict:
