@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from arcstep.llm import bpe, chat_format, packing, quality_rules
+from arcstep.llm import bpe, chat_format, packing, quality_rules, url_filter
 
-MODULES = (bpe, chat_format, packing, quality_rules)
+MODULES = (bpe, chat_format, packing, quality_rules, url_filter)
 
 
 def queries() -> dict:
