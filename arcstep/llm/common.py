@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The separators of a word: a word is a maximal run of other characters.
 WORD_SEPARATORS = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -57,7 +58,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def map_batches(
-    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
+    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType
 ) -> DataFrame:
     """``mapInArrow`` after making sure that the workers can import this package."""
     ship_package(df.sparkSession)

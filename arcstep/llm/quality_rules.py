@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arcstep.llm.common import WORD_SEPARATORS, map_batches, table
 
@@ -168,7 +169,7 @@ def keep_good(docs: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
     join and no shuffle is needed.
     """
     names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    schema = T.StructType(list(docs.schema.fields))
     at = names.index("text")
     measures = [x.split()[0] for x in MEASURES.split(", ")]
     own = [f"__m_{x}" for x in measures]
@@ -180,7 +181,9 @@ def keep_good(docs: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
             arrays = [pa.array(list(c), pa.int64()) for c in columns]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, *own])
 
-    measured = map_batches(docs, both, schema + "".join(f", `{x}` long" for x in own))
+    for x in own:
+        schema = schema.add(x, T.LongType())
+    measured = map_batches(docs, both, schema)
     inner = measured.select(F.struct(*[F.col(x) for x in names]).alias("d"), *[F.col(o).alias(m) for o, m in zip(own, measures, strict=True)])
     kept = inner.withColumn("failed", mask_of()).where(
         F.col("failed").bitwiseAND(F.lit(policy_mask("base") | policy_mask(policy))) == 0
