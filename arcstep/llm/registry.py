@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from arcstep.llm import bpe, chat_format, license_scan, line_dedup, packing, quality_rules, url_filter
+from arcstep.llm import bpe, chat_format, license_scan, line_dedup, ngram_join, packing, quality_rules, url_filter
 
-MODULES = (bpe, chat_format, license_scan, line_dedup, packing, quality_rules, url_filter)
+MODULES = (bpe, chat_format, license_scan, line_dedup, ngram_join, packing, quality_rules, url_filter)
 
 
 def queries() -> dict:

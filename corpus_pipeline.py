@@ -1,24 +1,66 @@
-"""The corpus pipeline: quality rules, line dedup, near duplicates, packing."""
+"""The corpus pipeline: quality rules, line dedup, near duplicates, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on everything that the one
+before kept; all but the last return the columns of ``documents``. Documents are
+told apart by doc_id, which the pipeline takes to be unique, as it is in the
+table. ``text`` and, after line dedup, ``n_chars`` follow the decisions.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from arcstep.llm import quality_rules
+from arcstep.llm import bpe, line_dedup, ngram_join, packing, quality_rules
+from arcstep.llm.common import checkpoint
 
+#: SQL has no tokenizer, so the pipeline's rows are tested against a brute-force version.
 ORACLE_SQL = None
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the default policy of the quality rules keeps."""
     return quality_rules.keep_good(docs)
 
 
-STAGES = [("quality_rules", rules_stage)]
+def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their repeated runs of lines; those that lose every line go."""
+    done = line_dedup.dedup_lines(docs)
+    kept = done.where("dedup.n_lines = 0 or dedup.n_removed < dedup.n_lines").drop("dedup")
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of every group of near duplicates."""
+    found = ngram_join.near_duplicates(docs)
+    gone = found.where("doc_id <> component_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents kept."""
+    return packing.pack(docs, bpe.vocabulary_path())
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", rules_stage),
+    ("line_dedup", lines_stage),
+    ("ngram_jaccard_join", near_stage),
+    ("packing", packing_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; between stages the rows go to the shared checkpoint folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = checkpoint(docs)
     return docs
