@@ -298,9 +298,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     classes = checkpoint(vector_classes(vectors))
     total = classes.count()
     head = classes.select("c", "v").orderBy("c").limit(FIT_ROWS).collect()
-    size = len(head[0]["v"]) if head else 0
-    sample = np.array([r["v"] for r in head if len(r["v"]) == size], dtype=np.float64).reshape(-1, size)
     if total:
+        lengths = [len(r["v"]) for r in head]
+        size = max(set(lengths), key=lambda n: (lengths.count(n), n))
+        sample = np.array([r["v"] for r in head if len(r["v"]) == size], dtype=np.float64)
         quantiser = fit(sample / np.linalg.norm(sample, axis=1, keepdims=True), total, cosine)
         rows = checkpoint(assigned(classes, quantiser))
         inner = rows.where("inner").groupBy("home").agg(F.sum("w").alias("all"), F.min("c").alias("other"))
