@@ -86,6 +86,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         .distinct()
     )
     links = checkpoint(links)
+    if links.isEmpty():
+        return links.select(F.col("u").alias("node"), F.col("v").alias("component_id"))
     before = None
     for _ in range(max_rounds):
         # Large star: every larger neighbour of u goes to u's smallest neighbour (or u itself).

@@ -15,10 +15,13 @@ Documents are sets of hashed 5-word shingles; two link at a Jaccard similarity o
    follows the size of the set, so a class indexes a bounded multiple of its
    prefix. If two sets link, at most a fifth of the shorter-reaching prefix is
    unshared, so a single or a pair remains that both index.
-4. Classes that share an index entry are candidates. As only components are
-   asked for, an entry's classes are compared with one pivot at a time while
-   many are left, and components found are merged; once few pairs of different
-   components are left, all of them are compared. Similarities are exact.
+4. Classes that share an index entry are candidates; of entries with the same
+   classes one is kept. As only components are asked for, each entry's classes
+   are first compared with one of them, and components found are merged. In the
+   entries that still hold several components every pair of them is a candidate:
+   blocks of bounded size compare sizes and parity sketches, which bound the
+   symmetric difference from below, and only pairs that pass are rows. Whether a
+   pair links is decided on the whole sets.
 
 Words are what the six ASCII separators part; A-Z are lower-cased. Hashes have 64
 bits, and equal hashes count as equal shingles.
@@ -41,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcstep.llm.common import checkpoint, connected_components, map_batches, table
+from arcstep.llm.common import checkpoint, connected_components, map_batches, next_power_of_two, table
 from arcstep.llm.shingles import mix, shingle_sets
 
 #: Share of the hash range whose tokens are counted in step 1.
@@ -50,10 +53,12 @@ COUNTED = 0.3
 FREQUENT = 16
 #: Frequent tokens at most; the list is sent to the tasks and takes eight bytes each.
 MAX_FREQUENT = 1 << 18
-#: Step 4 compares everything once it is at most this many pairs for each index row.
-FEW_PAIRS = 2
-#: Pivot rounds at most before everything left is compared.
-MAX_PIVOTS = 8
+#: Bits of the filter of documents left after step 1; its size is fixed, and others that it lets through cost time only.
+FILTER_BITS = 1 << 26
+#: A parity sketch has a bit for each token of the set, rounded up to a power of two, and at least this many.
+SKETCH_BITS = 1 << 8
+#: Classes on either side of a block of candidates, and index rows that one task group takes together.
+BLOCK = 1 << 10
 #: Similarity of a link, as a fraction.
 SIMILAR = (80, 100)
 
@@ -106,7 +111,7 @@ def _counted_tokens(docs: DataFrame) -> DataFrame:
 
 
 def candidates_left(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(c, n, doc_id) of the classes that step 1 cannot rule out, doc_id being one of the class."""
+    """(c, doc_id) of the classes that step 1 cannot rule out, doc_id being one document of each."""
     classes = sets.where("n > 1").groupBy("c", "n").agg(F.min("doc_id").alias("doc_id"))
     own = (
         _counted_tokens(docs)
@@ -116,32 +121,50 @@ def candidates_left(docs: DataFrame, sets: DataFrame) -> DataFrame:
         .groupBy("c")
         .agg(F.count(F.lit(1)).alias("own"))
     )
-    return classes.join(own, "c", "left").where("own is null or 5 * own <= n").select("c", "n", "doc_id")
+    return classes.join(own, "c", "left").where("own is null or 5 * own <= n").select("c", "doc_id")
+
+
+def document_filter(left: DataFrame) -> np.ndarray:
+    """A bit for one document of every class left, at a place given by its id; at most FILTER_BITS / 64 rows are fetched."""
+    placed = left.where("doc_id is not null").select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("place"))
+    words = placed.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits"))
+    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    found = words.toPandas()
+    out[found["word"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64)
+    return out.view(np.uint64)
 
 
 def token_sets(docs: DataFrame, left: DataFrame) -> DataFrame:
-    """(c, n, tokens) of the classes left, tokens sorted as unsigned numbers."""
+    """(c, n, tokens) of the classes left, tokens sorted as unsigned numbers.
+
+    A document that the filter lets through although it is not wanted, or a
+    second one of a class, adds rows that change no result.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(document_filter(left))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
         for batch in batches:
-            wanted = batch.column(0).to_pylist()
-            names, sizes, tokens = [], [], []
-            for c, s in zip(wanted, shingle_sets(batch.column(1).to_pylist()), strict=True):
-                if len(s) and _class_of(s) == c:  # other rows may bear the same doc_id
-                    names.append(c)
-                    sizes.append(len(s))
-                    tokens.append(s.view(np.int64))
-            offsets = np.cumsum([0, *sizes]).astype(np.int32)
-            values = np.concatenate(tokens) if tokens else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
-                ["c", "n", "tokens"],
-            )
-
-    # A null doc_id must find its text too, so ids are joined with nulls equal.
-    ids = left.select("c", F.col("doc_id").alias("rep"))
-    texts = _texts(docs).join(ids, F.col("doc_id").eqNullSafe(F.col("rep"))).select("c", "text")
-    return map_batches(texts, run, "c long, n long, tokens array<long>").dropDuplicates(["c"])
+            places = batch.column(0).to_numpy(zero_copy_only=False)
+            wanted = (bits[places >> 6] >> (places & 63).astype(np.uint64)) & np.uint64(1) != 0
+            # A class may have null ids only.
+            wanted |= batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            texts = batch.column(2).filter(pa.array(wanted)).to_pylist()
+            for at in range(0, len(texts), 512):
+                found = [s for s in shingle_sets(texts[at : at + 512]) if len(s) > 1]
+                sizes = [len(s) for s in found]
+                offsets = np.cumsum([0, *sizes]).astype(np.int32)
+                values = np.concatenate(found).view(np.int64) if found else np.zeros(0, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([_class_of(s) for s in found], pa.int64()), pa.array(sizes, pa.int64()),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
+                    ],
+                    ["c", "n", "tokens"],
+                )
+
+    placed = _texts(docs).select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("place"), "doc_id", "text")
+    return map_batches(placed, run, "c long, n long, tokens array<long>")
 
 
 def frequent_tokens(sets: DataFrame) -> np.ndarray:
@@ -223,8 +246,65 @@ def index_rows(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
             )
 
     rows = map_batches(sets.select("c", "n", "tokens"), run, "entry long, c long, n long")
-    shared = rows.groupBy("entry").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("entry")
-    return rows.join(shared, "entry")
+    # Entries with the same classes are told by count, sum and parity of the classes' hashes.
+    shape = rows.groupBy("entry").agg(
+        F.count(F.lit(1)).alias("k"),
+        F.sum(F.shiftright(F.xxhash64("c", F.lit(1)), 24)).alias("s"),
+        F.bit_xor(F.xxhash64("c", F.lit(2))).alias("x"),
+    )
+    chosen = shape.where("k > 1").groupBy("k", "s", "x").agg(F.min("entry").alias("entry")).select("entry", "k")
+    return rows.join(chosen, "entry")
+
+
+def sketches(sets: DataFrame) -> DataFrame:
+    """(c, sketch): for each place whether an odd number of the set's tokens fall there; the low bits of a token give its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, cuts = batch.column(1).values.to_numpy(), batch.column(1).offsets.to_numpy()
+            odd = []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                size = max(SKETCH_BITS, next_power_of_two(b - a))
+                odd.append(np.packbits(np.bincount(values[a:b] & (size - 1), minlength=size) & 1, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(odd, pa.binary())], ["c", "sketch"])
+
+    return map_batches(sets.select("c", "tokens"), run, "c long, sketch binary").dropDuplicates(["c"])
+
+
+def _differing(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Places in which sketches differ, rows by columns; a longer sketch is folded to the shorter one's length.
+
+    Where lengths differ by more than a factor of two the sizes cannot fit, and 0 is returned.
+    """
+    out = np.zeros((len(x), len(y)), dtype=np.int64)
+    lx, ly = np.array([len(v) for v in x]), np.array([len(v) for v in y])
+    for size in np.unique(np.concatenate((lx, ly))):
+        for i, j in (((lx == size), (ly == size)), ((lx == size), (ly == 2 * size)), ((lx == 2 * size), (ly == size))):
+            i, j = np.flatnonzero(i), np.flatnonzero(j)
+            if not len(i) or not len(j):
+                continue
+            fold = lambda v: v if len(v) == size else v[:size] ^ v[size:]  # noqa: B023, E731
+            a, b = np.array([fold(x[k]) for k in i]), np.array([fold(y[k]) for k in j])
+            differ = np.zeros((len(i), len(j)), dtype=np.int64)
+            for k in range(size):
+                differ += np.bitwise_count(a[:, k][:, None] ^ b[:, k][None])
+            out[np.ix_(i, j)] = differ
+    return out
+
+
+def _bits(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(v, dtype=np.uint64) for v in column.to_pylist()]
+
+
+def may_link(n: np.ndarray, m: np.ndarray, sketch: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """Pairwise (rows by columns): sizes fit, and the sketches allow a link.
+
+    Sets of sizes n and m that link differ in at most (n + m)(1 - t)/(1 + t) tokens.
+    """
+    low, high = np.minimum(n[:, None], m[None]), np.maximum(n[:, None], m[None])
+    fits = SIMILAR[1] * low >= SIMILAR[0] * high
+    differ = _differing(sketch, other)
+    return fits & (differ * (SIMILAR[1] + SIMILAR[0]) <= (low + high) * (SIMILAR[1] - SIMILAR[0]))
 
 
 def _sizes_fit(n: str, m: str) -> str:
@@ -253,58 +333,88 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_batches(both, run, "a long, b long")
 
 
+def _sweep(group: pa.Table) -> pa.Table:
+    """Candidate pairs of different components inside each entry of one task group."""
+    get = lambda name: group.column(name).to_numpy()
+    entry, c, n, comp, own = (get(x) for x in ("entry", "c", "n", "comp", "own"))
+    i0, j0 = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+    bits = _bits(group.column("sketch"))
+    order = np.argsort(entry, kind="stable")
+    cuts = np.flatnonzero(np.concatenate(([True], np.diff(entry[order]) != 0, [True])))
+    left, right = [], []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        rows = order[a:b]
+        x, y = (rows, rows) if i0 == j0 else (rows[own[rows] == i0], rows[own[rows] == j0])
+        if not len(x) or not len(y):
+            continue
+        ok = (comp[x][:, None] < comp[y][None]) if i0 == j0 else (comp[x][:, None] != comp[y][None])
+        ok &= may_link(n[x], n[y], [bits[k] for k in x], [bits[k] for k in y])
+        p, q = np.nonzero(ok)
+        left.append(x[p])
+        right.append(y[q])
+    p, q = (np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for v in (left, right))
+    swap = comp[p] > comp[q]
+    p, q = np.where(swap, q, p), np.where(swap, p, q)
+    return pa.table({"a": c[p], "b": c[q], "ca": comp[p], "cb": comp[q]})
+
+
+def swept_pairs(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """(a, b, ca, cb): pairs of classes of different components that share an entry and may link.
+
+    ``rows`` has entry, k (the entry's classes), c, n and comp. Small entries are
+    put together into task groups; large ones are cut into blocks, each pair of
+    which is a group of its own.
+    """
+    total = rows.count()
+    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
+    dealt = (
+        rows.join(marks, "c")
+        .withColumn("nb", blocks)
+        .withColumn("own", F.expr("cast(pmod(xxhash64(c, 5), nb) as int)"))
+        .withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
+        .withColumn("i", F.least("own", "other"))
+        .withColumn("j", F.greatest("own", "other"))
+        .withColumn("bucket", F.when(F.col("nb") > 1, F.col("entry")).otherwise(F.pmod(F.xxhash64("entry"), F.lit(total // (4 * BLOCK) + 1))))
+    )
+    out = dealt.select("bucket", "i", "j", "entry", "own", "c", "n", "comp", "sketch").groupBy("bucket", "i", "j").applyInArrow(_sweep, "a long, b long, ca long, cb long")
+    return out.distinct()
+
+
 def components(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """(c, comp) for the classes that link with another one."""
-    labels = None  # (c, comp): classes not in it are their own component
-    tested = None
-    for round_ in range(MAX_PIVOTS + 1):
-        if labels is None:
-            known = rows.withColumn("comp", F.col("c"))
-        else:
-            known = rows.join(labels, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-        mixed = (
-            known.groupBy("entry", "comp").agg(F.count(F.lit(1)).alias("k"))
-            .groupBy("entry").agg(F.count(F.lit(1)).alias("comps"), F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"))
-            .where("comps > 1")
-        )
-        mixed = checkpoint(mixed.select("entry", "s", "q"))
-        sums = mixed.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs"), F.sum("s").alias("rows")).first()
-        if not sums["rows"]:
-            break
-        everything = round_ == MAX_PIVOTS or sums["pairs"] <= FEW_PAIRS * sums["rows"]
-        open_rows = known.join(mixed.select("entry"), "entry")
-        if everything:
-            a = open_rows.select("entry", F.col("c").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            b = open_rows.select("entry", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            pairs = a.join(b, "entry").where("ca < cb")
-        else:
-            # The round's pivot of an entry: the entries of similar sets mostly agree on it.
-            open_rows = checkpoint(open_rows)
-            pivot = open_rows.groupBy("entry").agg(
-                F.min(F.struct(F.xxhash64("c", F.lit(round_)).alias("h"), "c", "n", "comp")).alias("p")
-            )
-            pairs = open_rows.join(pivot, "entry").select(
-                F.col("p.c").alias("a"), F.col("p.n").alias("na"), F.col("p.comp").alias("ca"),
-                F.col("c").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"),
-            ).where("ca <> cb")
-        pairs = pairs.where(_sizes_fit("na", "nb")).select("a", "b", "ca", "cb").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = checkpoint(pairs)
-        links = linked_pairs(pairs.select("a", "b"), sets)
-        joined = checkpoint(links.join(pairs, ["a", "b"]).select("ca", "cb").distinct())
-        merged = connected_components(joined, "ca", "cb").select(F.col("node").alias("comp"), F.col("component_id").alias("new"))
-        seen = known.select("c", "comp").distinct()
-        labels = checkpoint(
-            seen.join(merged, "comp", "left").select("c", F.coalesce("new", "comp").alias("comp"))
-        )
-        if everything:
-            break
-        both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        tested = both if tested is None else tested.unionByName(both)
-    if labels is None:
-        return rows.select("c", F.col("c").alias("comp")).limit(0)
-    return labels
+    """(c, comp) for the classes in the index; others are their own component."""
+    marks = checkpoint(sketches(sets))
+    # One class of each entry, the same one in most entries of similar sets, is compared with the others.
+    pivot = rows.groupBy("entry").agg(F.min(F.struct(F.xxhash64("c", F.lit(0)).alias("h"), "c", "n")).alias("p"))
+    star = (
+        rows.join(pivot, "entry").select(F.col("p.c").alias("a"), F.col("p.n").alias("na"), F.col("c").alias("b"), F.col("n").alias("nb"))
+        .where("a <> b").where(_sizes_fit("na", "nb")).distinct()
+    )
+    mark = lambda c, m: marks.select(F.col("c").alias(c), F.col("sketch").alias(m))
+    star = checkpoint(map_batches(star.join(mark("a", "ma"), "a").join(mark("b", "mb"), "b"), _may_link_rows, "a long, b long"))
+    links = checkpoint(linked_pairs(star, sets))
+    merged = connected_components(links).select(F.col("node").alias("c"), F.col("component_id").alias("comp"))
+    known = rows.join(merged, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    known = checkpoint(known)
+    mixed = known.groupBy("entry").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("entry")
+    pairs = checkpoint(swept_pairs(known.join(mixed, "entry"), marks))
+    more = linked_pairs(pairs.select("a", "b"), sets).join(pairs, ["a", "b"]).select("ca", "cb")
+    joined = connected_components(more, "ca", "cb").select(F.col("node").alias("comp"), F.col("component_id").alias("new"))
+    labels = known.select("c", "comp").distinct()
+    return labels.join(joined, "comp", "left").select("c", F.coalesce("new", "comp").alias("comp"))
+
+
+def _may_link_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) of rows (b, a, na, nb, ma, mb) whose sizes fit that the sketches allow."""
+    for batch in batches:
+        col = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+        differ = []
+        for x, y in zip(_bits(col["ma"]), _bits(col["mb"]), strict=True):
+            size = min(len(x), len(y))
+            x, y = (v if len(v) == size else v[:size] ^ v[size : 2 * size] for v in (x, y))
+            differ.append(int(np.bitwise_count(x ^ y).sum()))
+        both = col["na"].to_numpy() + col["nb"].to_numpy()
+        rows = pa.array(np.array(differ, dtype=np.int64) * (SIMILAR[1] + SIMILAR[0]) <= both * (SIMILAR[1] - SIMILAR[0]))
+        yield pa.RecordBatch.from_arrays([col["a"].filter(rows), col["b"].filter(rows)], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
