@@ -199,7 +199,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op8_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ablation counts of the default policy's rules."""
     return ablations(evaluate(table(spark, sf_dir, "documents")))
 
@@ -254,9 +254,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op8_quality_rules": _ledger_sql()
         + f"SELECT *, (failed & {base}) <> 0 AS base_failed, (failed & {base | enforced}) = 0 AS kept FROM led",
-        "op8_ablations": _ledger_sql() + f", e AS (SELECT failed & {enforced} AS m FROM led) {per_rule}",
+        "quality_ablations": _ledger_sql() + f", e AS (SELECT failed & {enforced} AS m FROM led) {per_rule}",
     }
 
 
 def queries() -> dict:
-    return {"op8_quality_rules": op8_quality_rules, "op8_ablations": op8_ablations}
+    return {"op8_quality_rules": op8_quality_rules, "quality_ablations": quality_ablations}
