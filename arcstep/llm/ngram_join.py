@@ -16,12 +16,12 @@ Documents are sets of hashed 5-word shingles; two link at a Jaccard similarity o
    prefix. If two sets link, at most a fifth of the shorter-reaching prefix is
    unshared, so a single or a pair remains that both index.
 4. Classes that share an index entry are candidates; of entries with the same
-   classes one is kept. As only components are asked for, each entry's classes
-   are first compared with one of them, and components found are merged. In the
-   entries that still hold several components every pair of them is a candidate:
-   blocks of bounded size compare sizes and parity sketches, which bound the
-   symmetric difference from below, and only pairs that pass are rows. Whether a
-   pair links is decided on the whole sets.
+   classes one is kept. Task groups of bounded size compare sizes and parity
+   sketches, which bound the symmetric difference from below. As only components
+   are asked for, each group first names a spanning forest of its candidates,
+   closest pairs first; these are decided on the whole sets, and components found
+   are merged. Then every candidate pair of different components is named and
+   decided.
 
 Words are what the six ASCII separators part; A-Z are lower-cased. Hashes have 64
 bits, and equal hashes count as equal shingles.
@@ -36,7 +36,7 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,10 +55,12 @@ FREQUENT = 16
 MAX_FREQUENT = 1 << 18
 #: Bits of the filter of documents left after step 1; its size is fixed, and others that it lets through cost time only.
 FILTER_BITS = 1 << 26
-#: A parity sketch has a bit for each token of the set, rounded up to a power of two, and at least this many.
+#: A parity sketch has two bits for each token of the set, rounded up to a power of two, and at least this many.
 SKETCH_BITS = 1 << 8
-#: Classes on either side of a block of candidates, and index rows that one task group takes together.
-BLOCK = 1 << 10
+#: Classes on either side of a block of candidates; an entry with more is cut into several.
+BLOCK = 1 << 12
+#: Index rows that one group of small entries holds at most, or little more.
+GROUP_ROWS = 1 << 15
 #: Similarity of a link, as a fraction.
 SIMILAR = (80, 100)
 
@@ -256,6 +258,11 @@ def index_rows(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
     return rows.join(chosen, "entry")
 
 
+def sketch_size(n: int) -> int:
+    """Bits of the sketch of a set of n tokens."""
+    return max(SKETCH_BITS, 2 * next_power_of_two(n))
+
+
 def sketches(sets: DataFrame) -> DataFrame:
     """(c, sketch): for each place whether an odd number of the set's tokens fall there; the low bits of a token give its place."""
 
@@ -264,7 +271,7 @@ def sketches(sets: DataFrame) -> DataFrame:
             values, cuts = batch.column(1).values.to_numpy(), batch.column(1).offsets.to_numpy()
             odd = []
             for a, b in zip(cuts[:-1], cuts[1:]):
-                size = max(SKETCH_BITS, next_power_of_two(b - a))
+                size = sketch_size(int(b - a))
                 odd.append(np.packbits(np.bincount(values[a:b] & (size - 1), minlength=size) & 1, bitorder="little").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(odd, pa.binary())], ["c", "sketch"])
 
@@ -301,14 +308,15 @@ def may_link(n: np.ndarray, m: np.ndarray, sketch: list[np.ndarray], other: list
 
     Sets of sizes n and m that link differ in at most (n + m)(1 - t)/(1 + t) tokens.
     """
+    return _compared(n, m, sketch, other)[0]
+
+
+def _compared(n: np.ndarray, m: np.ndarray, sketch: list[np.ndarray], other: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """``may_link`` and the share of tokens that differ at least."""
     low, high = np.minimum(n[:, None], m[None]), np.maximum(n[:, None], m[None])
     fits = SIMILAR[1] * low >= SIMILAR[0] * high
     differ = _differing(sketch, other)
-    return fits & (differ * (SIMILAR[1] + SIMILAR[0]) <= (low + high) * (SIMILAR[1] - SIMILAR[0]))
-
-
-def _sizes_fit(n: str, m: str) -> str:
-    return f"{SIMILAR[1]} * least({n}, {m}) >= {SIMILAR[0]} * greatest({n}, {m})"
+    return fits & (differ * (SIMILAR[1] + SIMILAR[0]) <= (low + high) * (SIMILAR[1] - SIMILAR[0])), differ / (low + high)
 
 
 def linked_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -333,90 +341,123 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_batches(both, run, "a long, b long")
 
 
-def _sweep(group: pa.Table) -> pa.Table:
-    """Candidate pairs of different components inside each entry of one task group."""
-    get = lambda name: group.column(name).to_numpy()
-    entry, c, n, comp, own = (get(x) for x in ("entry", "c", "n", "comp", "own"))
-    i0, j0 = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-    bits = _bits(group.column("sketch"))
-    order = np.argsort(entry, kind="stable")
-    cuts = np.flatnonzero(np.concatenate(([True], np.diff(entry[order]) != 0, [True])))
-    left, right = [], []
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        rows = order[a:b]
-        x, y = (rows, rows) if i0 == j0 else (rows[own[rows] == i0], rows[own[rows] == j0])
-        if not len(x) or not len(y):
-            continue
-        ok = (comp[x][:, None] < comp[y][None]) if i0 == j0 else (comp[x][:, None] != comp[y][None])
-        ok &= may_link(n[x], n[y], [bits[k] for k in x], [bits[k] for k in y])
-        p, q = np.nonzero(ok)
-        left.append(x[p])
-        right.append(y[q])
-    p, q = (np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for v in (left, right))
-    swap = comp[p] > comp[q]
-    p, q = np.where(swap, q, p), np.where(swap, p, q)
-    return pa.table({"a": c[p], "b": c[q], "ca": comp[p], "cb": comp[q]})
-
-
-def swept_pairs(rows: DataFrame, marks: DataFrame) -> DataFrame:
+def _forest(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Which of the edges (u, v), given closest first, make up a minimal spanning forest."""
+    size = int(max(u.max(), v.max())) + 1 if len(u) else 0
+    root = list(range(size))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    at, chosen = np.arange(len(u)), []
+    while len(at):
+        label = np.array([find(x) for x in range(size)])
+        at = at[label[u[at]] != label[v[at]]]
+        best = np.full(size, len(u))
+        np.minimum.at(best, label[u[at]], at)
+        np.minimum.at(best, label[v[at]], at)
+        picked = np.unique(best[best < len(u)])
+        for e in picked.tolist():
+            a, b = find(int(u[e])), find(int(v[e]))
+            root[max(a, b)] = min(a, b)
+        chosen.append(picked)
+    return np.concatenate(chosen) if chosen else at
+
+
+def _sweeper(forest: bool) -> Callable[[pa.Table], pa.Table]:
+    """Candidate pairs of different components inside the entries of one task group, all or a forest."""
+
+    def run(group: pa.Table) -> pa.Table:
+        get = lambda name: group.column(name).to_numpy()
+        entry, c, n, comp, own = (get(x) for x in ("entry", "c", "n", "comp", "own"))
+        i0, j0 = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        bits = _bits(group.column("sketch"))
+        order = np.argsort(entry, kind="stable")
+        cuts = np.flatnonzero(np.concatenate(([True], np.diff(entry[order]) != 0, [True])))
+        _, name = np.unique(c, return_inverse=True)
+        one = np.zeros(name.max() + 1, dtype=np.int64)  # a row of each class
+        one[name] = np.arange(len(c))
+        pairs, shares = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            rows = order[a:b]
+            x, y = (rows, rows) if i0 == j0 else (rows[own[rows] == i0], rows[own[rows] == j0])
+            other = [bits[k] for k in y]
+            for at in range(0, len(x), 512):
+                part = x[at : at + 512]
+                ok = comp[part][:, None] != comp[y][None]
+                if ok.any():
+                    may, share = _compared(n[part], n[y], [bits[k] for k in part], other)
+                    p, q = np.nonzero(ok & may)
+                    low, high = np.minimum(name[part[p]], name[y[q]]), np.maximum(name[part[p]], name[y[q]])
+                    code, first = np.unique(low * len(one) + high, return_index=True)
+                    pairs.append(code)
+                    shares.append(share[p, q][first])
+        found, first = np.unique(np.concatenate(pairs), return_index=True)
+        p, q = found // len(one), found % len(one)
+        if forest and len(found):
+            closest = np.argsort(np.concatenate(shares)[first], kind="stable")
+            p, q = p[closest], q[closest]
+            kept = _forest(p, q)
+            p, q = p[kept], q[kept]
+        p, q = one[p], one[q]
+        swap = c[p] > c[q]
+        p, q = np.where(swap, q, p), np.where(swap, p, q)
+        return pa.table({"a": c[p], "b": c[q], "ca": comp[p], "cb": comp[q]})
+
+    return run
+
+
+def swept_pairs(known: DataFrame, marks: DataFrame, forest: bool) -> DataFrame:
     """(a, b, ca, cb): pairs of classes of different components that share an entry and may link.
 
-    ``rows`` has entry, k (the entry's classes), c, n and comp. Small entries are
-    put together into task groups; large ones are cut into blocks, each pair of
-    which is a group of its own.
+    ``known`` has entry, c, n and comp. Entries led by the same least class mostly
+    hold the same classes, so they are put into one task group, which names a pair
+    once; groups are cut where they would hold more than GROUP_ROWS. An entry of
+    more than BLOCK classes is cut into blocks, each pair of which is a group.
     """
-    total = rows.count()
-    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
+    mixed = known.groupBy("entry").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("c").alias("lead"), F.count(F.lit(1)).alias("k")
+    ).where("lo <> hi").select("entry", "lead", "k")
+    mixed = checkpoint(mixed)
+    led = mixed.groupBy("lead").agg(F.sum("k").alias("rows"))
+    total = mixed.agg(F.sum("k")).first()[0] or 0
+    parts = F.ceil(F.col("rows") / GROUP_ROWS)
+    small = F.pmod(F.xxhash64("lead"), F.lit(8 * total // GROUP_ROWS + 1))
+    placed = mixed.join(led, "lead").select(
+        "entry",
+        F.ceil(F.col("k") / BLOCK).cast("int").alias("nb"),
+        F.when(F.col("rows") > GROUP_ROWS, F.col("lead")).otherwise(small).alias("bucket"),
+        F.pmod(F.xxhash64("entry"), parts).cast("int").alias("part"),
+    )
     dealt = (
-        rows.join(marks, "c")
-        .withColumn("nb", blocks)
+        known.join(placed, "entry")
+        .join(marks, "c")
         .withColumn("own", F.expr("cast(pmod(xxhash64(c, 5), nb) as int)"))
         .withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
         .withColumn("i", F.least("own", "other"))
         .withColumn("j", F.greatest("own", "other"))
-        .withColumn("bucket", F.when(F.col("nb") > 1, F.col("entry")).otherwise(F.pmod(F.xxhash64("entry"), F.lit(total // (4 * BLOCK) + 1))))
+        .withColumn("bucket", F.when(F.col("nb") > 1, F.col("entry")).otherwise(F.col("bucket")))
     )
-    out = dealt.select("bucket", "i", "j", "entry", "own", "c", "n", "comp", "sketch").groupBy("bucket", "i", "j").applyInArrow(_sweep, "a long, b long, ca long, cb long")
+    out = dealt.select("bucket", "part", "i", "j", "entry", "own", "c", "n", "comp", "sketch").groupBy("bucket", "part", "i", "j").applyInArrow(_sweeper(forest), "a long, b long, ca long, cb long")
     return out.distinct()
 
 
 def components(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """(c, comp) for the classes in the index; others are their own component."""
     marks = checkpoint(sketches(sets))
-    # One class of each entry, the same one in most entries of similar sets, is compared with the others.
-    pivot = rows.groupBy("entry").agg(F.min(F.struct(F.xxhash64("c", F.lit(0)).alias("h"), "c", "n")).alias("p"))
-    star = (
-        rows.join(pivot, "entry").select(F.col("p.c").alias("a"), F.col("p.n").alias("na"), F.col("c").alias("b"), F.col("n").alias("nb"))
-        .where("a <> b").where(_sizes_fit("na", "nb")).distinct()
-    )
-    mark = lambda c, m: marks.select(F.col("c").alias(c), F.col("sketch").alias(m))
-    star = checkpoint(map_batches(star.join(mark("a", "ma"), "a").join(mark("b", "mb"), "b"), _may_link_rows, "a long, b long"))
-    links = checkpoint(linked_pairs(star, sets))
-    merged = connected_components(links).select(F.col("node").alias("c"), F.col("component_id").alias("comp"))
-    known = rows.join(merged, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-    known = checkpoint(known)
-    mixed = known.groupBy("entry").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("entry")
-    pairs = checkpoint(swept_pairs(known.join(mixed, "entry"), marks))
+    tested = checkpoint(swept_pairs(rows.withColumn("comp", F.col("c")), marks, forest=True).select("a", "b"))
+    merged = connected_components(linked_pairs(tested, sets)).select(F.col("node").alias("c"), F.col("component_id").alias("comp"))
+    known = checkpoint(rows.join(merged, "c", "left").withColumn("comp", F.coalesce("comp", "c")))
+    pairs = checkpoint(swept_pairs(known, marks, forest=False).join(tested, ["a", "b"], "left_anti"))
     more = linked_pairs(pairs.select("a", "b"), sets).join(pairs, ["a", "b"]).select("ca", "cb")
     joined = connected_components(more, "ca", "cb").select(F.col("node").alias("comp"), F.col("component_id").alias("new"))
     labels = known.select("c", "comp").distinct()
     return labels.join(joined, "comp", "left").select("c", F.coalesce("new", "comp").alias("comp"))
 
 
-def _may_link_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b) of rows (b, a, na, nb, ma, mb) whose sizes fit that the sketches allow."""
-    for batch in batches:
-        col = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
-        differ = []
-        for x, y in zip(_bits(col["ma"]), _bits(col["mb"]), strict=True):
-            size = min(len(x), len(y))
-            x, y = (v if len(v) == size else v[:size] ^ v[size : 2 * size] for v in (x, y))
-            differ.append(int(np.bitwise_count(x ^ y).sum()))
-        both = col["na"].to_numpy() + col["nb"].to_numpy()
-        rows = pa.array(np.array(differ, dtype=np.int64) * (SIMILAR[1] + SIMILAR[0]) <= both * (SIMILAR[1] - SIMILAR[0]))
-        yield pa.RecordBatch.from_arrays([col["a"].filter(rows), col["b"].filter(rows)], ["a", "b"])
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     sets = checkpoint(document_sets(docs))

@@ -131,6 +131,7 @@ def brute_near(docs):
 def test_join_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "FREQUENT", 4)  # so that small data has frequent tokens, too
     monkeypatch.setattr(ngram_join, "BLOCK", 8)  # and large groups
+    monkeypatch.setattr(ngram_join, "GROUP_ROWS", 200)
     rng = random.Random(3)
     common = say(rng, 40)
     docs = []
@@ -183,7 +184,7 @@ def test_sketches_never_rule_out_a_link():
         y = np.unique(np.concatenate((x[rng.random(len(x)) > 0.09], rng.integers(0, 1 << 63, len(x) // 12, dtype=np.uint64))))
         sketch = []
         for s in (x, y):
-            size = max(ngram_join.SKETCH_BITS, 1 << max(0, int(np.ceil(np.log2(len(s))))))
+            size = ngram_join.sketch_size(len(s))
             sketch.append(np.frombuffer(np.packbits(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes(), dtype=np.uint64))
         both = len(np.intersect1d(x, y))
         if 100 * both >= 80 * (len(x) + len(y) - both):
