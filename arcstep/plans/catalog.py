@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcstep.operators import analysis, components, dataflow, dominance, graph, transform, traverse
+from arcstep.operators import analysis, calls, components, dataflow, dominance, graph, transform, traverse
 from arcstep.operators.frames import checkpoint, closure
 from arcstep.plans import sql
 from arcstep.plans.sql import with_
@@ -759,3 +759,37 @@ def effect_census(spark, d):
     """Instructions by kind over all programs."""
     return tables.programs(spark, d)[1].groupBy(F.col("name").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
+
+# -- calls, jumps and regions ----------------------------------------------------------------------------
+
+
+@query(_P + """, f AS (SELECT DISTINCT graph_id AS key FROM blk), c AS (SELECT graph_id, split_part(graph_id, '-', 1) || '-' || (value % 4)::VARCHAR AS callee FROM ins WHERE name = 'view')
+SELECT c.graph_id AS caller, c.callee, count(*) AS calls FROM c JOIN f ON f.key = c.callee GROUP BY ALL""")
+def call_graph(spark, d):
+    """Calls between programs of one user: a view calls the program that its value names."""
+    g, ins = tables.programs(spark, d)
+    callee = F.concat_ws("-", F.split("graph_id", "-")[0], (F.col("value") % 4).cast("string"))
+    marked = ins.withColumn("callee", F.when(F.col("name") == "view", callee))
+    cg = calls.call_graph(g.roots.select(F.col("graph_id").alias("key"), "graph_id"), marked)
+    name = lambda c, n: cg.nodes.select(F.col("node_id").alias(c), F.col("payload").alias(n))
+    return cg.live().join(name("src", "caller"), "src").join(name("dst", "callee"), "dst").groupBy("caller", "callee").agg(F.count(F.lit(1)).alias("calls"))
+
+
+@query(_P + """, l AS (SELECT graph_id, max(node_id) AS dst FROM blk WHERE first = 'signup' GROUP BY graph_id), j AS (SELECT graph_id, node_id AS src FROM blk WHERE last = 'error')
+SELECT j.graph_id, j.src, l.dst FROM j LEFT JOIN l USING (graph_id) WHERE l.dst IS NULL OR NOT EXISTS (SELECT 1 FROM pe WHERE pe.graph_id = j.graph_id AND pe.src = j.src AND pe.dst = l.dst AND kind = 'ConditionalTrue')""")
+def resolve_jumps(spark, d):
+    """Edges from errors to the last block labelled signup; a null target is unresolved."""
+    g, ins = tables.programs(spark, d)
+    marked = ins.withColumn("label", F.when((F.col("name") == "signup") & (F.col("idx") == 0), "signup")).withColumn("jump_target", F.when(F.col("name") == "error", "signup"))
+    new, lost = calls.resolve_jumps(g, marked)
+    return new.select("graph_id", "src", "dst").unionByName(lost.select("graph_id", F.col("block").alias("src"), F.lit(None).cast("long").alias("dst")))
+
+
+@query(_L + """, rg AS (SELECT graph_id, header, row_number() OVER (PARTITION BY graph_id ORDER BY header) - 1 AS region_id FROM (SELECT DISTINCT graph_id, header FROM body))
+SELECT b.graph_id, b.n AS block, max(region_id) AS region_id FROM body b JOIN rg ON rg.graph_id = b.graph_id AND rg.header = b.header GROUP BY ALL""")
+def protecting_regions(spark, d):
+    """The innermost region of each block, with loops as protected regions."""
+    _, _, _, bodies = _loops(spark, d)
+    lists = bodies.groupBy("graph_id", "header").agg(F.collect_list("node_id").alias("protected"))
+    regions = graph.intern(lists.select("graph_id", F.col("header").alias("key"), F.col("header").alias("seen"))).join(lists.withColumnRenamed("header", "key"), ["graph_id", "key"])
+    return calls.protecting_region(regions.select("graph_id", F.col("node_id").alias("region_id"), "protected"))
