@@ -1,4 +1,4 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by winnowing over line hashes, then over word hashes.
 
 A text is a sequence of lines with a word in them. A gram is the shortest run of
 whole lines, from a given line on, of at least ``GRAM_WORDS`` words. Of the grams
@@ -10,10 +10,19 @@ extended line by line both ways; and the later place's lines are deleted. A line
 that is deleted equals an earlier one, and the first of equal lines is never the
 later place, so one copy of every line stays.
 
+Runs that start or end inside a line are found in the same way with words for
+lines: a gram is ``GRAM_WORDS`` words in a row, wherever lines break, matches are
+extended word by word, and a match of ``RUN_WORDS`` words or more is deleted
+whatever of it the lines' matches have left, down to a part of a line.
+Fingerprints with nothing left near them are not looked up. A fingerprint that
+comes again within a gram's length is compared with its last place, so that
+a short period repeated many times gives few matches.
+
 Guarantee: of a run of at least ``RUN_WORDS`` words that repeats an earlier run,
 the part around its fingerprints is deleted; where the earlier run is the first
-that has these fingerprints, that is the whole run. No run of fewer than
-``GRAM_WORDS`` words is ever deleted.
+that has these fingerprints, that is the whole run. This holds for runs of words
+as for runs of whole lines. No match of fewer than ``GRAM_WORDS`` words on whole
+lines, or of fewer than ``RUN_WORDS`` words elsewhere, ever deletes anything.
 
 No step gathers the places of a fingerprint: the first place is a partial
 aggregate, and the join with it can be split where it is hot.
@@ -26,6 +35,7 @@ line before them; an empty table gives no rows; other columns pass through.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +51,70 @@ from arcstep.llm.common import WORD_SEPARATORS, checkpoint, map_batches, table
 GRAM_WORDS = 25
 #: A repeated run of this many words is certain to be found.
 RUN_WORDS = 50
+#: Bits of the filter of documents with a match of words; its size is fixed, and others that it lets through cost time only.
+FILTER_BITS = 1 << 26
+#: Word hashes that a worker keeps; the others are computed anew.
+MAX_WORDS = 500_000
+
+_WORD = re.compile(f"[^{WORD_SEPARATORS}]+")
+_BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+
+
+class _WordHashes(dict):
+    """From words to their hashes."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MAX_WORDS:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word) - (1 << 63)
+        return found
+
+
+class _Powers:
+    """The powers of an odd number and of its inverse modulo 2^64."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(0, dtype=np.uint64)
+
+    def first(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            size = 1 << max(12, n.bit_length())
+            power = lambda x: np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(size - 1, x, dtype=np.uint64))))
+            self.up, self.down = power(_BASE), power(pow(_BASE, -1, 1 << 64))
+        return self.up[:n], self.down[:n]
+
+
+_KNOWN, _POWERS = _WordHashes(), _Powers()
+
+
+def words_of(text: str | None) -> np.ndarray:
+    """The hashes of a text's words, across its lines."""
+    words = (text or "").encode().split()
+    return np.fromiter(map(_KNOWN.__getitem__, words), dtype=np.int64, count=len(words))
+
+
+def word_fingerprints(hashes: np.ndarray, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gram hashes, first words, and the distance from the same gram's last selected place (0 if over ``gram_words``)."""
+    n = len(hashes)
+    if n < run_words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    up, down = _POWERS.first(n)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes.view(np.uint64) * up)))
+    grams = (total[gram_words:] - total[:-gram_words]) * down[: n - gram_words + 1]
+    grams ^= grams >> np.uint64(32)
+    grams *= np.uint64(_MIX)
+    grams ^= grams >> np.uint64(29)
+    inside = np.lib.stride_tricks.sliding_window_view(grams, run_words - gram_words + 1)
+    at = inside.argmin(axis=1) + np.arange(len(inside))  # never decreases
+    at = at[np.concatenate(([True], at[1:] != at[:-1]))]
+    chosen = grams[at].view(np.int64)
+    gaps = np.zeros(len(at), np.int64)
+    order = np.lexsort((at, chosen))
+    same = np.flatnonzero(chosen[order[1:]] == chosen[order[:-1]]) + 1
+    if len(same):
+        apart = at[order[same]] - at[order[same - 1]]
+        gaps[order[same]] = np.where(apart <= gram_words, apart, 0)
+    return chosen, at, gaps
 
 
 def lines_of(text: str | None) -> tuple[list[int], list[int], list[int]]:
@@ -78,29 +152,39 @@ def fingerprints(hashes: list[int], words: list[int], gram_words: int = GRAM_WOR
 
 
 def index(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
-    """d, t (the document's key), the line hashes and the fingerprints of every document that has lines."""
+    """d, t (the document's key), the line hashes, the words up to each line's end and the fingerprints of every document that has some."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, prints, places, keep = [], [], [], []
+            hashes, prints, places, ends, keep = [], [], [], [], []
+            in_words: list[tuple] = []
             for text in batch.column(2).to_pylist():
                 _, own, words = lines_of(text)
                 found = fingerprints(own, words, gram_words, run_words)
-                keep.append(bool(found))
-                if found:
+                others = word_fingerprints(words_of(text), gram_words, run_words)
+                keep.append(bool(found) or len(others[0]) > 0)
+                if keep[-1]:
                     hashes.append(own)
                     prints.append([h for h, _ in found])
                     places.append([k for _, k in found])
+                    ends.append(np.cumsum(words))
+                    in_words.append(others)
             rows = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).filter(rows), batch.column(1).filter(rows),
                     pa.array(hashes, pa.list_(pa.int64())), pa.array(prints, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())),
+                    pa.array(ends, pa.list_(pa.int32())), pa.array([x for x, _, _ in in_words], pa.list_(pa.int64())),
+                    pa.array([x for _, x, _ in in_words], pa.list_(pa.int32())), pa.array([x for _, _, x in in_words], pa.list_(pa.int32())),
                 ],
-                ["d", "t", "hashes", "prints", "places"],
+                ["d", "t", "hashes", "prints", "places", "ends", "word_prints", "word_places", "gaps"],
             )
 
-    return map_batches(docs.select(*_key(), F.col("text").cast("string").alias("text")), run, "d long, t long, hashes array<long>, prints array<long>, places array<int>")
+    return map_batches(
+        docs.select(*_key(), F.col("text").cast("string").alias("text")),
+        run,
+        "d long, t long, hashes array<long>, prints array<long>, places array<int>, ends array<int>, word_prints array<long>, word_places array<int>, gaps array<int>",
+    )
 
 
 def _key() -> tuple:
@@ -111,16 +195,18 @@ def _key() -> tuple:
     )
 
 
-def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Maximal runs of equal lines around the anchors; rows: d, t, anchors, from, source lines, own lines."""
+def _extend(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Maximal runs of equal units around the anchors, of at least so many; rows: d, t, anchors, from, source units, own units."""
     for batch in batches:
         firsts, lasts = [], []
-        for anchors, start, there, here in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
-            own = np.array(here[start : start + len(there)], dtype=np.int64)
-            # breaks: the places where lines differ, with sentinels at both ends.
-            breaks = np.concatenate(([-1], np.flatnonzero(own != np.array(there, dtype=np.int64)), [len(own)]))
-            at = np.searchsorted(breaks, np.array(anchors) - start)
+        for anchors, start, there, here in zip(*batch.columns[2:], strict=True):
+            start, there, here = start.as_py(), there.values.to_numpy(), here.values.to_numpy()
+            own = here[start : start + len(there)]
+            # breaks: the places where units differ, with sentinels at both ends.
+            breaks = np.concatenate(([-1], np.flatnonzero(own != there), [len(own)]))
+            at = np.searchsorted(breaks, anchors.values.to_numpy() - start)
             runs = np.unique(at)
+            runs = runs[breaks[runs] - breaks[runs - 1] > least]
             firsts.append((breaks[runs - 1] + 1 + start).tolist())
             lasts.append((breaks[runs] + start).tolist())
         yield pa.RecordBatch.from_arrays(
@@ -129,74 +215,179 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def repeated_runs(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
-    """d, t and runs, array<struct(first, last)>: the lines with a word to delete, ``last`` excluded."""
-    lines = checkpoint(index(docs, gram_words, run_words).dropDuplicates(["d", "t"]))
-    places = lines.select("d", "t", F.size("hashes").alias("n"), F.explode(F.arrays_zip("prints", "places")).alias("p")).select(
-        "d", "t", "n", F.col("p.prints").alias("print"), F.col("p.places").alias("pos")
-    )
-    first = (
+def _first_places(places: DataFrame) -> DataFrame:
+    """print, d0, t0, pos0: the first place of every fingerprint that has several."""
+    return (
         places.groupBy("print")
         .agg(F.min(F.struct("d", "t", "pos")).alias("at"), F.count(F.lit(1)).alias("c"))
         .where("c > 1")
         .select("print", F.col("at.d").alias("d0"), F.col("at.t").alias("t0"), F.col("at.pos").alias("pos0"))
     )
+
+
+def _extended(matches: DataFrame, units: DataFrame, least: int) -> DataFrame:
+    """d, t and runs of the documents that ``matches`` (d, t, n, d0, t0, shift, anchors; n units in all) and ``units`` (d, t, hashes) give."""
+    start = F.greatest(F.lit(0), -F.col("shift"))
+    # The source's units that lie opposite the document's own, for this shift.
+    source = units.select(F.col("d").alias("d0"), F.col("t").alias("t0"), F.col("hashes").alias("source"))
+    opposite = matches.join(source, ["d0", "t0"]).select(
+        "d", "t", "anchors", (start + F.col("shift")).cast("int").alias("start"),
+        F.expr("slice(source, greatest(0, -shift) + 1, least(n - greatest(0, -shift) - shift, size(source) - greatest(0, -shift)))").alias("there"),
+    )
+    both = opposite.join(units.select("d", "t", F.col("hashes").alias("here")), ["d", "t"])
+    runs = map_batches(both, lambda batches: _extend(batches, least), "d long, t long, firsts array<int>, lasts array<int>")
+    return (
+        runs.where("size(firsts) > 0")
+        .groupBy("d", "t")
+        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.expr("transform(arrays_zip(firsts, lasts), x -> struct(x.firsts as first, x.lasts as last))"))))).alias("runs"))
+    )
+
+
+def repeated_runs(lines: DataFrame) -> DataFrame:
+    """d, t and runs, array<struct(first, last)>: the lines with a word to delete, ``last`` excluded."""
+    places = lines.select("d", "t", F.size("hashes").alias("n"), F.explode(F.arrays_zip("prints", "places")).alias("p")).select(
+        "d", "t", "n", F.col("p.prints").alias("print"), F.col("p.places").alias("pos")
+    )
     matches = (
-        places.join(first, "print")
+        places.join(_first_places(places), "print")
         .where("not (d = d0 and t = t0 and pos = pos0)")
         .groupBy("d", "t", "n", "d0", "t0", (F.col("pos") - F.col("pos0")).alias("shift"))
         .agg(F.collect_set("pos").alias("anchors"))
     )
-    # The source's lines that lie opposite the document's own, for this shift.
-    start = F.greatest(F.lit(0), -F.col("shift"))
-    source = lines.select(F.col("d").alias("d0"), F.col("t").alias("t0"), F.col("hashes").alias("source"))
-    opposite = matches.join(source, ["d0", "t0"]).select(
-        "d", "t", "anchors", (start + F.col("shift")).alias("start"),
-        F.expr("slice(source, greatest(0, -shift) + 1, least(n - greatest(0, -shift) - shift, size(source) - greatest(0, -shift)))").alias("there"),
-    )
-    both = opposite.join(lines.select("d", "t", F.col("hashes").alias("here")), ["d", "t"])
-    runs = map_batches(both, _extend, "d long, t long, firsts array<int>, lasts array<int>")
-    return runs.groupBy("d", "t").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.expr("transform(arrays_zip(firsts, lasts), x -> struct(x.firsts as first, x.lasts as last))"))))).alias("runs")
+    return _extended(matches, lines.select("d", "t", "hashes"), 1)
+
+
+def _word_places(lines: DataFrame, runs: DataFrame, gram_words: int, run_words: int) -> DataFrame:
+    """d, t, n (the document's words), print, pos, gap and live of every fingerprint of words; live if the runs of lines leave a word near it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            live, sizes = [], []
+            for ends, places, dead in zip(*batch.columns[5:], strict=True):
+                at = places.values.to_numpy()
+                sizes.append(ends.values[-1].as_py())
+                if not dead.is_valid or not len(at):
+                    live.append(np.ones(len(at), dtype=bool))
+                    continue
+                ends = np.concatenate(([0], ends.values.to_numpy()))
+                alive = np.ones(ends[-1], dtype=np.int64)
+                for x in dead.as_py():
+                    alive[ends[x["first"]] : ends[x["last"]]] = 0
+                total = np.concatenate(([0], np.cumsum(alive)))
+                low, high = np.maximum(at - run_words, 0), np.minimum(at + gram_words + run_words, len(alive))
+                live.append(total[high] > total[low])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(live, pa.list_(pa.bool_())), pa.array(sizes, pa.int32())], ["d", "t", "prints", "places", "gaps", "live", "n"])
+
+    rows = lines.where("size(word_prints) > 0").select("d", "t", "word_prints", "word_places", "gaps", "ends")
+    joined = rows.join(runs, ["d", "t"], "left").select("d", "t", "word_prints", "word_places", "gaps", "ends", F.col("word_places").alias("at"), "runs")
+    flagged = map_batches(joined, run, "d long, t long, prints array<long>, places array<int>, gaps array<int>, live array<boolean>, n int")
+    return flagged.select("d", "t", "n", F.explode(F.arrays_zip("prints", "places", "gaps", "live")).alias("p")).select(
+        "d", "t", "n", F.col("p.prints").alias("print"), F.col("p.places").alias("pos"), F.col("p.gaps").alias("gap"), F.col("p.live").alias("live")
     )
 
 
-def delete_lines(text: str | None, runs: list[dict] | None) -> tuple[str | None, int, int, int]:
-    """The text without the runs' lines; lines with a word, lines deleted, words deleted."""
+def _matched_words(docs: DataFrame, matches: DataFrame) -> DataFrame:
+    """d, t and the word hashes of the documents that have a part in a match; at most FILTER_BITS / 64 rows are fetched."""
+    texts = matches.select("t").union(matches.select("t0")).distinct().select(F.pmod("t", F.lit(FILTER_BITS)).alias("place"))
+    found = texts.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits")).toPandas()
+    filled = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    filled[found["word"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64)
+    sent = docs.sparkSession.sparkContext.broadcast(filled.view(np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for batch in batches:
+            places = batch.column(1).to_numpy(zero_copy_only=False) % FILTER_BITS
+            rows = pa.array((bits[places >> 6] >> (places & 63).astype(np.uint64)) & np.uint64(1) != 0)
+            hashes = [words_of(x) for x in batch.column(2).filter(rows).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(rows), batch.column(1).filter(rows), pa.array(hashes, pa.list_(pa.int64()))], ["d", "t", "hashes"])
+
+    return map_batches(docs.select(*_key(), F.col("text").cast("string").alias("text")), run, "d long, t long, hashes array<long>").dropDuplicates(["d", "t"])
+
+
+def repeated_words(docs: DataFrame, lines: DataFrame, runs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
+    """d, t and spans, array<struct(first, last)>: the words to delete beside the lines of ``runs``, ``last`` excluded."""
+    places = _word_places(lines, runs, gram_words, run_words)
+    first = _first_places(places.where("gap = 0").select("d", "t", "print", "pos"))
+    apart = places.where("live and gap = 0").join(first, "print").where("not (d = d0 and t = t0 and pos = pos0)")
+    near = places.where("live and gap > 0").select("d", "t", "n", F.col("d").alias("d0"), F.col("t").alias("t0"), F.col("gap").alias("shift"), "pos")
+    matches = apart.select("d", "t", "n", "d0", "t0", (F.col("pos") - F.col("pos0")).alias("shift"), "pos").union(near)
+    matches = checkpoint(matches.groupBy("d", "t", "n", "d0", "t0", "shift").agg(F.collect_set("pos").alias("anchors")))
+    return _extended(matches, _matched_words(docs, matches), run_words).withColumnRenamed("runs", "spans")
+
+
+def _without(line: str, dead: np.ndarray) -> str:
+    """The line without its dead words, of which it has others; the white space before the next word goes with them."""
+    found = list(_WORD.finditer(line))
+    out, at = [], 0
+    for i, word in enumerate(found):
+        if dead[i]:
+            if i and not dead[i - 1]:
+                out.append(line[at : word.start()])
+            at = found[i + 1].start() if i + 1 < len(found) else word.end()
+            if i == 0:
+                out.append(line[: word.start()])
+    kept = "".join(out)
+    return (kept.rstrip(WORD_SEPARATORS) if dead[-1] else kept) + line[at:]
+
+
+def delete_lines(text: str | None, runs: list[dict] | None, spans: list[dict] | None = None) -> tuple[str | None, int, int, int]:
+    """The text without the runs' lines and the spans' words; lines with a word, lines and words deleted."""
     if not text:
         return text, 0, 0, 0
     lines = text.split("\n")
     places, _, words = lines_of(text)
-    if not runs:
+    if not runs and not spans:
         return text, len(places), 0, 0
-    gone = np.zeros(len(places) + 1, dtype=np.int64)
-    for run in runs:
-        gone[run["first"]] += 1
-        gone[run["last"]] -= 1
+    ends = np.concatenate(([0], np.cumsum(words, dtype=np.int64)))
+    gone = np.zeros(ends[-1] + 1, dtype=np.int64)
+    for first, last in [*((ends[x["first"]], ends[x["last"]]) for x in runs or ()), *((x["first"], x["last"]) for x in spans or ())]:
+        gone[first] += 1
+        gone[last] -= 1
     dead = np.cumsum(gone)[:-1] > 0
+    left = np.array(words, dtype=np.int64) - np.add.reduceat(dead.astype(np.int64), ends[:-1])
     keep = np.ones(len(lines), dtype=bool)
     for k, place in enumerate(places):  # blank lines share the fate of the line before them
-        if dead[k]:
+        if not left[k]:
             keep[place : places[k + 1] if k + 1 < len(places) else len(lines)] = False
+        elif left[k] < words[k]:
+            lines[place] = _without(lines[place], dead[ends[k] : ends[k + 1]])
     kept = "\n".join(line for line, stays in zip(lines, keep, strict=True) if stays)
-    return kept, len(places), int(dead.sum()), int(sum(w for w, x in zip(words, dead, strict=True) if x))
+    return kept, len(places), int((left == 0).sum()), int(dead.sum())
 
 
 def dedup_lines(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
-    """``docs`` with repeated runs deleted, and n_lines, n_removed and removed_words beside its columns.
+    """``docs`` with repeated runs of whole lines deleted, and n_lines, n_removed and removed_words beside its columns.
 
     The new columns are packed as struct ``dedup`` so that they cannot clash.
     """
-    runs = repeated_runs(docs, gram_words, run_words)
+    runs = repeated_runs(_indexed(docs, gram_words, run_words))
+    return _deleted(docs, runs.withColumn("spans", F.lit(None).cast(runs.schema["runs"].dataType)))
+
+
+def dedup_text(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
+    """As ``dedup_lines``, with repeated runs of words deleted too wherever lines break."""
+    lines = _indexed(docs, gram_words, run_words)
+    runs = checkpoint(repeated_runs(lines))
+    spans = repeated_words(docs, lines, runs, gram_words, run_words)
+    return _deleted(docs, runs.join(spans, ["d", "t"], "full"))
+
+
+def _indexed(docs: DataFrame, gram_words: int, run_words: int) -> DataFrame:
+    return checkpoint(index(docs, gram_words, run_words).dropDuplicates(["d", "t"]))
+
+
+def _deleted(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` without the lines and words that ``found`` (d, t, runs, spans) names."""
     names = docs.columns
     d, t = _key()
     keyed = docs.select(F.struct(*[F.col(f"`{x}`") for x in names]).alias("doc"), d, t)
-    joined = keyed.join(runs, ["d", "t"], "left").select("doc", "runs")
+    joined = keyed.join(found, ["d", "t"], "left").select("doc", "runs", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).field("text").to_pylist()
-            done = [delete_lines(x, r) for x, r in zip(texts, batch.column(1).to_pylist(), strict=True)]
+            done = [delete_lines(x, r, w) for x, r, w in zip(texts, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             columns = [[x[k] for x in done] for k in range(4)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(columns[0], pa.string()), *[pa.array(c, pa.int64()) for c in columns[1:]]],
@@ -214,7 +405,7 @@ def dedup_lines(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int =
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its repeated runs."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", "text", "dedup.n_lines", "dedup.n_removed", "dedup.removed_words")
+    return dedup_text(docs).select("doc_id", "text", "dedup.n_lines", "dedup.n_removed", "dedup.removed_words")
 
 
 def oracle_sql() -> dict[str, str]:

@@ -26,8 +26,8 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated runs of lines; those that lose every line go."""
-    done = line_dedup.dedup_lines(docs)
+    """Documents without their repeated runs of lines and words; those that lose every line go."""
+    done = line_dedup.dedup_text(docs)
     kept = done.where("dedup.n_lines = 0 or dedup.n_removed < dedup.n_lines").drop("dedup")
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

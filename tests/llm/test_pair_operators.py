@@ -109,6 +109,34 @@ def test_line_dedup_equals_brute_force(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_passages_inside_lines_are_found_wherever_lines_break(spark):
+    rng = random.Random(13)
+    passage = say(rng, 60).split()
+    cut = lambda: "".join(w + rng.choice([" ", " ", " ", "\n"]) for w in passage).strip()
+    docs = [(i, f"{say(rng, 30)} {cut()} {say(rng, 30)}\n{say(rng, 9)}") for i in range(30)]
+    docs += [(30, f"{docs[0][1]} and more"), (31, f"{say(rng, 5)} {' '.join(passage[:49])} {say(rng, 5)}"), (32, "word " * 3000), (33, " ".join(f"{say(rng, 3)} {' '.join(passage)}" for _ in range(3)))]
+    frame = spark.createDataFrame(docs, DOCS).repartition(4)
+    out = {r["doc_id"]: r for r in line_dedup.dedup_text(frame).collect()}
+    assert out[0]["text"] == docs[0][1]
+    for i in range(1, 30):
+        words = docs[i][1].split()
+        assert out[i]["text"].split() == words[:30] + words[90:] and out[i]["dedup"]["removed_words"] == 60, i
+        assert out[i]["text"].endswith("\n" + docs[i][1].rsplit("\n", 1)[1])
+    assert out[30]["text"].split() == ["and", "more"]
+    assert out[31]["text"] == docs[31][1]
+    assert set(out[32]["text"].split()) == {"word"} and len(out[32]["text"].split()) < 50
+    assert len(out[33]["text"].split()) == 9
+
+
+def test_words_deleted_from_a_line_leave_the_rest_as_it_was():
+    text = " a  b\tc d \n\ne f\n\n g\n"
+    cut = lambda *spans: line_dedup.delete_lines(text, None, [{"first": x, "last": y} for x, y in spans])
+    assert cut((0, 1)) == (" b\tc d \n\ne f\n\n g\n", 3, 0, 1)
+    assert cut((1, 3)) == (" a  d \n\ne f\n\n g\n", 3, 0, 2)
+    assert cut((3, 5)) == (" a  b\tc \n\nf\n\n g\n", 3, 0, 2)
+    assert cut((1, 2), (4, 7)) == (" a  c d \n", 3, 2, 4)
+
+
 # -- n-gram Jaccard join ---------------------------------------------------------
 
 
