@@ -219,7 +219,7 @@ def constants(graph: Graph, instrs: DataFrame, constant: str = "value") -> DataF
     return met.select("graph_id", "block", "variable", F.when(one, "CONST").otherwise("BOTTOM").alias("state"), F.when(one, F.col("value")).alias("value"))
 
 
-def copy_targets(instrs: DataFrame, max_hops: int = 64) -> DataFrame:
+def copy_targets(instrs: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(graph_id, variable, source): flow-insensitive copy propagation over copy_dst and copy_src; the last copy of a variable wins."""
     from arcstep.operators.traverse import follow
 

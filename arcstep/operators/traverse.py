@@ -151,15 +151,17 @@ def topological_order(graph: Graph) -> DataFrame:
     return levels.join(whole, "graph_id", "left_semi")
 
 
-def follow(links: DataFrame, seeds: DataFrame, max_hops: int) -> DataFrame:
+def follow(links: DataFrame, seeds: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(graph_id, seed, hop, node_id): the chain of (graph_id, node_id, next) rows from each seed.
 
-    A chain ends after ``max_hops``, where no link goes on, or before a node that it has already passed.
+    A chain ends after ``max_hops`` where that is given, where no link goes on, or before a node that it has already passed.
     """
     hops = links.select("graph_id", F.col("node_id").alias("at"), "next")
     frontier = checkpoint(seeds.select("graph_id", F.col("node_id").alias("seed"), F.lit(0).cast("long").alias("hop"), "node_id", F.array("node_id").alias("path")))
     chain = frontier
-    for hop in range(1, max_hops + 1):
+    hop = 0
+    while max_hops is None or hop < max_hops:
+        hop += 1
         frontier = checkpoint(
             frontier.withColumnRenamed("node_id", "at").join(hops, ["graph_id", "at"])
             .where(~F.array_contains("path", F.col("next")))
@@ -168,4 +170,6 @@ def follow(links: DataFrame, seeds: DataFrame, max_hops: int) -> DataFrame:
         if frontier.isEmpty():
             break
         chain = chain.unionByName(frontier)
+        if hop % 8 == 0:
+            chain = checkpoint(chain)
     return chain.drop("path")

@@ -202,3 +202,11 @@ def test_rewrites(spark):
     assert rows(cut.edges, "edge_id", "src", "dst") == [(0, 0, 1), (1, 0, 4), (2, 1, 5), (3, 2, 3), (4, 1, 6), (5, 4, 2), (6, 5, 2), (7, 6, 3)]
     turned = transform.reverse_rooted(g)
     assert turned.roots.first()["root"] == 3
+
+
+def test_copies_are_followed_to_the_end_of_long_chains(spark):
+    from arcstep.operators import dataflow
+
+    rows = [("g", 0, i, f"v{i}", f"v{i + 1}") for i in range(70)]
+    instrs = spark.createDataFrame(rows, "graph_id string, block long, idx long, copy_dst string, copy_src string")
+    assert {r["source"] for r in dataflow.copy_targets(instrs).collect()} == {"v70"}
