@@ -126,11 +126,36 @@ def tail_calls(graph: Graph, instrs: DataFrame) -> DataFrame:
     return joined.select("graph_id", "block", F.col("l.idx").alias("idx"))
 
 
+def alias_pairs(instrs: DataFrame) -> DataFrame:
+    """(graph_id, a, b): variables that one memory access makes share a place.
+
+    ``instrs`` has uses, defs, memory (the bases accessed, in order) and stores (those
+    stored to). Bases of one instruction go with its first one, stored ones with what
+    the instruction defines. Every variable goes with itself.
+    """
+    own = instrs.select("graph_id", F.explode(F.array_union("uses", "defs")).alias("a")).select("graph_id", "a", F.col("a").alias("b"))
+    together = instrs.where("size(memory) > 1").select("graph_id", F.col("memory")[0].alias("a"), F.explode("memory").alias("b"))
+    stored = instrs.select("graph_id", "defs", F.explode("stores").alias("a")).select("graph_id", "a", F.explode("defs").alias("b"))
+    return own.union(together).union(stored).distinct()
+
+
 def alias_sets(pairs: DataFrame) -> DataFrame:
-    """(graph_id, node, component): variables unified by (graph_id, a, b) rows; a set is named by its least variable."""
+    """(graph_id, node, component): variables unified by (graph_id, a, b) rows; further rows merge sets; a set is named by its least variable."""
     return weak_components(pairs)
 
 
+def may_alias(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(graph_id, a, b, alias) of the asked pairs; unknown variables share nothing."""
+    side = lambda c, n: sets.select("graph_id", F.col("node").alias(c), F.col("component").alias(n))
+    joined = pairs.join(side("a", "ca"), ["graph_id", "a"], "left").join(side("b", "cb"), ["graph_id", "b"], "left")
+    return joined.select("graph_id", "a", "b", F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)).alias("alias"))
+
+
+def alias_set_count(sets: DataFrame) -> DataFrame:
+    """(graph_id, sets)."""
+    return sets.groupBy("graph_id").agg(F.count_distinct("component").alias("sets"))
+
+
 def fingerprints(graph: Graph, instrs: DataFrame) -> DataFrame:
     """(graph_id, node_id, fingerprint): instruction count, degrees, and sorted kinds of the out-edges."""
     e = graph.live()

@@ -68,21 +68,40 @@ def protecting_region(regions: DataFrame) -> DataFrame:
     return regions.select("graph_id", "region_id", F.explode("protected").alias("block")).groupBy(*BLOCK).agg(F.max("region_id").alias("region_id"))
 
 
-def unwind_edges(regions: DataFrame, handlers: DataFrame) -> DataFrame:
-    """(graph_id, block, handler, pos): protected blocks and the entries of their innermost region's handlers, in order."""
-    return protecting_region(regions).join(handlers.select("graph_id", "region_id", F.col("entry").alias("handler"), "pos"), ["graph_id", "region_id"]).select("graph_id", "block", "handler", "pos")
+_EXCEPTIONS = ("ExceptionHandler", "ExceptionUnwind")
+
+
+def exception_edges(graph: Graph) -> DataFrame:
+    """(graph_id, src, dst, unwind) of the edges to handlers."""
+    edges = graph.live().where(F.col("kind").isin(*_EXCEPTIONS))
+    return edges.select("graph_id", "src", "dst", (F.col("kind") == "ExceptionUnwind").alias("unwind"))
+
+
+def protected_by(graph: Graph, regions: DataFrame, handlers: DataFrame) -> DataFrame:
+    """(graph_id, node_id, block): the blocks whose exceptions come to a handler's entry, by edges and by regions."""
+    by_edge = exception_edges(graph).select("graph_id", F.col("dst").alias("node_id"), F.col("src").alias("block"))
+    blocks = regions.select("graph_id", "region_id", F.explode("protected").alias("block"))
+    by_region = handlers.join(blocks, ["graph_id", "region_id"]).select("graph_id", F.col("entry").alias("node_id"), "block")
+    return by_edge.unionByName(by_region).distinct()
 
 
 def block_kinds(graph: Graph, handlers: DataFrame) -> DataFrame:
-    """(graph_id, node_id, kind): targets of exception edges and entries of handlers; the edge's kind comes first."""
-    by_edge = graph.live().where("kind in ('ExceptionHandler', 'ExceptionUnwind')").select(
-        "graph_id", F.col("dst").alias("node_id"), F.struct(F.lit(0).alias("p"), F.when(F.col("kind") == "ExceptionUnwind", "Cleanup").otherwise("LandingPad").alias("kind")).alias("k")
-    )
-    by_region = handlers.select("graph_id", F.col("entry").alias("node_id"), F.struct(F.lit(1).alias("p"), F.when(F.col("kind").isin("Finally", "Fault"), "Cleanup").otherwise("LandingPad").alias("kind")).alias("k"))
+    """(graph_id, node_id, kind): landing pads by edges first, then the entries of handlers (graph_id, region_id, pos, entry, kind) by the handler's kind."""
+    kind = F.when(F.col("kind").isin("Finally", "Fault"), "Cleanup").when(F.col("kind") == "Filter", "CatchSwitch").otherwise("LandingPad")
+    by_edge = exception_edges(graph).select("graph_id", F.col("dst").alias("node_id"), F.struct(F.lit(-1).cast("long").alias("region_id"), F.lit(0).cast("long").alias("pos"), F.lit("LandingPad").alias("kind")).alias("k"))
+    by_region = handlers.select("graph_id", F.col("entry").alias("node_id"), F.struct(F.col("region_id").cast("long").alias("region_id"), F.col("pos").cast("long").alias("pos"), kind.alias("kind")).alias("k"))
     best = by_edge.unionByName(by_region).groupBy("graph_id", "node_id").agg(F.min("k").alias("k"))
     return graph.nodes.select("graph_id", "node_id").join(best, ["graph_id", "node_id"], "left").select("graph_id", "node_id", F.coalesce("k.kind", F.lit("Normal")).alias("kind"))
 
 
+def landing_pads(kinds: DataFrame) -> DataFrame:
+    return kinds.where("kind = 'LandingPad'").select("graph_id", "node_id")
+
+
+def cleanup_blocks(kinds: DataFrame) -> DataFrame:
+    return kinds.where("kind = 'Cleanup'").select("graph_id", "node_id")
+
+
 def add_continuations(known: DataFrame, more: DataFrame) -> DataFrame:
     """(graph_id, region_id, pos, ord, reason, resume): distinct reasons and blocks of a handler, in first order."""
     both = known.withColumn("late", F.lit(0)).unionByName(more.withColumn("late", F.lit(1)))
@@ -94,3 +113,36 @@ def add_continuations(known: DataFrame, more: DataFrame) -> DataFrame:
 def resumes_for(continuations: DataFrame, reason: str) -> DataFrame:
     """Where handlers resume for a completion reason, in order."""
     return continuations.where(F.col("reason") == reason).select("graph_id", "region_id", "pos", "ord", "resume")
+
+
+# -- side tables of handlers, regions and blocks ---------------------------------------
+
+
+def add_regions(known: DataFrame, more: DataFrame) -> DataFrame:
+    """(graph_id, region_id, protected): new (graph_id, protected) regions behind the known ones, in the order of their blocks."""
+    count = known.groupBy("graph_id").agg((F.max("region_id") + 1).alias("n"))
+    numbered = dense_ids(more.select("graph_id", F.array_sort("protected").alias("protected")), ["protected"], "k", ["graph_id"]).join(count, "graph_id", "left")
+    return known.unionByName(numbered.select("graph_id", (F.coalesce("n", F.lit(0)) + F.col("k")).cast("long").alias("region_id"), "protected"))
+
+
+def put(known: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``known`` with ``rows`` put in the place of those with the same keys: handler filters, cleanups' resume blocks, labels."""
+    return known.join(rows, keys, "left_anti").unionByName(rows)
+
+
+def remove(known: DataFrame, keys: DataFrame) -> DataFrame:
+    """``known`` without the rows of the given keys."""
+    return known.join(keys, keys.columns, "left_anti")
+
+
+def explicit_tail_calls(instrs: DataFrame) -> DataFrame:
+    """(graph_id, block, idx) of the instructions marked ``tail``."""
+    return instrs.where("tail").select("graph_id", "block", "idx")
+
+
+def push(instrs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``instrs`` with (graph_id, block, seq, ...) rows appended to their blocks, in the order of seq."""
+    size = instrs.groupBy(*BLOCK).agg((F.max("idx") + 1).alias("n"))
+    at = F.row_number().over(W.partitionBy(*BLOCK).orderBy("seq")) - 1
+    new = rows.withColumn("k", at).join(size, BLOCK, "left").withColumn("idx", (F.coalesce("n", F.lit(0)) + F.col("k")).cast("long"))
+    return instrs.unionByName(new.drop("n", "k"), allowMissingColumns=True)

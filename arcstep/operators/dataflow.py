@@ -72,6 +72,11 @@ def liveness(graph: Graph, instrs: DataFrame) -> DataFrame:
     return into.withColumn("side", F.lit("in")).unionByName(out.withColumn("side", F.lit("out")))
 
 
+def all_live_variables(live: DataFrame) -> DataFrame:
+    """(graph_id, variable): variables live at some block's entry or exit."""
+    return live.select("graph_id", "variable").distinct()
+
+
 def def_use(instrs: DataFrame, reaching: DataFrame) -> DataFrame:
     """(graph_id, variable, def_block, def_idx, use_block, use_idx): a use reads the block's last earlier definition, else all reaching ones."""
     marks = definitions(instrs).withColumn("is_def", F.lit(1)).unionByName(uses(instrs).withColumn("is_def", F.lit(0)))
@@ -171,11 +176,9 @@ def phi_copies(defs: DataFrame, operands: DataFrame) -> DataFrame:
 
 def phi_webs(copies: DataFrame) -> DataFrame:
     """(graph_id, variable, version, web): versions that phis connect; a web is named by its least version."""
-    key = F.concat_ws("|", "graph_id", "variable")
-    pairs = copies.select(key.alias("graph_id"), F.col("to_version").alias("a"), F.col("from_version").alias("b"))
-    webs = weak_components(pairs)
-    at = F.split("graph_id", r"\|")
-    return webs.select(at[0].alias("graph_id"), at[1].alias("variable"), F.col("node").alias("version"), F.col("component").alias("web"))
+    pairs = copies.select("graph_id", "variable", F.col("to_version").alias("a"), F.col("from_version").alias("b"))
+    webs = weak_components(pairs, ["graph_id", "variable"])
+    return webs.select("graph_id", "variable", F.col("node").alias("version"), F.col("component").alias("web"))
 
 
 # -- lattices -------------------------------------------------------------------

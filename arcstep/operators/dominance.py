@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcstep.operators.frames import checkpoint, closure, digest
+from arcstep.operators.frames import checkpoint, closure, pinned
 from arcstep.operators.graph import Graph
-from arcstep.operators.traverse import reachable
 
 KEY = ["graph_id", "node_id"]
 
@@ -15,32 +14,36 @@ KEY = ["graph_id", "node_id"]
 def dominators(graph: Graph, roots: DataFrame | None = None) -> DataFrame:
     """(graph_id, node_id, dom) for the nodes reachable from the root, each dominating itself.
 
-    Sets start at the root and are met over the predecessors whose set is known:
-    a dominator of a node is the node itself or dominates all of them. Every
-    round meets all nodes again, until nothing changes.
+    Every dominator of a node lies on each path to it, so one breadth-first path
+    gives its candidates. A candidate goes where a predecessor does not have it,
+    and takes itself away from the successors then: a closure over what is taken
+    away, in which every pair moves once. The result has one row for each level of
+    a node's depth in the dominator tree, as explicit dominators need.
     """
     roots = graph.roots if roots is None else roots
-    seeds = checkpoint(roots.select("graph_id", F.col("root").alias("node_id")).distinct())
-    live = checkpoint(reachable(graph, seeds))
-    edges = graph.live().select("graph_id", "src", "dst").distinct()
-    edges = checkpoint(
-        edges.join(live.withColumnRenamed("node_id", "src"), ["graph_id", "src"], "left_semi")
-        .join(seeds.withColumnRenamed("node_id", "dst"), ["graph_id", "dst"], "left_anti")
+    seeds = roots.select("graph_id", F.col("root").alias("node_id")).distinct()
+    edges = pinned(graph.live().where("src <> dst").select("graph_id", "src", "dst").distinct(), "graph_id", "src")
+
+    def walk(f: DataFrame) -> DataFrame:
+        return f.withColumnRenamed("node_id", "src").join(edges, ["graph_id", "src"]).select("graph_id", F.col("dst").alias("node_id"), F.concat("path", F.array("dst")).alias("path"))
+
+    tree = closure(seeds.withColumn("path", F.array("node_id")), walk, KEY, best={"path": F.min("path")})
+    above = checkpoint(tree.select(*KEY, F.explode("path").alias("dom")))
+    pair = [*KEY, "dom"]
+    # Edges from nodes that the root does not reach say nothing.
+    inner = edges.join(tree.select("graph_id", F.col("node_id").alias("src")), ["graph_id", "src"], "left_semi").select("graph_id", "src", F.col("dst").alias("node_id"))
+    missing = (
+        inner.join(above.where("dom <> node_id"), KEY)
+        .join(above.select("graph_id", F.col("node_id").alias("src"), "dom"), ["graph_id", "src", "dom"], "left_anti")
+        .select(*pair)
     )
-    dom = checkpoint(seeds.withColumn("dom", F.col("node_id")))
-    before = None
-    while True:
-        known = dom.select("graph_id", F.col("node_id").alias("src"), "dom")
-        preds = edges.join(dom.select("graph_id", F.col("node_id").alias("src")).distinct(), ["graph_id", "src"], "left_semi")
-        need = preds.groupBy("graph_id", "dst").agg(F.count(F.lit(1)).alias("need"))
-        met = known.join(edges, ["graph_id", "src"]).groupBy("graph_id", "dst", "dom").agg(F.count(F.lit(1)).alias("have"))
-        met = met.join(need, ["graph_id", "dst"]).where("have = need").select("graph_id", F.col("dst").alias("node_id"), "dom")
-        own = need.select("graph_id", F.col("dst").alias("node_id"), F.col("dst").alias("dom"))
-        dom = checkpoint(met.unionByName(own).unionByName(seeds.withColumn("dom", F.col("node_id"))).distinct())
-        now = digest(dom, ["graph_id", "node_id", "dom"])
-        if now == before:
-            return dom
-        before = now
+
+    def lose(f: DataFrame) -> DataFrame:
+        passed = f.withColumnRenamed("node_id", "src").join(edges, ["graph_id", "src"]).where("dom <> dst").select("graph_id", F.col("dst").alias("node_id"), "dom")
+        return passed.join(above, pair, "left_semi")
+
+    lost = closure(missing, lose, pair)
+    return checkpoint(above.join(lost, pair, "left_anti"))
 
 
 def post_dominators(graph: Graph, exits: DataFrame | None = None) -> DataFrame:

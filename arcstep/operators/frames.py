@@ -1,8 +1,11 @@
-"""Checkpoints, rounds and ids shared by the graph operators."""
+"""Written tables, rounds, components and ids shared by the graph operators."""
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
+import weakref
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,34 +14,79 @@ from pyspark.sql import functions as F
 
 #: Rounds after which an iteration gives up.
 MAX_ROUNDS = 10_000
+#: Rounds after which the parts of a closure are written as one table.
+COMPACT = 8
 
+#: Folders of the frames that ``checkpoint`` returned.
+_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes to the shared checkpoint folder, which outlives executors, and cuts the lineage."""
-    spark = df.sparkSession
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; one is made only where none is set and the master is local (tests)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="arcstep-graph-"))
-    return df.checkpoint(eager=True)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="arcstep-graph-"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in the shared folder, which outlives executors, read again.
+
+    This cuts the lineage as ``DataFrame.checkpoint`` does. That keeps the
+    optimizer's old size estimate, which multiplies from round to round; what is
+    read here has its real size, so small frontiers are broadcast and plans stay
+    cheap however many rounds there are.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    _FOLDERS[out] = folder
+    return out
+
 
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of checkpoints that nothing reads any more."""
+    for df in frames:
+        folder = _FOLDERS.pop(df, None)
+        if folder is not None:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-def dense_ids(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
-    """Adds 0-based gapless ids in the order of ``order``, which must be unique.
+
+def pinned(df: DataFrame, *keys: str) -> DataFrame:
+    """A reliable checkpoint dealt by ``keys``: joins on them in every round of a loop leave it where it is."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).checkpoint(eager=True)
+
+
+def dense_ids(df: DataFrame, order: Sequence[str], name: str, within: Sequence[str] = ()) -> DataFrame:
+    """Adds 0-based gapless ids in the order of ``order``, which must be unique; counted for each ``within`` on its own.
 
     The rows are range-partitioned and numbered in their partition; only the
-    partitions' counts meet in one place, so no task sees all rows.
+    partitions' counts meet in one place, so no task sees all rows, not even all
+    of one group.
     """
-    placed = checkpoint(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
+    placed = checkpoint(df.orderBy(*within, *order).withColumn("__at", F.monotonically_increasing_id()))
     part = F.shiftright("__at", 33)
     counts = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("__part", before.alias("__start"))
-    return (
+    out = (
         placed.withColumn("__part", part)
         .join(F.broadcast(starts), "__part")
-        .withColumn(name, F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+        .withColumn(name, (F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long"))
         .drop("__at", "__part", "__start")
     )
+    if not within:
+        return out
+    first = out.groupBy(*within).agg(F.min(name).alias("__first"))
+    return out.join(first, list(within)).withColumn(name, F.col(name) - F.col("__first")).drop("__first")
 
 
 def closure(
@@ -58,7 +106,7 @@ def closure(
     names = list(keys)
     one = lambda df: df.groupBy(*names).agg(*[c.alias(k) for k, c in best.items()]) if best else df.select(*names).distinct()
     frontier = checkpoint(one(seed))
-    known = frontier
+    known, parts = frontier, [frontier]
     rounds = 0
     while max_rounds is None or rounds < max_rounds:
         rounds += 1
@@ -68,8 +116,11 @@ def closure(
         if frontier.isEmpty():
             break
         known = known.unionByName(frontier)
-        if rounds % 8 == 0:
+        parts.append(frontier)
+        if len(parts) > COMPACT:
             known = checkpoint(known)
+            discard(*parts[:-1])  # the last part is the frontier of the next round
+            parts = [known]
     return known
 
 
@@ -80,14 +131,46 @@ def relax(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: Sequenc
     frontier = known
     for _ in range(MAX_ROUNDS):
         found = step(frontier).groupBy(*names).agg(F.min(label).alias("__new"))
-        frontier = checkpoint(
+        last, frontier = frontier, checkpoint(
             found.join(known, names, "left").where(F.col(label).isNull() | (F.col("__new") < F.col(label))).select(*names, F.col("__new").alias(label))
         )
+        if last is not known:
+            discard(last)
         if frontier.isEmpty():
             return known
-        known = checkpoint(
+        last, known = known, checkpoint(
             known.join(frontier.withColumnRenamed(label, "__new"), names, "full").select(*names, F.coalesce("__new", label).alias(label))
         )
+        discard(last)
+    raise RuntimeError(f"no fixpoint after {MAX_ROUNDS} rounds")
+
+
+def star_components(pairs: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
+    """(keys, node, component): the least node that undirected (keys, a, b) rows connect to each, for nodes with a row.
+
+    Alternating large and small stars link every node to the least one it knows,
+    so that rounds grow with the logarithm of a component's size. A star's least
+    node is a partial aggregate joined back: no neighbourhood meets in one task.
+    """
+    keys = list(keys)
+    ends = pairs.select(*keys, F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
+    nodes = checkpoint(ends.select(*keys, F.col("u").alias("node")).union(ends.select(*keys, "v")).distinct())
+    links = checkpoint(ends.where("u <> v").select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    before = None
+    for _ in range(MAX_ROUNDS):
+        both = links.unionByName(links.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy(*keys, "u").agg(F.min("v").alias("m"))
+        joined = large.join(least, [*keys, "u"])
+        small = joined.select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(*keys, "u", F.col("m").alias("v")))
+        last, links = links, checkpoint(small.where("u <> v").distinct())
+        discard(last)
+        now = digest(links, [*keys, "u", "v"])
+        if now == before:
+            named = links.select(*keys, F.col("u").alias("node"), F.col("v").alias("component"))
+            return nodes.join(named, [*keys, "node"], "left").withColumn("component", F.coalesce("component", "node"))
+        before = now
     raise RuntimeError(f"no fixpoint after {MAX_ROUNDS} rounds")
 
 

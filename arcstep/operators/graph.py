@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from arcstep.operators.frames import checkpoint, dense_ids
+
 #: The kinds of control-flow edges.
 EDGE_KINDS = (
     "Fallthrough", "ConditionalTrue", "ConditionalFalse", "Unconditional", "Back", "Jump", "IndirectJump", "SwitchCase",
@@ -45,11 +47,8 @@ class Graph:
     def add_nodes(self, payloads: DataFrame) -> Graph:
         """Appends (graph_id, payload) rows; ids go on from each graph's node count, in payload order."""
         count = self.nodes.groupBy("graph_id").agg((F.max("node_id") + 1).alias("n"))
-        new = payloads.join(count, "graph_id", "left").select(
-            "graph_id",
-            (F.coalesce("n", F.lit(0)) + F.row_number().over(W.partitionBy("graph_id").orderBy("payload")) - 1).cast("long").alias("node_id"),
-            "payload",
-        )
+        numbered = dense_ids(payloads.select("graph_id", "payload"), ["payload"], "k", ["graph_id"])
+        new = numbered.join(count, "graph_id", "left").select("graph_id", (F.coalesce("n", F.lit(0)) + F.col("k")).cast("long").alias("node_id"), "payload")
         return replace(self, nodes=self.nodes.unionByName(new))
 
     def invalid_edges(self, pairs: DataFrame) -> DataFrame:
@@ -66,10 +65,8 @@ class Graph:
             raise ValueError("an edge's end is not a node")
         slots = self.edge_slots().withColumnRenamed("slots", "n")
         order = [c for c in ("src", "dst", "kind", "weight") if c in pairs.columns]
-        new = pairs.join(slots, "graph_id", "left").withColumn(
-            "edge_id", (F.coalesce("n", F.lit(0)) + F.row_number().over(W.partitionBy("graph_id").orderBy(*order)) - 1).cast("long")
-        )
-        return replace(self, edges=self.edges.unionByName(edges_of(new.drop("n"))))
+        new = dense_ids(pairs, order, "k", ["graph_id"]).join(slots, "graph_id", "left").withColumn("edge_id", (F.coalesce("n", F.lit(0)) + F.col("k")).cast("long"))
+        return replace(self, edges=self.edges.unionByName(edges_of(new.drop("n", "k"))))
 
     def remove_edges(self, ids: DataFrame) -> Graph:
         """Tombstones (graph_id, edge_id) rows; edges that are dead or unknown stay as they are."""
@@ -132,6 +129,10 @@ class Graph:
             self.live().select("graph_id", F.col("src").alias("node_id")), ["graph_id", "node_id"], "left_anti"
         )
 
+    def find_payload(self, wanted: DataFrame) -> DataFrame:
+        """(graph_id, payload, node_id) of the nodes with a wanted (graph_id, payload), such as a function's identity."""
+        return self.nodes.join(wanted, ["graph_id", "payload"]).select("graph_id", "payload", "node_id")
+
     def rooted(self, roots: DataFrame) -> Graph:
         """The same graph with (graph_id, root) rows."""
         return replace(self, roots=roots.select("graph_id", "root"))
@@ -149,17 +150,12 @@ class Graph:
 
     def subgraph(self, chosen: DataFrame) -> Graph:
         """Induced subgraph of (graph_id, pos, node_id): ids follow ``pos``, the first is the root; weights stay."""
-        ids = chosen.select(
-            "graph_id", "node_id", (F.row_number().over(W.partitionBy("graph_id").orderBy("pos")) - 1).cast("long").alias("new")
-        )
+        ids = checkpoint(dense_ids(chosen.select("graph_id", "node_id", "pos"), ["pos"], "new", ["graph_id"]).select("graph_id", "node_id", "new"))
         nodes = self.nodes.join(ids, ["graph_id", "node_id"]).select("graph_id", F.col("new").alias("node_id"), "payload")
         end = lambda c, n: ids.select("graph_id", F.col("node_id").alias(c), F.col("new").alias(n))
         inner = self.live().join(end("src", "a"), ["graph_id", "src"]).join(end("dst", "b"), ["graph_id", "dst"])
-        edges = inner.select(
-            "graph_id",
-            (F.row_number().over(W.partitionBy("graph_id").orderBy("a", "edge_id")) - 1).cast("long").alias("edge_id"),
-            F.col("a").alias("src"), F.col("b").alias("dst"), "kind", "weight", "live",
-        )
+        numbered = dense_ids(inner.select("graph_id", "edge_id", "a", "b", "kind", "weight", "live"), ["a", "edge_id"], "k", ["graph_id"])
+        edges = numbered.select("graph_id", F.col("k").alias("edge_id"), F.col("a").alias("src"), F.col("b").alias("dst"), "kind", "weight", "live")
         return Graph(nodes, edges, ids.where("new = 0").select("graph_id", F.col("new").alias("root")))
 
 
@@ -169,9 +165,7 @@ class Graph:
 def intern(keys: DataFrame, order: Sequence[str] = ("seen",)) -> DataFrame:
     """(graph_id, key, node_id): dense ids in the order in which keys were first seen."""
     first = keys.groupBy("graph_id", "key").agg(F.min(F.struct(*order)).alias("first"))
-    return first.select(
-        "graph_id", "key", (F.row_number().over(W.partitionBy("graph_id").orderBy("first", "key")) - 1).cast("long").alias("node_id")
-    )
+    return dense_ids(first, ["first", "key"], "node_id", ["graph_id"]).select("graph_id", "key", "node_id")
 
 
 def ensure_keys(known: DataFrame, more: DataFrame) -> DataFrame:
@@ -192,8 +186,7 @@ def keyed_graph(keys: DataFrame, pairs: DataFrame) -> tuple[Graph, DataFrame]:
     """A graph whose payloads are its keys, and its key table."""
     nodes = keys.select("graph_id", "node_id", F.col("key").alias("payload"))
     ends = edges_between(keys, pairs)
-    ids = ends.withColumn("edge_id", (F.row_number().over(W.partitionBy("graph_id").orderBy("src", "dst")) - 1).cast("long"))
-    return Graph(nodes, edges_of(ids)), keys
+    return Graph(nodes, edges_of(dense_ids(ends, ["src", "dst"], "edge_id", ["graph_id"]))), keys
 
 
 # -- text output --------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from arcstep.operators.frames import checkpoint, closure
+from arcstep.operators.frames import checkpoint, closure, dense_ids, discard, pinned
 from arcstep.operators.graph import Graph
 
 
@@ -28,7 +28,7 @@ def _ends(graph: Graph, direction: str, where: Column | str | None) -> DataFrame
 
 def reachable(graph: Graph, seeds: DataFrame, direction: str = "forward", where: Column | str | None = None) -> DataFrame:
     """(graph_id, node_id) of the nodes that any of the seeds (graph_id, node_id) reaches, seeds included."""
-    ends = checkpoint(_ends(graph, direction, where))
+    ends = pinned(_ends(graph, direction, where), "graph_id", "src")
     step = lambda f: f.withColumnRenamed("node_id", "src").join(ends, ["graph_id", "src"]).select("graph_id", F.col("dst").alias("node_id"))
     return closure(seeds.select("graph_id", "node_id"), step, ["graph_id", "node_id"])
 
@@ -40,7 +40,7 @@ def distances(
 
     Other columns of the seeds, such as a search's own key, can be part of graph_id.
     """
-    ends = checkpoint(_ends(graph, direction, where))
+    ends = pinned(_ends(graph, direction, where), "graph_id", "src")
 
     def step(frontier: DataFrame) -> DataFrame:
         f = frontier if skip is None else frontier.where(~F.expr(skip) if isinstance(skip, str) else ~skip)
@@ -54,35 +54,31 @@ def breadth_first(graph: Graph, seeds: DataFrame, direction: str = "forward", ma
     """(graph_id, node_id, depth, rank, parent, edge_id) in exact discovery order.
 
     A node is discovered by the first discovered neighbour of the level before,
-    through its first edge there; ranks number a level on from the last one.
+    through its first edge there; ranks number a level on from the last one. Seeds
+    come in the order of their ids.
     """
-    ends = checkpoint(steps(graph, direction, where))
-    order = W.partitionBy("graph_id").orderBy("key")
-    level = checkpoint(
-        seeds.select("graph_id", "node_id").distinct().select(
-            "graph_id", "node_id", F.lit(0).cast("long").alias("depth"),
-            (F.row_number().over(W.partitionBy("graph_id").orderBy("node_id")) - 1).cast("long").alias("rank"),
-            F.lit(None).cast("long").alias("parent"), F.lit(None).cast("long").alias("edge_id"),
-        )
-    )
+    ends = pinned(steps(graph, direction, where), "graph_id", "src")
+    null = F.lit(None).cast("long")
+    first = dense_ids(seeds.select("graph_id", "node_id").distinct(), ["node_id"], "rank", ["graph_id"])
+    level = checkpoint(first.select("graph_id", "node_id", F.lit(0).cast("long").alias("depth"), "rank", null.alias("parent"), null.alias("edge_id")))
     known, depth = level, 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        found = (
+        found = checkpoint(
             level.select("graph_id", F.col("node_id").alias("src"), "rank").join(ends, ["graph_id", "src"])
             .select("graph_id", F.col("dst").alias("node_id"), F.struct("rank", "out_rank", F.col("src").alias("parent"), "edge_id").alias("key"))
             .groupBy("graph_id", "node_id").agg(F.min("key").alias("key"))
             .join(known.select("graph_id", "node_id"), ["graph_id", "node_id"], "left_anti")
         )
-        last = known.groupBy("graph_id").agg(F.max("rank").alias("last"))
+        if found.isEmpty():
+            break
+        last = level.groupBy("graph_id").agg((F.max("rank") + 1).alias("last"))
         level = checkpoint(
-            found.join(last, "graph_id").select(
-                "graph_id", "node_id", F.lit(depth).cast("long").alias("depth"), (F.col("last") + F.row_number().over(order)).alias("rank"),
+            dense_ids(found, ["key"], "k", ["graph_id"]).join(last, "graph_id").select(
+                "graph_id", "node_id", F.lit(depth).cast("long").alias("depth"), (F.col("last") + F.col("k")).alias("rank"),
                 F.col("key.parent").alias("parent"), F.col("key.edge_id").alias("edge_id"),
             )
         )
-        if level.isEmpty():
-            break
         known = known.unionByName(level)
         if depth % 8 == 0:
             known = checkpoint(known)
@@ -173,3 +169,25 @@ def follow(links: DataFrame, seeds: DataFrame, max_hops: int | None = None) -> D
         if hop % 8 == 0:
             chain = checkpoint(chain)
     return chain.drop("path")
+
+
+def chase(links: DataFrame) -> DataFrame:
+    """(graph_id, node_id, end, hops): where the chain of (graph_id, node_id, next) rows from each node ends.
+
+    Pointer doubling: rounds grow with the logarithm of the longest chain, and a
+    row never holds a path. Nodes that lead into a ring have no end and no row.
+    """
+    links = links.select("graph_id", "node_id", F.col("next").alias("at"), F.lit(1).cast("long").alias("hops"))
+    state = checkpoint(links.withColumn("done", F.lit(False)))
+    before = 0
+    while True:
+        onward = state.select("graph_id", F.col("node_id").alias("at"), F.col("at").alias("to"), F.col("hops").alias("more"), F.col("done").alias("ended"))
+        moved = state.where("not done").join(onward, ["graph_id", "at"], "left").select(
+            "graph_id", "node_id", F.coalesce("to", "at").alias("at"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), (F.col("to").isNull() | F.col("ended")).alias("done")
+        )
+        last, state = state, checkpoint(state.where("done").unionByName(moved))
+        discard(last)
+        ended = state.where("done").count()
+        if ended == before:
+            return state.where("done").select("graph_id", "node_id", F.col("at").alias("end"), "hops")
+        before = ended

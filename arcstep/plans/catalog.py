@@ -2,41 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcstep.operators import analysis, calls, components, dataflow, dominance, graph, transform, traverse
-from arcstep.operators.frames import checkpoint, closure
+from arcstep.operators.frames import checkpoint, closure, dense_ids, pinned
 from arcstep.plans import sql
+from arcstep.plans.registry import ORACLES, QUERIES, Query, query
 from arcstep.plans.sql import with_
 from arcstep.sources import tables
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(oracle: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its function's name."""
-
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if oracle is not None:
-            _SQL[f.__name__] = oracle
-        return f
-
-    return add
-
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from arcstep.plans import more  # noqa: F401  registers its queries
+
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from arcstep.plans import more  # noqa: F401
+
+    return dict(ORACLES)
 
 
 _P = with_(sql.PROGRAMS)
@@ -66,55 +52,52 @@ def _loops(spark: SparkSession, d: str) -> tuple[graph.Graph, DataFrame, DataFra
 # -- stored graphs ----------------------------------------------------------------
 
 
-@query(with_(sql.PARTS) + "SELECT edge_id, src, dst FROM part_e")
+@query(with_(sql.PARTS) + "SELECT graph_id, edge_id, src, dst FROM part_e")
 def graph_edges(spark, d):
     """Live edges in id order."""
-    return tables.part_flow(spark, d).live().select("edge_id", "src", "dst")
+    return tables.part_flow(spark, d).live().select("graph_id", "edge_id", "src", "dst")
 
 
-@query(with_(sql.PARTS) + """SELECT node_id, coalesce(s, '') AS out_edges, coalesce(t, '') AS successors, coalesce(i, '') AS in_edges, coalesce(p, '') AS predecessors FROM part_n
-LEFT JOIN (SELECT src, string_agg(edge_id, ',' ORDER BY edge_id) AS s, string_agg(dst, ',' ORDER BY edge_id) AS t FROM part_e GROUP BY src) ON src = node_id
-LEFT JOIN (SELECT dst, string_agg(edge_id, ',' ORDER BY edge_id) AS i, string_agg(src, ',' ORDER BY edge_id) AS p FROM part_e GROUP BY dst) ON dst = node_id""")
+@query(with_(sql.PARTS) + """SELECT n.graph_id, node_id, coalesce(s, '') AS out_edges, coalesce(t, '') AS successors, coalesce(i, '') AS in_edges, coalesce(p, '') AS predecessors FROM part_n n
+LEFT JOIN (SELECT graph_id, src, string_agg(edge_id, ',' ORDER BY edge_id) AS s, string_agg(dst, ',' ORDER BY edge_id) AS t FROM part_e GROUP BY ALL) o ON o.graph_id = n.graph_id AND src = node_id
+LEFT JOIN (SELECT graph_id, dst, string_agg(edge_id, ',' ORDER BY edge_id) AS i, string_agg(src, ',' ORDER BY edge_id) AS p FROM part_e GROUP BY ALL) q ON q.graph_id = n.graph_id AND dst = node_id""")
 def graph_adjacency(spark, d):
     """Outgoing and incoming edge ids, successors and predecessors, in adjacency order."""
     g = tables.part_flow(spark, d)
     text = lambda c, n: F.array_join(F.col(c).cast("array<string>"), ",").alias(n)
-    out = g.outgoing().select("node_id", text("edge_ids", "out_edges"))
+    key = ["graph_id", "node_id"]
+    out = g.outgoing().select(*key, text("edge_ids", "out_edges"))
     for df, c, n in ((g.successors(), "nodes", "successors"), (g.incoming(), "edge_ids", "in_edges"), (g.predecessors(), "nodes", "predecessors")):
-        out = out.join(df.select("node_id", text(c, n)), "node_id")
+        out = out.join(df.select(*key, text(c, n)), key)
     return out
 
 
-@query(with_(sql.PARTS) + """SELECT (SELECT count(*) FROM part_n) AS nodes, (SELECT count(*) FROM part_e WHERE edge_id % 10 <> 3) AS edges, (SELECT max(edge_id) + 1 FROM part_e) AS slots,
-(SELECT count(*) FROM part_n WHERE node_id NOT IN (SELECT src FROM part_e WHERE edge_id % 10 <> 3)) AS exits""")
+@query(with_(sql.PARTS) + """, lv AS (SELECT * FROM part_e WHERE edge_id % 10 <> 3) SELECT r.graph_id, (SELECT count(*) FROM part_n n WHERE n.graph_id = r.graph_id) AS nodes, (SELECT count(*) FROM lv WHERE lv.graph_id = r.graph_id) AS edges,
+(SELECT max(edge_id) + 1 FROM part_e e WHERE e.graph_id = r.graph_id) AS slots, (SELECT count(*) FROM part_n n WHERE n.graph_id = r.graph_id AND NOT EXISTS (SELECT 1 FROM lv WHERE lv.graph_id = n.graph_id AND lv.src = n.node_id)) AS exits FROM part_root r""")
 def graph_counts(spark, d):
     """Node, live edge, slot and exit counts after some edges were removed."""
     g = tables.part_flow(spark, d)
     g = g.remove_edges(g.edges.where("edge_id % 10 = 3"))
     exits = g.exits().groupBy("graph_id").agg(F.count(F.lit(1)).alias("exits"))
-    return g.node_count().join(g.edge_count(), "graph_id").join(g.edge_slots(), "graph_id").join(exits, "graph_id").drop("graph_id")
+    return g.node_count().join(g.edge_count(), "graph_id").join(g.edge_slots(), "graph_id").join(exits, "graph_id")
 
 
-@query(with_(sql.PARTS) + """, top AS (SELECT max(edge_id) AS m FROM part_e), new AS (SELECT src, min(dst) AS dst FROM part_e WHERE src % 7 = 0 GROUP BY src)
-SELECT edge_id, src, dst FROM part_e WHERE edge_id % 5 = 0 UNION ALL SELECT m + row_number() OVER (ORDER BY src, dst), dst, src FROM (SELECT dst AS src, src AS dst FROM new), top""")
+@query(with_(sql.PARTS) + """, top AS (SELECT graph_id, max(edge_id) AS m FROM part_e GROUP BY graph_id), new AS (SELECT graph_id, min(dst) AS src, src AS dst FROM part_e WHERE src % 7 = 0 GROUP BY graph_id, src)
+SELECT graph_id, edge_id, dst AS src, src AS dst FROM part_e WHERE edge_id % 5 = 0 UNION ALL SELECT graph_id, m + row_number() OVER (PARTITION BY graph_id ORDER BY src, dst), dst, src FROM new JOIN top USING (graph_id)""")
 def graph_updates(spark, d):
     """Edges after tombstoning and adding: old ids stay, new ones go on behind the last slot; then turned round."""
     g = tables.part_flow(spark, d)
     new = g.live().where("src % 7 = 0").groupBy("graph_id", "src").agg(F.min("dst").alias("dst")).select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
-    g2 = g.remove_edges(g.edges.where("edge_id % 5 <> 0")).add_edges(new)
-    added = g2.live().where(F.col("kind") == "Fallthrough")
-    top = g.edges.agg(F.max("edge_id").alias("m"))
-    split = added.join(F.broadcast(top)).select("edge_id", F.when(F.col("edge_id") > F.col("m"), F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(F.col("edge_id") > F.col("m"), F.col("src")).otherwise(F.col("dst")).alias("dst"))
-    return split
+    return g.remove_edges(g.edges.where("edge_id % 5 <> 0")).add_edges(new).reversed().live().select("graph_id", "edge_id", "src", "dst")
 
 
-@query(with_(sql.PARTS, sql.PARTS_BFS) + """, c AS (SELECT node_id, row_number() OVER (ORDER BY depth, node_id) - 1 AS new FROM part_bfs WHERE depth <= 4)
-SELECT a.new AS src, b.new AS dst, count(*) AS n FROM part_e e JOIN c a ON a.node_id = e.src JOIN c b ON b.node_id = e.dst GROUP BY ALL""")
+@query(with_(sql.PARTS, sql.PARTS_BFS) + """, c AS (SELECT graph_id, node_id, row_number() OVER (PARTITION BY graph_id ORDER BY depth, node_id) - 1 AS new FROM part_bfs WHERE depth <= 4)
+SELECT e.graph_id, row_number() OVER (PARTITION BY e.graph_id ORDER BY a.new, edge_id) - 1 AS edge_id, a.new AS src, b.new AS dst FROM part_e e JOIN c a ON a.graph_id = e.graph_id AND a.node_id = e.src JOIN c b ON b.graph_id = e.graph_id AND b.node_id = e.dst""")
 def graph_subgraph(spark, d):
     """The subgraph induced by the nodes within four steps of the root, renumbered in the order given."""
     g, seeds = _parts(spark, d)
     near = traverse.distances(g, seeds, max_depth=4).withColumn("pos", F.struct("depth", "node_id"))
-    return g.subgraph(near).live().groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    return g.subgraph(near).live().select("graph_id", "edge_id", "src", "dst")
 
 
 @query("""WITH k AS (SELECT 'org' AS s, 'r' || r_regionkey AS t FROM region UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation
@@ -151,92 +134,100 @@ def graph_degrees(spark, d):
 
 # -- traversal ----------------------------------------------------------------------
 
+#: Discovery order: a node's key is the least list of out-ranks on a shortest path to it.
+_ORDER = """, rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY graph_id, src ORDER BY edge_id) - 1 AS r FROM part_e),
+ord(graph_id, node_id, depth, k) AS (SELECT graph_id, root, 0::BIGINT, {'key': []::BIGINT[], 'parent': NULL::BIGINT, 'edge': NULL::BIGINT} FROM part_root
+  UNION ALL SELECT o.graph_id, e.dst, o.depth + 1, min({'key': list_append(o.k['key'], e.r), 'parent': o.node_id, 'edge': e.edge_id}) FROM ord o JOIN rk e ON e.graph_id = o.graph_id AND e.src = o.node_id
+  JOIN part_bfs b ON b.graph_id = e.graph_id AND b.node_id = e.dst AND b.depth = o.depth + 1 GROUP BY o.graph_id, e.dst, o.depth),
+od AS MATERIALIZED (SELECT graph_id, node_id, depth, row_number() OVER (PARTITION BY graph_id ORDER BY depth, k) - 1 AS "rank", k['parent'] AS parent, k['edge'] AS edge_id FROM ord)
+"""
+
 
-@query(with_(sql.PARTS, sql.PARTS_BFS) + "SELECT node_id, depth FROM part_bfs")
+@query(with_(sql.PARTS, sql.PARTS_BFS) + "SELECT graph_id, node_id, depth FROM part_bfs")
 def bfs_distance(spark, d):
-    """Breadth-first depth of every node that the root reaches."""
-    return traverse.distances(*_parts(spark, d)).select("node_id", "depth")
+    """Breadth-first depth of every node that a root reaches."""
+    return traverse.distances(*_parts(spark, d)).select("graph_id", "node_id", "depth")
 
 
-@query(with_(sql.PARTS) + ", r(n) AS (SELECT root FROM part_root UNION SELECT src FROM r JOIN part_e ON dst = n) SELECT n AS node_id FROM r")
+@query(with_(sql.PARTS) + ", r(graph_id, n) AS (SELECT graph_id, root FROM part_root UNION SELECT r.graph_id, src FROM r JOIN part_e e ON e.graph_id = r.graph_id AND e.dst = r.n) SELECT graph_id, n AS node_id FROM r")
 def reachable_backward(spark, d):
     """Nodes that reach the root."""
-    return traverse.reachable(*_parts(spark, d), direction="backward").select("node_id")
+    return traverse.reachable(*_parts(spark, d), direction="backward").select("graph_id", "node_id")
 
 
-@query(with_(sql.PARTS, sql.PARTS_BFS) + "SELECT b.node_id, b.depth, p.depth AS parent_depth FROM part_bfs b LEFT JOIN part_bfs p ON p.depth = b.depth - 1 GROUP BY ALL")
+@query(with_(sql.PARTS, sql.PARTS_BFS) + _ORDER + "SELECT * FROM od")
 def bfs_order(spark, d):
-    """Exact discovery order; compared by the depth of each node and of its discoverer."""
-    order = checkpoint(traverse.breadth_first(*_parts(spark, d)))
-    return order.join(order.select(F.col("node_id").alias("parent"), F.col("depth").alias("parent_depth")), "parent", "left").select("node_id", "depth", "parent_depth")
+    """Exact discovery order, with the node and the edge that discovered each node."""
+    return traverse.breadth_first(*_parts(spark, d))
 
 
-@query(with_(sql.PARTS, sql.PARTS_BFS) + "SELECT max(node_id) AS goal, arg_max(depth, node_id) AS hops FROM part_bfs")
+@query(with_(sql.PARTS, sql.PARTS_BFS) + _ORDER + """, goal AS (SELECT graph_id, max(node_id) AS goal FROM part_bfs GROUP BY graph_id),
+path(graph_id, node_id, pos, parent, edge_id) AS (SELECT o.graph_id, o.node_id, o.depth, o.parent, o.edge_id FROM od o JOIN goal g ON g.graph_id = o.graph_id AND g.goal = o.node_id
+  UNION ALL SELECT o.graph_id, o.node_id, o.depth, o.parent, o.edge_id FROM path p JOIN od o ON o.graph_id = p.graph_id AND o.node_id = p.parent) SELECT graph_id, pos, node_id, edge_id FROM path""")
 def shortest_path(spark, d):
-    """The number of steps of a shortest path from the root to the greatest node it reaches."""
+    """A shortest path, nodes and edges, from each root to the greatest node it reaches."""
     g, seeds = _parts(spark, d)
     goal = traverse.reachable(g, seeds).groupBy("graph_id").agg(F.max("node_id").alias("goal"))
-    path = traverse.shortest_path(g, seeds.withColumnRenamed("node_id", "start").join(goal, "graph_id"))
-    return path.agg(F.max_by("node_id", "pos").alias("goal"), F.max("pos").alias("hops"))
+    return traverse.shortest_path(g, seeds.withColumnRenamed("node_id", "start").join(goal, "graph_id"))
 
 
-_TWO = ", ab AS (SELECT max(node_id) AS b, max(node_id) FILTER (node_id < (SELECT max(node_id) FROM part_bfs)) AS a FROM part_bfs)"
-_BACK = """, da(node_id, depth) USING KEY (node_id) AS (SELECT a, 0::BIGINT FROM ab UNION SELECT e.src, r.depth + 1 FROM da r JOIN part_e e ON r.node_id = e.dst LEFT JOIN recurring.da k ON k.node_id = e.src WHERE k.node_id IS NULL),
-db(node_id, depth) USING KEY (node_id) AS (SELECT b, 0::BIGINT FROM ab UNION SELECT e.src, r.depth + 1 FROM db r JOIN part_e e ON r.node_id = e.dst LEFT JOIN recurring.db k ON k.node_id = e.src WHERE k.node_id IS NULL)"""
+_TWO = ", ab AS (SELECT graph_id, max(node_id, 2)[1] AS b, max(node_id, 2)[2] AS a FROM part_bfs GROUP BY graph_id)"
+_BACK = """, da(graph_id, node_id, depth) USING KEY (graph_id, node_id) AS (SELECT graph_id, a, 0::BIGINT FROM ab UNION SELECT r.graph_id, e.src, r.depth + 1 FROM da r JOIN part_e e ON r.graph_id = e.graph_id AND r.node_id = e.dst LEFT JOIN recurring.da k ON k.graph_id = e.graph_id AND k.node_id = e.src WHERE k.node_id IS NULL),
+db(graph_id, node_id, depth) USING KEY (graph_id, node_id) AS (SELECT graph_id, b, 0::BIGINT FROM ab UNION SELECT r.graph_id, e.src, r.depth + 1 FROM db r JOIN part_e e ON r.graph_id = e.graph_id AND r.node_id = e.dst LEFT JOIN recurring.db k ON k.graph_id = e.graph_id AND k.node_id = e.src WHERE k.node_id IS NULL)"""
 
 
 def _two(spark, d) -> tuple[graph.Graph, DataFrame]:
     g, seeds = _parts(spark, d)
-    top = traverse.reachable(g, seeds).orderBy(F.desc("node_id")).limit(2)
-    return g, checkpoint(top.groupBy("graph_id").agg(F.min("node_id").alias("a"), F.max("node_id").alias("b")))
+    met = checkpoint(traverse.reachable(g, seeds))
+    top = met.groupBy("graph_id").agg(F.max("node_id").alias("b"))
+    return g, checkpoint(met.join(top, "graph_id").where("node_id < b").groupBy("graph_id", "b").agg(F.max("node_id").alias("a")))
 
 
-@query(with_(sql.PARTS, sql.PARTS_BFS) + _TWO + _BACK + "SELECT da.node_id, da.depth AS from_a, db.depth AS from_b, da.depth + db.depth AS combined FROM da JOIN db ON da.node_id = db.node_id")
+@query(with_(sql.PARTS, sql.PARTS_BFS) + _TWO + _BACK + "SELECT da.graph_id, da.node_id, da.depth AS from_a, db.depth AS from_b, da.depth + db.depth AS combined FROM da JOIN db ON da.graph_id = db.graph_id AND da.node_id = db.node_id")
 def common_ancestors(spark, d):
     """Nodes that reach both of two nodes, with both distances."""
-    return traverse.common_ancestors(*_two(spark, d)).select("node_id", "from_a", "from_b", "combined")
+    return traverse.common_ancestors(*_two(spark, d)).select("graph_id", "node_id", "from_a", "from_b", "combined")
 
 
-@query(with_(sql.PARTS, sql.PARTS_BFS) + _TWO + _BACK + "SELECT da.node_id, da.depth + db.depth AS combined FROM da JOIN db ON da.node_id = db.node_id ORDER BY combined, da.node_id LIMIT 1")
+@query(with_(sql.PARTS, sql.PARTS_BFS) + _TWO + _BACK + "SELECT da.graph_id, arg_min(da.node_id, (da.depth + db.depth, da.node_id)) AS node_id, min(da.depth + db.depth) AS combined FROM da JOIN db ON da.graph_id = db.graph_id AND da.node_id = db.node_id GROUP BY da.graph_id")
 def nearest_common_ancestor(spark, d):
     """The common ancestor with the least combined distance."""
-    return traverse.nearest_common_ancestor(*_two(spark, d)).select("node_id", "combined")
+    return traverse.nearest_common_ancestor(*_two(spark, d))
 
 
-@query(with_(sql.PARTS) + """, r(node_id, depth) USING KEY (node_id) AS (SELECT root, 0::BIGINT FROM part_root
-  UNION SELECT e.dst, r.depth + 1 FROM r JOIN part_e e ON r.node_id = e.src AND e.dst % 2 = 0 LEFT JOIN recurring.r k ON k.node_id = e.dst WHERE k.node_id IS NULL AND r.depth < 3)
-SELECT edge_id, src, dst, depth + 1 AS depth FROM r JOIN part_e ON src = node_id AND dst % 2 = 0""")
+@query(with_(sql.PARTS) + """, r(graph_id, node_id, depth) USING KEY (graph_id, node_id) AS (SELECT graph_id, root, 0::BIGINT FROM part_root
+  UNION SELECT r.graph_id, e.dst, r.depth + 1 FROM r JOIN part_e e ON r.graph_id = e.graph_id AND r.node_id = e.src AND e.dst % 2 = 0 LEFT JOIN recurring.r k ON k.graph_id = e.graph_id AND k.node_id = e.dst WHERE k.node_id IS NULL AND r.depth < 3)
+SELECT r.graph_id, edge_id, src, dst, depth + 1 AS depth FROM r JOIN part_e e ON e.graph_id = r.graph_id AND src = node_id AND dst % 2 = 0""")
 def walk_edges(spark, d):
     """Edges to even parts within four steps of the root; other edges do not lead on."""
-    return traverse.walk_edges(*_parts(spark, d), max_depth=4, where="dst % 2 = 0").select("edge_id", "src", "dst", "depth")
+    return traverse.walk_edges(*_parts(spark, d), max_depth=4, where="dst % 2 = 0").select("graph_id", "edge_id", "src", "dst", "depth")
 
 
-@query(with_(sql.PARTS) + """, r(node_id, depth) USING KEY (node_id) AS (SELECT root, 0::BIGINT FROM part_root
-  UNION SELECT e.dst, r.depth + 1 FROM r JOIN part_e e ON r.node_id = e.src LEFT JOIN recurring.r k ON k.node_id = e.dst WHERE k.node_id IS NULL AND r.node_id % 3 <> 0 AND r.depth < 6) SELECT node_id, depth FROM r""")
+@query(with_(sql.PARTS) + """, r(graph_id, node_id, depth) USING KEY (graph_id, node_id) AS (SELECT graph_id, root, 0::BIGINT FROM part_root
+  UNION SELECT r.graph_id, e.dst, r.depth + 1 FROM r JOIN part_e e ON r.graph_id = e.graph_id AND r.node_id = e.src LEFT JOIN recurring.r k ON k.graph_id = e.graph_id AND k.node_id = e.dst WHERE k.node_id IS NULL AND r.node_id % 3 <> 0 AND r.depth < 6) SELECT graph_id, node_id, depth FROM r""")
 def search_with_skip(spark, d):
     """A depth-bounded breadth-first search that visits multiples of three without expanding them."""
-    return traverse.distances(*_parts(spark, d), max_depth=6, skip="node_id % 3 = 0").select("node_id", "depth")
+    return traverse.distances(*_parts(spark, d), max_depth=6, skip="node_id % 3 = 0").select("graph_id", "node_id", "depth")
 
 
-@query(with_(sql.PARTS) + """, seeds AS (SELECT DISTINCT src AS seed FROM part_e WHERE src % 50 = 0), r(seed, node_id, depth) USING KEY (seed, node_id) AS (SELECT seed, seed, 0::BIGINT FROM seeds
-  UNION SELECT r.seed, e.dst, r.depth + 1 FROM r JOIN part_e e ON r.node_id = e.src LEFT JOIN recurring.r k ON k.node_id = e.dst AND k.seed = r.seed WHERE k.node_id IS NULL AND r.depth < 3) SELECT seed, node_id, depth FROM r""")
+@query(with_(sql.PARTS) + """, r(graph_id, seed, node_id, depth) USING KEY (graph_id, seed, node_id) AS (SELECT DISTINCT graph_id, src, src, 0::BIGINT FROM part_e
+  UNION SELECT r.graph_id, r.seed, e.dst, r.depth + 1 FROM r JOIN part_e e ON r.graph_id = e.graph_id AND r.node_id = e.src LEFT JOIN recurring.r k ON k.graph_id = e.graph_id AND k.node_id = e.dst AND k.seed = r.seed WHERE k.node_id IS NULL AND r.depth < 2) SELECT graph_id, seed, node_id, depth FROM r""")
 def search_many_roots(spark, d):
-    """Bounded searches from many roots in lockstep: each root is a graph of its own."""
+    """Searches to depth two from every part with a successor, in lockstep: each root is a graph of its own."""
     g = tables.part_flow(spark, d)
-    seeds = g.live().where("src % 50 = 0").select("src").distinct()
-    ends = checkpoint(g.live().select("src", F.col("dst")).distinct())
-    step = lambda f: f.where("depth < 3").withColumnRenamed("node_id", "src").join(ends, "src").select("seed", F.col("dst").alias("node_id"), (F.col("depth") + 1).alias("depth"))
-    start = seeds.select(F.col("src").alias("seed"), F.col("src").alias("node_id"), F.lit(0).cast("long").alias("depth"))
-    return closure(start, step, ["seed", "node_id"], best={"depth": F.min("depth")}).select("seed", "node_id", "depth")
+    ends = pinned(g.live().select("graph_id", "src", "dst").distinct(), "graph_id", "src")
+    step = lambda f: f.withColumnRenamed("node_id", "src").join(ends, ["graph_id", "src"]).select("graph_id", "seed", F.col("dst").alias("node_id"), (F.col("depth") + 1).alias("depth"))
+    start = g.live().select("graph_id", F.col("src").alias("seed"), F.col("src").alias("node_id"), F.lit(0).cast("long").alias("depth")).distinct()
+    return closure(start, step, ["graph_id", "seed", "node_id"], 2, {"depth": F.min("depth")}).select("graph_id", "seed", "node_id", "depth")
 
 
-@query(with_(sql.PARTS) + """, nx AS (SELECT src, arg_min(dst, edge_id) AS nxt FROM part_e GROUP BY src),
-r(hop, node_id, path) AS (SELECT 0::BIGINT, root, [root] FROM part_root UNION ALL SELECT hop + 1, nxt, list_append(path, nxt) FROM r JOIN nx ON src = node_id WHERE hop < 20 AND NOT list_contains(path, nxt)) SELECT hop, node_id FROM r""")
+@query(with_(sql.PARTS) + """, nx AS (SELECT graph_id, src, arg_min(dst, edge_id) AS nxt FROM part_e GROUP BY graph_id, src),
+r(graph_id, hop, node_id, path) AS (SELECT graph_id, 0::BIGINT, root, [root] FROM part_root UNION ALL SELECT r.graph_id, hop + 1, nxt, list_append(path, nxt) FROM r JOIN nx ON nx.graph_id = r.graph_id AND src = node_id WHERE hop < 20 AND NOT list_contains(path, nxt)) SELECT graph_id, hop, node_id FROM r""")
 def follow_chain(spark, d):
-    """The chain of first successors from the root, up to twenty hops."""
+    """The chain of first successors from each root, up to twenty hops."""
     g, seeds = _parts(spark, d)
     first = g.live().groupBy("graph_id", F.col("src").alias("node_id")).agg(F.min_by("dst", "edge_id").alias("next"))
-    return traverse.follow(checkpoint(first), seeds, 20).select("hop", "node_id")
+    return traverse.follow(checkpoint(first), seeds, 20).select("graph_id", "hop", "node_id")
 
 
 @query(with_(sql.PROGRAMS) + """, fe AS (SELECT * FROM pe WHERE dst > src), r(graph_id, n, l) AS (SELECT graph_id, node_id, 0::BIGINT FROM blk UNION SELECT e.graph_id, e.dst, r.l + 1 FROM r JOIN fe e ON e.graph_id = r.graph_id AND e.src = r.n)
@@ -249,22 +240,23 @@ def topological_levels(spark, d):
 
 # -- decomposition ---------------------------------------------------------------------
 
-_SCC = with_(sql.PARTS) + """, c(a, b) AS (SELECT src, dst FROM part_e UNION SELECT c.a, e.dst FROM c JOIN part_e e ON e.src = c.b),
-scc AS MATERIALIZED (SELECT node_id, least(node_id, coalesce(min(x.b), node_id)) AS component FROM part_n LEFT JOIN (SELECT p.a, p.b FROM c p JOIN c q ON p.a = q.b AND p.b = q.a) x ON x.a = node_id GROUP BY node_id)
+_SCC = with_(sql.PARTS) + """, c(graph_id, a, b) AS (SELECT graph_id, src, dst FROM part_e UNION SELECT c.graph_id, c.a, e.dst FROM c JOIN part_e e ON e.graph_id = c.graph_id AND e.src = c.b),
+scc AS MATERIALIZED (SELECT n.graph_id, node_id, least(node_id, coalesce(min(x.b), node_id)) AS component FROM part_n n LEFT JOIN (SELECT p.graph_id, p.a, p.b FROM c p JOIN c q ON p.graph_id = q.graph_id AND p.a = q.b AND p.b = q.a) x
+  ON x.graph_id = n.graph_id AND x.a = node_id GROUP BY n.graph_id, node_id)
 """
 
 
-@query(_SCC + "SELECT node_id, component FROM scc")
+@query(_SCC + "SELECT graph_id, node_id, component FROM scc")
 def strong_components(spark, d):
     """Strongly connected components, named by their least node."""
-    return components.strong_components(tables.part_flow(spark, d)).select("node_id", "component")
+    return components.strong_components(tables.part_flow(spark, d))
 
 
-@query(_SCC + "SELECT DISTINCT a.component AS src, b.component AS dst FROM part_e e JOIN scc a ON a.node_id = e.src JOIN scc b ON b.node_id = e.dst WHERE a.component <> b.component")
+@query(_SCC + "SELECT DISTINCT e.graph_id, a.component AS src, b.component AS dst FROM part_e e JOIN scc a ON a.graph_id = e.graph_id AND a.node_id = e.src JOIN scc b ON b.graph_id = e.graph_id AND b.node_id = e.dst WHERE a.component <> b.component")
 def condensation(spark, d):
     """Distinct edges between strong components."""
     g = tables.part_flow(spark, d)
-    return components.condensation(g, checkpoint(components.strong_components(g))).select("src", "dst")
+    return components.condensation(g, components.strong_components(g)).select("graph_id", "src", "dst")
 
 
 _PSCC = with_(sql.PROGRAMS) + """, c(graph_id, a, b) AS (SELECT graph_id, src, dst FROM pe UNION SELECT c.graph_id, c.a, e.dst FROM c JOIN pe e ON e.graph_id = c.graph_id AND e.src = c.b)
@@ -285,48 +277,58 @@ def recursive_nodes(spark, d):
     return components.recursive_nodes(g, checkpoint(components.strong_components(g)))
 
 
-@query(with_(sql.PARTS) + ", c(a, b) AS (SELECT node_id, node_id FROM part_n UNION SELECT c.a, e.dst FROM c JOIN part_e e ON e.src = c.b) SELECT a AS node_id, min(b) AS value FROM c GROUP BY a")
+@query(with_(sql.PARTS) + ", c(graph_id, a, b) AS (SELECT graph_id, node_id, node_id FROM part_n UNION SELECT c.graph_id, c.a, e.dst FROM c JOIN part_e e ON e.graph_id = c.graph_id AND e.src = c.b) SELECT graph_id, a AS node_id, min(b) AS value FROM c GROUP BY graph_id, a")
 def propagate_summaries(spark, d):
     """The least part that each part reaches."""
     g = tables.part_flow(spark, d)
-    return components.propagate_summaries(g, g.nodes.select("graph_id", "node_id", F.col("node_id").alias("value"))).select("node_id", "value")
+    return components.propagate_summaries(g, g.nodes.select("graph_id", "node_id", F.col("node_id").alias("value"))).select("graph_id", "node_id", "value")
 
 
-@query(with_(sql.PARTS) + """, w AS (SELECT src, dst, (src * 31 + dst) % 4 AS w FROM part_e), t AS (SELECT DISTINCT w AS t FROM w UNION SELECT 0),
-r(t, n) AS (SELECT t, root FROM t, part_root UNION SELECT r.t, w.dst FROM r JOIN w ON w.src = r.n AND w.w <= r.t) SELECT n AS node_id, min(t)::BIGINT AS label FROM r GROUP BY n""")
+@query(with_(sql.PARTS) + """, w AS (SELECT graph_id, src, dst, (src * 31 + dst) % 4 AS w FROM part_e), t AS (SELECT unnest([0, 1, 2, 3]) AS t),
+r(t, graph_id, n) AS (SELECT t, graph_id, root FROM t, part_root UNION SELECT r.t, w.graph_id, w.dst FROM r JOIN w ON w.graph_id = r.graph_id AND w.src = r.n AND w.w <= r.t) SELECT graph_id, n AS node_id, min(t)::BIGINT AS label FROM r GROUP BY graph_id, n""")
 def min_label_relaxation(spark, d):
     """The least possible greatest edge label on a path from the root."""
     g, seeds = _parts(spark, d)
     transfer = F.greatest("label", (F.col("src") * 31 + F.col("dst")) % 4)
-    return components.min_label_relaxation(g, seeds.withColumn("label", F.lit(0).cast("long")), transfer).select("node_id", "label")
+    return components.min_label_relaxation(g, seeds.withColumn("label", F.lit(0).cast("long")), transfer).select("graph_id", "node_id", "label")
 
 
-@query(with_(sql.PARTS) + """, un AS (SELECT src AS a, dst AS b FROM part_e UNION SELECT dst, src FROM part_e), c(a, r) AS (SELECT node_id, node_id FROM part_n UNION SELECT un.b, c.r FROM c JOIN un ON un.a = c.a AND c.r <= un.b)
-SELECT a AS node, min(r) AS component FROM c GROUP BY a""")
+@query(with_(sql.PARTS) + """, un AS (SELECT graph_id, src AS a, dst AS b FROM part_e UNION SELECT graph_id, dst, src FROM part_e), c(graph_id, a, r) AS (SELECT graph_id, node_id, node_id FROM part_n UNION SELECT c.graph_id, un.b, c.r FROM c JOIN un ON un.graph_id = c.graph_id AND un.a = c.a AND c.r <= un.b)
+SELECT graph_id, a AS node, min(r) AS component FROM c GROUP BY graph_id, a""")
 def weak_components(spark, d):
     """Connected components of the part flow without directions."""
     g = tables.part_flow(spark, d)
-    return components.weak_components(g.live().select("graph_id", F.col("src").alias("a"), F.col("dst").alias("b"))).select("node", "component")
+    return components.weak_components(g.live().select("graph_id", F.col("src").alias("a"), F.col("dst").alias("b"))).select("graph_id", "node", "component")
 
 
-@query()
+_HORN = """, hw AS (SELECT graph_id AS set_id, l_orderkey AS clause, l_partkey AS fact, last_value(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS head FROM part_q),
+hh AS MATERIALIZED (SELECT DISTINCT set_id, clause, head FROM hw), hb AS MATERIALIZED (SELECT DISTINCT set_id, clause, fact FROM hw WHERE fact <> head), hn AS MATERIALIZED (SELECT set_id, clause, count(*) AS n FROM hb GROUP BY ALL),
+hx AS (SELECT DISTINCT set_id, fact FROM hw JOIN part ON p_partkey = fact WHERE p_size <= 25 UNION SELECT set_id, head FROM hh WHERE NOT EXISTS (SELECT 1 FROM hn WHERE hn.set_id = hh.set_id AND hn.clause = hh.clause)),
+model(set_id, fact) USING KEY (set_id, fact) AS (SELECT set_id, fact FROM hx
+  UNION SELECT h.set_id, h.head FROM hh h JOIN hn n ON n.set_id = h.set_id AND n.clause = h.clause JOIN (SELECT b.set_id, b.clause, count(*) AS met FROM recurring.model m JOIN hb b ON b.set_id = m.set_id AND b.fact = m.fact GROUP BY ALL) k
+    ON k.set_id = h.set_id AND k.clause = h.clause AND k.met = n.n LEFT JOIN recurring.model o ON o.set_id = h.set_id AND o.fact = h.head WHERE o.fact IS NULL AND EXISTS (SELECT 1 FROM model))
+SELECT set_id, fact FROM model"""
+
+
+@query(with_(sql.PARTS) + _HORN)
 def horn_derivable(spark, d):
     """Parts derivable from the small parts by the orders' clauses."""
-    return components.horn_derivable(*tables.part_clauses(spark, d)).select("fact")
+    return components.horn_derivable(*tables.part_clauses(spark, d)).select("set_id", "fact")
 
 
 # -- dominance and loops ------------------------------------------------------------------
 
 
-@query(with_(sql.PARTS) + """, reach(n) AS (SELECT root FROM part_root UNION SELECT e.dst FROM reach r JOIN part_e e ON e.src = r.n),
-avoid(x, n) AS (SELECT n, root FROM reach, part_root WHERE n <> root UNION SELECT a.x, e.dst FROM avoid a JOIN part_e e ON e.src = a.n WHERE e.dst <> a.x),
-dom AS MATERIALIZED (SELECT a.n, b.n AS d FROM reach a, reach b, part_root WHERE a.n = b.n OR b.n = root OR NOT EXISTS (SELECT 1 FROM avoid v WHERE v.x = b.n AND v.n = a.n)),
-depth AS MATERIALIZED (SELECT n, count(*) - 1 AS depth FROM dom GROUP BY n)
-SELECT p.n AS node_id, (SELECT arg_max(d.d, q.depth) FROM dom d JOIN depth q ON q.n = d.d WHERE d.n = p.n AND d.d <> d.n) AS idom, p.depth FROM depth p""")
+@query(with_(sql.PARTS) + """, reach(graph_id, n) AS (SELECT graph_id, root FROM part_root UNION SELECT e.graph_id, e.dst FROM reach r JOIN part_e e ON e.graph_id = r.graph_id AND e.src = r.n),
+avoid(graph_id, x, n) AS (SELECT r.graph_id, n, root FROM reach r JOIN part_root p ON p.graph_id = r.graph_id WHERE n <> root UNION SELECT e.graph_id, a.x, e.dst FROM avoid a JOIN part_e e ON e.graph_id = a.graph_id AND e.src = a.n WHERE e.dst <> a.x),
+dom AS MATERIALIZED (SELECT a.graph_id, a.n, b.n AS d FROM reach a JOIN reach b ON a.graph_id = b.graph_id LEFT JOIN avoid v ON v.graph_id = a.graph_id AND v.x = b.n AND v.n = a.n WHERE a.n = b.n OR v.n IS NULL),
+depth AS MATERIALIZED (SELECT graph_id, n, count(*) - 1 AS depth FROM dom GROUP BY graph_id, n),
+idom AS (SELECT d.graph_id, d.n, arg_max(d.d, q.depth) AS idom FROM dom d JOIN depth q ON q.graph_id = d.graph_id AND q.n = d.d WHERE d.d <> d.n GROUP BY ALL)
+SELECT p.graph_id, p.n AS node_id, i.idom, p.depth FROM depth p LEFT JOIN idom i ON i.graph_id = p.graph_id AND i.n = p.n""")
 def dominator_tree_large(spark, d):
-    """Immediate dominators of one larger graph."""
+    """Immediate dominators of larger graphs."""
     g, _ = _parts(spark, d)
-    return dominance.dominator_tree(dominance.dominators(g)).select("node_id", "idom", "depth")
+    return dominance.dominator_tree(dominance.dominators(g))
 
 
 @query(_D + "SELECT p.graph_id, p.n AS node_id, i.idom, p.depth FROM depth p LEFT JOIN idom i ON i.graph_id = p.graph_id AND i.n = p.n")
@@ -626,15 +628,21 @@ def fingerprints(spark, d):
     return analysis.fingerprints(*tables.programs(spark, d))
 
 
-@query(_P + _FP + """, s AS (SELECT split_part(graph_id, '-', 1) AS pair, split_part(graph_id, '-', 2)::INT AS c, fingerprint, row_number() OVER (PARTITION BY graph_id, fingerprint ORDER BY node_id) AS k FROM fp),
-m AS (SELECT coalesce(l.pair, r.pair) AS pair, l.pair IS NOT NULL AS a, r.pair IS NOT NULL AS b FROM (SELECT * FROM s WHERE c = 0) l FULL JOIN (SELECT * FROM s WHERE c = 1) r ON l.pair = r.pair AND l.fingerprint = r.fingerprint AND l.k = r.k),
+@query(_P + _FP + """, nx AS (SELECT graph_id, lead(graph_id) OVER (ORDER BY graph_id::BIGINT) AS nxt FROM (SELECT DISTINCT graph_id FROM blk)),
+s AS (SELECT *, row_number() OVER (PARTITION BY graph_id, fingerprint ORDER BY node_id) AS k FROM fp), l AS (SELECT graph_id AS pair, fingerprint, k FROM s WHERE graph_id IN (SELECT graph_id FROM nx WHERE nxt IS NOT NULL)),
+r AS (SELECT nx.graph_id AS pair, fingerprint, k FROM s JOIN nx ON nx.nxt = s.graph_id),
+m AS (SELECT coalesce(l.pair, r.pair) AS pair, l.pair IS NOT NULL AS a, r.pair IS NOT NULL AS b FROM l FULL JOIN r ON l.pair = r.pair AND l.fingerprint = r.fingerprint AND l.k = r.k),
 t AS (SELECT pair, count(*) FILTER (a AND b) AS matched, count(*) FILTER (a AND NOT b) AS only_left, count(*) FILTER (b AND NOT a) AS only_right FROM m GROUP BY pair)
 SELECT *, round(matched / (matched + greatest(only_left, only_right)), 6) AS ratio FROM t""")
 def graph_diff(spark, d):
-    """How far each user's first two programs agree."""
-    f = checkpoint(analysis.fingerprints(*tables.programs(spark, d)))
-    side = lambda k: f.where(F.split("graph_id", "-")[1] == k).select(F.split("graph_id", "-")[0].alias("pair"), "node_id", "fingerprint")
-    return analysis.graph_diff(side("0"), side("1"))
+    """How far each user's program agrees with the next user's."""
+    g, ins = tables.programs(spark, d)
+    f = checkpoint(analysis.fingerprints(g, ins))
+    users = checkpoint(dense_ids(g.roots.select("graph_id", F.col("graph_id").cast("long").alias("user")), ["user"], "k"))
+    pairs = users.select("k", F.col("graph_id").alias("pair")).join(users.select((F.col("k") - 1).alias("k"), F.col("graph_id").alias("next")), "k").drop("k")
+    left = f.join(pairs.select(F.col("pair").alias("graph_id"), "pair"), "graph_id")
+    right = f.join(pairs.select(F.col("next").alias("graph_id"), "pair"), "graph_id")
+    return analysis.graph_diff(left, right)
 
 
 @query(_D + "SELECT violation, count(*) AS n FROM (SELECT 'root' AS violation FROM blk WHERE false UNION ALL SELECT 'edge end' FROM pe WHERE NOT EXISTS (SELECT 1 FROM blk WHERE blk.graph_id = pe.graph_id AND node_id = dst AND node_id % 9 <> 8)) GROUP BY ALL")
@@ -763,13 +771,12 @@ def effect_census(spark, d):
 # -- calls, jumps and regions ----------------------------------------------------------------------------
 
 
-@query(_P + """, f AS (SELECT DISTINCT graph_id AS key FROM blk), c AS (SELECT graph_id, split_part(graph_id, '-', 1) || '-' || (value % 4)::VARCHAR AS callee FROM ins WHERE name = 'view')
+@query(_P + """, f AS (SELECT DISTINCT graph_id AS key FROM blk), c AS (SELECT graph_id, value::VARCHAR AS callee FROM ins WHERE name = 'view')
 SELECT c.graph_id AS caller, c.callee, count(*) AS calls FROM c JOIN f ON f.key = c.callee GROUP BY ALL""")
 def call_graph(spark, d):
-    """Calls between programs of one user: a view calls the program that its value names."""
+    """Calls between programs: a view calls the program of the user that its value names."""
     g, ins = tables.programs(spark, d)
-    callee = F.concat_ws("-", F.split("graph_id", "-")[0], (F.col("value") % 4).cast("string"))
-    marked = ins.withColumn("callee", F.when(F.col("name") == "view", callee))
+    marked = ins.withColumn("callee", F.when(F.col("name") == "view", F.col("value").cast("string")))
     cg = calls.call_graph(g.roots.select(F.col("graph_id").alias("key"), "graph_id"), marked)
     name = lambda c, n: cg.nodes.select(F.col("node_id").alias(c), F.col("payload").alias(n))
     return cg.live().join(name("src", "caller"), "src").join(name("dst", "callee"), "dst").groupBy("caller", "callee").agg(F.count(F.lit(1)).alias("calls"))
