@@ -7,6 +7,14 @@ tokens that end at least that far before the end of it, and forgets them. Its
 memory is constant for any length of word. Decoding is a state machine over
 token ids that hands out text as soon as it is complete.
 
+A text is fed in portions of bounded size, and all it leaves behind are its
+tokens. Words of up to ``BLOCK`` bytes inside a portion end before the
+lookahead lets any token go, so their machines only act when the word ends: these
+are ended many at once (``Merges.finish_many``), and a bounded table remembers
+what they gave. Longer words feed a ``Transducer`` each, and text without white
+space goes through ``Tokenizer.stream``, where a word may stay open over any
+number of portions.
+
 The tokenizer file is read for its vocabulary, merge list, normaliser and
 pattern; no tokenizer library takes part.
 
@@ -25,6 +33,7 @@ import unicodedata
 from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +46,12 @@ from arcstep.llm.word_cache import ChunkTable
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Characters of a word that the transducer holds at most, beyond the lookahead.
 BLOCK = 256
+#: Bytes of a text that are fed at once.
+PORTION = 1 << 16
+#: Chunks whose tokens a worker remembers.
+MAX_ENTRIES = 400_000
+#: Characters kept back from a portion, so that no special token or contraction is cut.
+TAIL = 32
 
 
 def byte_characters() -> list[str]:
@@ -55,6 +70,7 @@ class Merges:
         self.suffix = suffix
         self.pairs = pairs
         self._lookahead: int | None = None
+        self._numbers: tuple | None = None
 
     @property
     def lookahead(self) -> int:
@@ -119,6 +135,67 @@ class Merges:
         symbols[-1] += self.suffix
         return self.tokens(symbols)
 
+    def _numbered(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """Numbers of a byte's symbol inside and at the end of a word; sorted codes of pairs, with their ranks and results; decimal ids (empty if there is none)."""
+        if self._numbers is None:
+            number: dict[str, int] = {}
+            for x, y in self.ranks:
+                for z in (x, y, x + y):
+                    number.setdefault(z, len(number))
+            for z in byte_characters():
+                number.setdefault(z, len(number))
+                number.setdefault(z + self.suffix, len(number))
+            codes = np.array([number[x] << 32 | number[y] for x, y in self.ranks], dtype=np.int64)
+            order = np.argsort(codes)
+            ranks = np.fromiter(self.ranks.values(), dtype=np.int64, count=len(codes))[order]
+            made = np.array([number[x + y] for x, y in self.ranks], dtype=np.int64)[order]
+            ids = [b"%d" % i if (i := self.vocab.get(z)) is not None else b"" for z in number]
+            inner, final = (np.array([number[z + x] for z in byte_characters()], dtype=np.int64) for x in ("", self.suffix))
+            self._numbers = inner, final, codes[order], ranks, made, ids
+        return self._numbers
+
+    def finish_many(self, words: list[bytes]) -> list[bytes]:
+        """The tokens of whole short words as decimal ids parted by spaces: machines that end together, merged in lockstep.
+
+        In every round each word makes its merge of lowest rank, wherever it has it, leftmost first.
+        """
+        inner, final, codes, ranks, made, ids = self._numbered()
+        if not words:
+            return []
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        raw = np.frombuffer(b"".join(words), dtype=np.uint8)
+        symbols, last = inner[raw], np.cumsum(lengths) - 1
+        symbols[last] = final[raw[last]]
+        word = np.repeat(np.arange(len(words)), lengths)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        none = len(codes)
+        while len(symbols):
+            code = symbols[:-1] << 32 | symbols[1:]
+            at = np.searchsorted(codes, code)
+            at[at == none] = 0
+            rank = np.where((codes[at] == code) & (word[:-1] == word[1:]), ranks[at], np.iinfo(np.int64).max) if none else np.full(len(code), np.iinfo(np.int64).max)
+            rank = np.append(rank, np.iinfo(np.int64).max)
+            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            least = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(word))))
+            ended = least == np.iinfo(np.int64).max
+            if ended.any():
+                done.append((word[ended], symbols[ended]))
+            hit = (rank == least) & ~ended
+            # Of places in a row every second one merges.
+            place = np.flatnonzero(hit)
+            if len(place):
+                run = np.flatnonzero(np.concatenate(([True], np.diff(place) > 1)))
+                offset = np.arange(len(place)) - np.repeat(run, np.diff(np.append(run, len(place))))
+                place = place[offset % 2 == 0]
+                symbols[place] = made[at[place]]
+            keep = ~ended
+            keep[place + 1] = False
+            symbols, word = symbols[keep], word[keep]
+        owner, found = np.concatenate([w for w, _ in done]), np.concatenate([x for _, x in done])
+        order = np.argsort(owner, kind="stable")
+        parts, cuts = list(map(ids.__getitem__, found[order].tolist())), np.searchsorted(owner[order], np.arange(len(words) + 1)).tolist()
+        return [b" ".join(filter(None, parts[a:b])) for a, b in zip(cuts, cuts[1:])]
+
 
 class Transducer:
     """Feeds one word's characters in any portions; yields tokens once they are stable."""
@@ -199,6 +276,8 @@ class Tokenizer:
             raise ValueError("only a pattern that names the words is supported")
         pattern = split["pattern"]["Regex"].replace("[^\\s", f"[^{SPACE}")
         self.words = regex.compile(pattern)
+        # The pattern's alternatives that match runs of any length.
+        self.runs = [regex.compile(r"\p{L}+"), regex.compile(f"[^{SPACE}\\p{{L}}\\p{{N}}]+")]
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.bytes = byte_characters()
         self.byte_level_decoder = bool(spec.get("decoder")) and spec["decoder"]["type"] == "ByteLevel"
@@ -208,38 +287,125 @@ class Tokenizer:
         self.names: dict[int, bytes] = {i: t.encode() if t in self.added else as_bytes(t) for i, t in names.items()}
         self.names_by_text = {b"%d" % i: t for i, t in self.names.items()}
 
-    def encode_word(self, word: str) -> Iterator[int]:
-        """One pre-token. Short words fit the transducer's buffer, so they are encoded at once."""
-        characters = "".join(map(self.bytes.__getitem__, word.encode()))
-        if len(characters) <= BLOCK:
-            tokens: Iterable[str] = self.merges.word(characters)
-        else:
-            machine = Transducer(self.merges)
-            tokens = (t for part in (machine.feed(characters), machine.finish()) for t in part)
+    def _bytes(self, word: str) -> str:
+        return "".join(map(self.bytes.__getitem__, word.encode()))
+
+    def _named(self, tokens: Iterable[str]) -> Iterator[int]:
         for token in tokens:
             if (i := self.vocab.get(token)) is not None:  # without an unknown token, others have no id
                 yield i
 
-    def encode_plain(self, text: str) -> Iterator[int]:
-        """Text without special tokens."""
+    @staticmethod
+    def _plain(text: str) -> str:
         text = unicodedata.normalize("NFC", text)
-        text = text.lower() if text.isascii() else "".join(map(str.lower, text))
-        for word in self.words.findall(text):
-            yield from self.encode_word(word)
+        return text.lower() if text.isascii() else "".join(map(str.lower, text))
 
-    def encode(self, text: str) -> Iterator[int]:
-        """The ids of a text, in order, without holding them."""
+    def pieces(self, text: str) -> Iterator[int | bytes]:
+        """The ids of special tokens, and the words between them."""
         at = 0
         for found in self.specials.finditer(text) if self.specials else ():
-            yield from self.encode_plain(text[at : found.start()])
+            yield from map(str.encode, self.words.findall(self._plain(text[at : found.start()])))
             yield self.added[found.group()]
             at = found.end()
-        yield from self.encode_plain(text[at:])
+        yield from map(str.encode, self.words.findall(self._plain(text[at:])))
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """As ``encode_many``, for words of letters, lower-cased if they are ASCII: those are pieces as they stand."""
+        plain = [w for w in words if w.isascii() and len(w) <= BLOCK]
+        known = dict(zip(plain, self.merges.finish_many(plain), strict=True))
+        rest = [w for w in words if w not in known]
+        known.update(zip(rest, self.encode_many(rest), strict=True))
+        return [known[w] for w in words]
+
+    def encode_many(self, texts: list[bytes]) -> list[bytes]:
+        """Decimal ids parted by spaces, for each of many short texts."""
+        found = [list(self.pieces(x.decode())) for x in texts]
+        words = list({p for own in found for p in own if isinstance(p, bytes)})
+        short = [w for w in words if len(w) <= BLOCK]
+        known = dict(zip(short, self.merges.finish_many(short), strict=True))
+        for w in words:
+            if len(w) > BLOCK:
+                known[w] = b" ".join(b"%d" % i for i in self._named(_through(self.merges, self._bytes(w.decode()))))
+        return [b" ".join(filter(None, (known[p] if isinstance(p, bytes) else b"%d" % p for p in own))) for own in found]
+
+    def stream(self, portions: Iterable[str]) -> Iterator[int]:
+        """The ids of a text that comes in portions, in order; a word may go on over any number of them.
+
+        What is kept from one portion to the next are ``TAIL`` characters and the
+        open word's machine. Where a portion can be normalised on its own is
+        before a character below U+0300 or an ideograph; text without one is kept.
+        """
+        machine: Transducer | None = None
+        run = None  # what an open word consists of
+        raw = plain = ""
+        for portion, last in _marked_last(portions):
+            raw += portion
+            special = self.specials.search(raw) if self.specials else None
+            while special or last or len(raw) > TAIL:
+                if special:
+                    part, raw = raw[: special.start()], raw[special.end() :]
+                elif last:
+                    part, raw = raw, ""
+                else:
+                    cut = next((i for i in range(len(raw) - TAIL, 0, -1) if raw[i] < "\u0300" or "\u4e00" <= raw[i] <= "\u9fff"), 0)
+                    part, raw = raw[:cut], raw[cut:]
+                plain += self._plain(part)
+                over = last or special is not None
+                at = 0
+                while True:
+                    if machine is not None:
+                        end = run.match(plain, at).end() if run.match(plain, at) else at
+                        if end < len(plain) or over:
+                            yield from self._named(machine.feed(self._bytes(plain[at:end])))
+                            yield from self._named(machine.finish())
+                            machine, at = None, end
+                        else:
+                            yield from self._named(machine.feed(self._bytes(plain[at:])))
+                            at = len(plain)
+                            break
+                    found = self.words.search(plain, at)
+                    if found is None:
+                        at = len(plain) if over else max(at, len(plain) - TAIL)
+                        break
+                    if found.end() > len(plain) - TAIL and not over:
+                        kind = next((r for r in self.runs if r.fullmatch(found.group())), None)
+                        if kind is None or found.end() - found.start() <= TAIL:
+                            at = found.start()
+                            break
+                        machine, run, at = Transducer(self.merges), kind, found.start()
+                        continue
+                    yield from self._named(self.merges.word(self._bytes(found.group())) if found.end() - found.start() <= TAIL else _through(self.merges, self._bytes(found.group())))
+                    at = found.end()
+                plain = plain[at:]
+                if not special:
+                    break
+                yield self.added[special.group()]
+                special = self.specials.search(raw)
+
+    def encode(self, text: str) -> Iterator[int]:
+        """The ids of a text, in order, without holding them."""
+        yield from self.stream([text])
 
     def decoder(self, by_text: bool = False) -> Decoder:
         return Decoder(self.names_by_text if by_text else self.names, self.byte_level_decoder)
 
 
+def _marked_last(portions: Iterable[str]) -> Iterator[tuple[str, bool]]:
+    before = None
+    for x in portions:
+        if before is not None:
+            yield before, False
+        before = x
+    yield before or "", True
+
+
+def _through(merges: Merges, characters: str) -> Iterator[str]:
+    """A whole word through a machine."""
+    machine = Transducer(merges)
+    yield from machine.feed(characters)
+    yield from machine.finish()
+
+
 _loaded: dict[str, tuple[Tokenizer, ChunkTable]] = {}
 
 
@@ -247,36 +413,75 @@ def _tokenizer(path: str) -> tuple[Tokenizer, ChunkTable]:
     """The worker's tokenizer and its table of chunks, encoded as decimal ids parted by spaces."""
     if path not in _loaded:
         own = Tokenizer(path)
-        text = lambda ids: b" ".join(b"%d" % i for i in ids)
+        _loaded[path] = own, ChunkTable(own.encode_words, own.encode_many, b" ", MAX_ENTRIES)
+    return _loaded[path]
 
-        def words(many: list[bytes]) -> list[bytes]:
-            return [text(own.encode_plain(w.decode())) for w in many]
 
-        _loaded[path] = own, ChunkTable(words, lambda c: text(own.encode(c.decode())), b" ")
-    return _loaded[path]
+def _portions(raw: bytes) -> Iterator[bytes]:
+    """A text in parts of bounded size that end at white space, or in the middle of a longer chunk without any."""
+    at = 0
+    while at < len(raw):
+        end = at + PORTION
+        if end < len(raw):
+            cut = max(raw.rfind(c, at, end) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+            end = cut + 1 if cut >= at else end
+            while end < len(raw) and raw[end] & 0xC0 == 0x80:  # a character's later bytes
+                end += 1
+        yield raw[at:end]
+        at = end
+
+
+def _encoded_parts(path: str, text: str | bytes | None) -> Iterator[bytes]:
+    """Decimal ids parted by spaces, for each portion of a text."""
+    own, chunks = _tokenizer(path)
+    raw = text.encode() if isinstance(text, str) else text or b""
+    open_: list[str] = []  # portions of a chunk that no white space has ended
+    for part in _portions(raw):
+        whole = part[-1:].isspace()
+        if open_ or not (whole or len(part) < PORTION):
+            open_.append(part.decode())
+            if not whole and len(part) >= PORTION:
+                continue
+            yield b" ".join(b"%d" % i for i in own.stream(open_))
+            open_ = []
+            continue
+        words = part.split()
+        forget = chunks.learn(set(words))
+        yield b" ".join(filter(None, map(chunks.known.__getitem__, words)))
+        chunks.forget(forget)
+    if open_:
+        yield b" ".join(b"%d" % i for i in own.stream(open_))
 
 
-def _encoded_texts(path: str, texts: list[str | None]) -> Iterator[bytes]:
-    """Decimal ids parted by spaces, for each text."""
+def _encoded_texts(path: str, texts: list[str | None]) -> Iterator[list[bytes]]:
+    """For each text its ids in portions; the words of short texts are learned together."""
     _, chunks = _tokenizer(path)
-    for at in range(0, len(texts), 256):
-        parts = [(t or "").encode().split() for t in texts[at : at + 256]]
-        forget = chunks.learn(set().union(*parts))
-        look = chunks.known.__getitem__
-        for part in parts:
-            ids = b" ".join(map(look, part))
-            if b"  " in ids or ids[:1] == b" " or ids[-1:] == b" ":  # a chunk without tokens
-                ids = b" ".join(ids.split())
-            yield ids
+    group: list[bytes] = []
+
+    def flush() -> Iterator[list[bytes]]:
+        forget = chunks.learn(set().union(*(r.split() for r in group if len(r) <= PORTION)))
+        for raw in group:
+            yield list(filter(None, _encoded_parts(path, raw)))
         chunks.forget(forget)
 
+    size = 0
+    for text in texts:
+        raw = text if isinstance(text, bytes) else (text or "").encode()
+        group.append(raw)
+        size += len(raw)
+        if size > 16 * PORTION:
+            yield from flush()
+            group, size = [], 0
+    if group:
+        yield from flush()
+
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and the token ids of every whole text, array<int>."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [list(map(int, x.split())) for x in _encoded_texts(path, batch.column(1).to_pylist())]
+            ids = [[int(i) for x in parts for i in x.split()] for parts in _encoded_texts(path, batch.column(1).cast(pa.binary()).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return map_batches(_texts(docs), run, "doc_id long, ids array<int>")
@@ -307,14 +512,16 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
         own, _ = _tokenizer(path)
         for batch in batches:
             counts, of_ids, of_text = [], [], []
-            for ids in _encoded_texts(path, batch.column(1).to_pylist()):
-                tokens = ids.split()
-                machine, digest = own.decoder(by_text=True), hashlib.sha256()
-                for at in range(0, len(tokens), 1 << 14):
-                    digest.update(machine.feed(tokens[at : at + (1 << 14)]))
+            for parts in _encoded_texts(path, batch.column(1).cast(pa.binary()).to_pylist()):
+                machine, digest, id_digest, n = own.decoder(by_text=True), hashlib.sha256(), hashlib.sha256(), 0
+                for part in parts:
+                    tokens = part.split()
+                    id_digest.update(b" " + part if n else part)
+                    digest.update(machine.feed(tokens))
+                    n += len(tokens)
                 digest.update(machine.finish())
-                counts.append(len(tokens))
-                of_ids.append(hashlib.sha256(ids).hexdigest())
+                counts.append(n)
+                of_ids.append(id_digest.hexdigest())
                 of_text.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())],

@@ -1,4 +1,4 @@
-"""Line dedup by winnowing over line hashes, then over word hashes.
+"""Line dedup by winnowing over line hashes, and over word hashes.
 
 A text is a sequence of lines with a word in them. A gram is the shortest run of
 whole lines, from a given line on, of at least ``GRAM_WORDS`` words. Of the grams
@@ -6,17 +6,19 @@ inside every run of ``RUN_WORDS`` words the one with the least hash is selected,
 so whatever runs of that many words two places share, they share a selected gram
 (a fingerprint) at the same place in it. Each fingerprint is joined with the
 first place that has it, in the order of (doc_id, position); the match is
-extended line by line both ways; and the later place's lines are deleted. A line
-that is deleted equals an earlier one, and the first of equal lines is never the
-later place, so one copy of every line stays.
+extended line by line both ways; and the later place's lines are deleted. Lines
+are equal when their words are. A line that is deleted equals an earlier one, and
+the first of equal lines is never the later place, so one copy of every line stays.
 
 Runs that start or end inside a line are found in the same way with words for
 lines: a gram is ``GRAM_WORDS`` words in a row, wherever lines break, matches are
-extended word by word, and a match of ``RUN_WORDS`` words or more is deleted
-whatever of it the lines' matches have left, down to a part of a line.
-Fingerprints with nothing left near them are not looked up. A fingerprint that
-comes again within a gram's length is compared with its last place, so that
-a short period repeated many times gives few matches.
+extended word by word, and a match of ``RUN_WORDS`` words or more is deleted,
+down to a part of a line. A fingerprint of words that comes again within a gram's
+length is compared with its last place, so that a short period repeated many
+times gives few matches.
+
+A text that equals one with a smaller doc_id and has ``RUN_WORDS`` words is
+deleted whole without any of this; only the first of equal texts is matched.
 
 Guarantee: of a run of at least ``RUN_WORDS`` words that repeats an earlier run,
 the part around its fingerprints is deleted; where the earlier run is the first
@@ -24,13 +26,19 @@ that has these fingerprints, that is the whole run. This holds for runs of words
 as for runs of whole lines. No match of fewer than ``GRAM_WORDS`` words on whole
 lines, or of fewer than ``RUN_WORDS`` words elsewhere, ever deletes anything.
 
-No step gathers the places of a fingerprint: the first place is a partial
-aggregate, and the join with it can be split where it is hot.
+Plan: the texts are read three times, and no hash of a text leaves its task
+unless it is shared. First only fingerprints are counted; those that two texts
+have go into a filter of fixed size. Then their places are joined with the first
+ones. Last, the word hashes of the documents with a match are sent to it. A match
+is a pair of documents, with all places they share: no step gathers the places of
+a fingerprint, the first place being a partial aggregate, and the joins can be
+split where they are hot. Only documents with something to delete are shuffled.
 
 Defined results for odd input: a null or empty text has no lines and stays; rows
 with the same doc_id and text count as one document, each row getting its
 result; a null doc_id comes before all others; blank lines stay or go with the
-line before them; an empty table gives no rows; other columns pass through.
+line before them; an empty table gives no rows; other columns pass through,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -40,34 +48,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from arcstep.llm.common import WORD_SEPARATORS, checkpoint, map_batches, table
+from arcstep.llm.common import WORD_SEPARATORS, bit_filter, checkpoint, free_name, give_back_memory, in_filter, map_batches, ship_package, table, written
+from arcstep.llm.shingles import BLOCK_BYTES, mix, word_blocks
 
 #: No run of fewer words is deleted.
 GRAM_WORDS = 25
 #: A repeated run of this many words is certain to be found.
 RUN_WORDS = 50
-#: Bits of the filter of documents with a match of words; its size is fixed, and others that it lets through cost time only.
-FILTER_BITS = 1 << 26
-#: Word hashes that a worker keeps; the others are computed anew.
-MAX_WORDS = 500_000
 
 _WORD = re.compile(f"[^{WORD_SEPARATORS}]+")
-_BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-
-
-class _WordHashes(dict):
-    """From words to their hashes."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MAX_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word) - (1 << 63)
-        return found
+_BASE = 0x9E3779B97F4A7C15
+#: Tell the fingerprints of lines from those of words.
+_LINES, _WORDS = np.uint64(0), np.uint64(1)
 
 
 class _Powers:
@@ -84,236 +79,235 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_KNOWN, _POWERS = _WordHashes(), _Powers()
-
-
-def words_of(text: str | None) -> np.ndarray:
-    """The hashes of a text's words, across its lines."""
-    words = (text or "").encode().split()
-    return np.fromiter(map(_KNOWN.__getitem__, words), dtype=np.int64, count=len(words))
-
-
-def word_fingerprints(hashes: np.ndarray, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gram hashes, first words, and the distance from the same gram's last selected place (0 if over ``gram_words``)."""
-    n = len(hashes)
-    if n < run_words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    up, down = _POWERS.first(n)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes.view(np.uint64) * up)))
-    grams = (total[gram_words:] - total[:-gram_words]) * down[: n - gram_words + 1]
-    grams ^= grams >> np.uint64(32)
-    grams *= np.uint64(_MIX)
-    grams ^= grams >> np.uint64(29)
-    inside = np.lib.stride_tricks.sliding_window_view(grams, run_words - gram_words + 1)
-    at = inside.argmin(axis=1) + np.arange(len(inside))  # never decreases
-    at = at[np.concatenate(([True], at[1:] != at[:-1]))]
-    chosen = grams[at].view(np.int64)
-    gaps = np.zeros(len(at), np.int64)
-    order = np.lexsort((at, chosen))
-    same = np.flatnonzero(chosen[order[1:]] == chosen[order[:-1]]) + 1
-    if len(same):
-        apart = at[order[same]] - at[order[same - 1]]
-        gaps[order[same]] = np.where(apart <= gram_words, apart, 0)
-    return chosen, at, gaps
-
-
-def lines_of(text: str | None) -> tuple[list[int], list[int], list[int]]:
-    """The places, hashes and word counts of a text's lines with a word."""
-    places, hashes, words = [], [], []
-    for i, line in enumerate((text or "").split("\n")):
-        if body := line.strip(WORD_SEPARATORS):
-            raw = body.encode()
-            places.append(i)
-            hashes.append(xxhash.xxh64_intdigest(raw) - (1 << 63))
-            words.append(len(raw.split()))
-    return places, hashes, words
-
-
-def fingerprints(hashes: list[int], words: list[int], gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> list[tuple[int, int]]:
-    """(gram hash, first line) of the selected grams, in order."""
-    n = len(hashes)
-    total = np.concatenate(([0], np.cumsum(words))) if n else np.zeros(1, dtype=np.int64)
-    # ends[i]: one past the gram's last line; n + 1 where too few words follow.
-    ends = np.searchsorted(total, total[:-1] + gram_words, "left")
-    stops = np.searchsorted(total, total[:-1] + run_words, "left")
-    raw = np.array(hashes, dtype=np.int64).tobytes()
-    grams = [xxhash.xxh64_intdigest(raw[8 * i : 8 * e]) - (1 << 63) if e <= n else None for i, e in enumerate(ends.tolist())]
-    chosen: dict[int, int] = {}
-    last = 0  # grams before this one end inside the run at hand; ends never decrease
-    for i, stop in enumerate(stops.tolist()):
-        if stop > n:
+_POWERS = _Powers()
+
+
+def _spans_hashed(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of the words from each first to before each last, the same wherever the span is."""
+    up, down = _POWERS.first(len(hashes) + 1)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(hashes)])))
+    return mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
+
+
+def _least(keys: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The place of the least key from each first to before each last; the earliest of equal ones."""
+    bits = np.uint64(max(1, int(len(keys)).bit_length()))
+    level = (keys >> bits << bits) | np.arange(len(keys), dtype=np.uint64)
+    width = last - first
+    out = np.zeros(len(first), dtype=np.uint64)
+    step = 1
+    while len(width):
+        now = (width >= step) & (width < 2 * step)
+        if now.any():
+            out[now] = np.minimum(level[first[now]], level[last[now] - step])
+        if not (width >= 2 * step).any():
             break
-        last = max(last, i)
-        while last < n and ends[last] <= stop:
-            last += 1
-        best = min(range(i, last), key=lambda k: (grams[k], -k))
-        chosen[best] = grams[best]
-    return [(h, k) for k, h in chosen.items()]
+        level = np.minimum(level[:-step], level[step:])
+        step *= 2
+    return (out & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+
+
+class Texts:
+    """The word hashes of several texts in a row; cuts[i] is the first word of text i, and ends the word after each line with a word."""
+
+    def __init__(self, hashes: np.ndarray, cuts: np.ndarray, ends: np.ndarray) -> None:
+        self.hashes, self.cuts, self.ends = hashes, cuts, ends
+
+    def _lines(self, gram_words: int, run_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """First words of the selected grams of lines, and their hashes."""
+        ends = self.ends
+        starts = np.concatenate((np.zeros(1, np.int64), ends[:-1])) if len(ends) else ends
+        limit = self.cuts[np.searchsorted(self.cuts, starts, "right")]
+        # The last lines of the gram and of the run from each line on; the number of lines where too few words follow.
+        gram = np.searchsorted(ends, starts + gram_words)
+        run = np.searchsorted(ends, starts + run_words)
+        whole = lambda at: (at < len(ends)) & (np.append(ends, 1 << 62)[at] <= limit)
+        ok, first = whole(gram), np.flatnonzero(whole(run))
+        keys = np.full(len(ends), ~np.uint64(0))
+        keys[ok] = _spans_hashed(self.hashes, starts[ok], ends[gram[ok]])
+        chosen = np.unique(_least(keys, first, np.searchsorted(gram, run[first], "right")))
+        return starts[chosen], keys[chosen]
+
+    def _words(self, gram_words: int, run_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """First words of the selected grams of words, and their hashes."""
+        first = np.arange(max(0, len(self.hashes) - run_words + 1))
+        first = first[first + run_words <= self.cuts[np.searchsorted(self.cuts, first, "right")]]
+        at = np.arange(max(0, len(self.hashes) - gram_words + 1))
+        keys = _spans_hashed(self.hashes, at, at + gram_words)
+        chosen = np.unique(_least(keys, first, first + run_words - gram_words + 1))
+        return chosen, keys[chosen]
+
+    def fingerprints(self, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Texts, fingerprints, first words in the text, gaps, and whether the text has the fingerprint again.
+
+        A gap is the distance from the same gram of words' last selected place, 0 if that is over ``gram_words``.
+        """
+        (la, lk), (wa, wk) = self._lines(gram_words, run_words), self._words(gram_words, run_words)
+        at = np.concatenate((la, wa))
+        prints = np.concatenate((lk & ~np.uint64(1) | _LINES, wk & ~np.uint64(1) | _WORDS))
+        text = np.searchsorted(self.cuts, at, "right") - 1
+        gaps, again = np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+        order = np.lexsort((at, prints, text))
+        same = np.flatnonzero((prints[order[1:]] == prints[order[:-1]]) & (text[order[1:]] == text[order[:-1]])) + 1
+        if len(same):
+            apart = at[order[same]] - at[order[same - 1]]
+            gaps[order[same]] = np.where((apart <= gram_words) & (prints[order[same]] & np.uint64(1) == _WORDS), apart, 0)
+            again[order[same]] = again[order[same - 1]] = True
+        return text, prints.view(np.int64), at - self.cuts[text], gaps, again
+
+
+def texts_of(column: pa.Array | list) -> Iterator[tuple[int, Texts]]:
+    """Blocks of texts of bounded size, and the place of the first one of each."""
+    raws = column.cast(pa.binary()).to_pylist() if isinstance(column, pa.Array) else [None if x is None else x.encode() for x in column]
+    for at, hashes, cuts, ends in word_blocks(raws):
+        yield at, Texts(hashes, cuts, ends)
+
+
+def _key() -> tuple:
+    """A document's key: its id, nulls first, and a hash of its text; and a hash of both."""
+    d = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
+    t = F.xxhash64(F.col("text").cast("string"))
+    return d.alias("d"), t.alias("t"), F.xxhash64(d, t).alias("k")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(*_key(), F.col("text").cast("string").alias("text"))
+
+
+def later_copies(docs: DataFrame) -> DataFrame:
+    """d, t and k of the documents whose text one with a smaller id has, too."""
+    keys = docs.select(*_key()).distinct()
+    first = docs.select(*_key()).groupBy("t").agg(F.min("d").alias("d"))
+    return keys.join(first, ["d", "t"], "left_anti")
 
 
-def index(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
-    """d, t (the document's key), the line hashes, the words up to each line's end and the fingerprints of every document that has some."""
+def shared_prints(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
+    """The fingerprints that two different texts have, or one text twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, prints, places, ends, keep = [], [], [], [], []
-            in_words: list[tuple] = []
-            for text in batch.column(2).to_pylist():
-                _, own, words = lines_of(text)
-                found = fingerprints(own, words, gram_words, run_words)
-                others = word_fingerprints(words_of(text), gram_words, run_words)
-                keep.append(bool(found) or len(others[0]) > 0)
-                if keep[-1]:
-                    hashes.append(own)
-                    prints.append([h for h, _ in found])
-                    places.append([k for _, k in found])
-                    ends.append(np.cumsum(words))
-                    in_words.append(others)
-            rows = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).filter(rows), batch.column(1).filter(rows),
-                    pa.array(hashes, pa.list_(pa.int64())), pa.array(prints, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())),
-                    pa.array(ends, pa.list_(pa.int32())), pa.array([x for x, _, _ in in_words], pa.list_(pa.int64())),
-                    pa.array([x for _, x, _ in in_words], pa.list_(pa.int32())), pa.array([x for _, _, x in in_words], pa.list_(pa.int32())),
-                ],
-                ["d", "t", "hashes", "prints", "places", "ends", "word_prints", "word_places", "gaps"],
-            )
-
-    return map_batches(
-        docs.select(*_key(), F.col("text").cast("string").alias("text")),
-        run,
-        "d long, t long, hashes array<long>, prints array<long>, places array<int>, ends array<int>, word_prints array<long>, word_places array<int>, gaps array<int>",
-    )
+            names = batch.column(0).to_numpy()
+            for at, block in texts_of(batch.column(1)):
+                text, prints, _, _, again = block.fingerprints(gram_words, run_words)
+                yield pa.RecordBatch.from_arrays([pa.array(prints), pa.array(names[at + text]), pa.array(again)], ["print", "t", "again"])
 
+    found = map_batches(_texts(docs).select("t", "text"), run, "print long, t long, again boolean")
+    return found.groupBy("print").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.max("again").alias("again")).where("again or a <> b").select("print")
 
-def _key() -> tuple:
-    """A document's key: its id, nulls first, and a hash of its text."""
-    return (
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("d"),
-        F.xxhash64(F.col("text").cast("string")).alias("t"),
-    )
-
-
-def _extend(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Maximal runs of equal units around the anchors, of at least so many; rows: d, t, anchors, from, source units, own units."""
-    for batch in batches:
-        firsts, lasts = [], []
-        for anchors, start, there, here in zip(*batch.columns[2:], strict=True):
-            start, there, here = start.as_py(), there.values.to_numpy(), here.values.to_numpy()
-            own = here[start : start + len(there)]
-            # breaks: the places where units differ, with sentinels at both ends.
-            breaks = np.concatenate(([-1], np.flatnonzero(own != there), [len(own)]))
-            at = np.searchsorted(breaks, anchors.values.to_numpy() - start)
-            runs = np.unique(at)
-            runs = runs[breaks[runs] - breaks[runs - 1] > least]
-            firsts.append((breaks[runs - 1] + 1 + start).tolist())
-            lasts.append((breaks[runs] + start).tolist())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(firsts, pa.list_(pa.int32())), pa.array(lasts, pa.list_(pa.int32()))],
-            ["d", "t", "firsts", "lasts"],
-        )
-
-
-def _first_places(places: DataFrame) -> DataFrame:
-    """print, d0, t0, pos0: the first place of every fingerprint that has several."""
-    return (
-        places.groupBy("print")
-        .agg(F.min(F.struct("d", "t", "pos")).alias("at"), F.count(F.lit(1)).alias("c"))
-        .where("c > 1")
-        .select("print", F.col("at.d").alias("d0"), F.col("at.t").alias("t0"), F.col("at.pos").alias("pos0"))
-    )
 
+def shared_places(docs: DataFrame, bits: np.ndarray, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
+    """d, t, k, print, pos and gap of the fingerprints that the filter lets through."""
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
 
-def _extended(matches: DataFrame, units: DataFrame, least: int) -> DataFrame:
-    """d, t and runs of the documents that ``matches`` (d, t, n, d0, t0, shift, anchors; n units in all) and ``units`` (d, t, hashes) give."""
-    start = F.greatest(F.lit(0), -F.col("shift"))
-    # The source's units that lie opposite the document's own, for this shift.
-    source = units.select(F.col("d").alias("d0"), F.col("t").alias("t0"), F.col("hashes").alias("source"))
-    opposite = matches.join(source, ["d0", "t0"]).select(
-        "d", "t", "anchors", (start + F.col("shift")).cast("int").alias("start"),
-        F.expr("slice(source, greatest(0, -shift) + 1, least(n - greatest(0, -shift) - shift, size(source) - greatest(0, -shift)))").alias("there"),
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for batch in batches:
+            d, t, k = (batch.column(i).to_numpy() for i in range(3))
+            for at, block in texts_of(batch.column(3)):
+                text, prints, places, gaps, _ = block.fingerprints(gram_words, run_words)
+                hit = in_filter(known, prints)
+                row = at + text[hit]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(d[row]), pa.array(t[row]), pa.array(k[row]), pa.array(prints[hit]), pa.array(places[hit].astype(np.int32)), pa.array(gaps[hit].astype(np.int32))],
+                    ["d", "t", "k", "print", "pos", "gap"],
+                )
+
+    return map_batches(_texts(docs), run, "d long, t long, k long, print long, pos int, gap int")
+
+
+def matched_places(places: DataFrame) -> DataFrame:
+    """d, t, d0, t0 and anchors: for every pair of documents the places (pos, pos0, words) of fingerprints that the second has first."""
+    # A table of its own, so that the join with a hot fingerprint's places can be split.
+    first = written(
+        places.where("gap = 0").groupBy("print").agg(F.min(F.struct("d", "t", "pos")).alias("at"), F.count(F.lit(1)).alias("c")).where("c > 1")
+        .select("print", F.col("at.d").alias("d0"), F.col("at.t").alias("t0"), F.col("at.pos").alias("pos0"))
     )
-    both = opposite.join(units.select("d", "t", F.col("hashes").alias("here")), ["d", "t"])
-    runs = map_batches(both, lambda batches: _extend(batches, least), "d long, t long, firsts array<int>, lasts array<int>")
-    return (
-        runs.where("size(firsts) > 0")
-        .groupBy("d", "t")
-        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.expr("transform(arrays_zip(firsts, lasts), x -> struct(x.firsts as first, x.lasts as last))"))))).alias("runs"))
-    )
-
-
-def repeated_runs(lines: DataFrame) -> DataFrame:
-    """d, t and runs, array<struct(first, last)>: the lines with a word to delete, ``last`` excluded."""
-    places = lines.select("d", "t", F.size("hashes").alias("n"), F.explode(F.arrays_zip("prints", "places")).alias("p")).select(
-        "d", "t", "n", F.col("p.prints").alias("print"), F.col("p.places").alias("pos")
-    )
-    matches = (
-        places.join(_first_places(places), "print")
-        .where("not (d = d0 and t = t0 and pos = pos0)")
-        .groupBy("d", "t", "n", "d0", "t0", (F.col("pos") - F.col("pos0")).alias("shift"))
-        .agg(F.collect_set("pos").alias("anchors"))
-    )
-    return _extended(matches, lines.select("d", "t", "hashes"), 1)
-
-
-def _word_places(lines: DataFrame, runs: DataFrame, gram_words: int, run_words: int) -> DataFrame:
-    """d, t, n (the document's words), print, pos, gap and live of every fingerprint of words; live if the runs of lines leave a word near it."""
+    apart = places.where("gap = 0").join(first, "print").where("not (d = d0 and t = t0 and pos = pos0)")
+    near = places.where("gap > 0").select("print", "d", "t", "k", "pos", "gap", F.col("d").alias("d0"), F.col("t").alias("t0"), (F.col("pos") - F.col("gap")).alias("pos0"))
+    both = apart.select(*near.columns).union(near)
+    words = (F.col("print").bitwiseAND(F.lit(1)) == 1).alias("words")
+    return both.groupBy("d", "t", "d0", "t0").agg(F.collect_set(F.struct("pos", "pos0", words)).alias("anchors"))
+
+
+def matched_words(docs: DataFrame, matches: DataFrame) -> DataFrame:
+    """d, t, hashes of the words and ends of the lines of the documents that have a part in a match."""
+    key = lambda d, t: matches.select(F.xxhash64(d, t).alias("k"))
+    sent = docs.sparkSession.sparkContext.broadcast(bit_filter(key("d", "t").union(key("d0", "t0"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            live, sizes = [], []
-            for ends, places, dead in zip(*batch.columns[5:], strict=True):
-                at = places.values.to_numpy()
-                sizes.append(ends.values[-1].as_py())
-                if not dead.is_valid or not len(at):
-                    live.append(np.ones(len(at), dtype=bool))
-                    continue
-                ends = np.concatenate(([0], ends.values.to_numpy()))
-                alive = np.ones(ends[-1], dtype=np.int64)
-                for x in dead.as_py():
-                    alive[ends[x["first"]] : ends[x["last"]]] = 0
-                total = np.concatenate(([0], np.cumsum(alive)))
-                low, high = np.maximum(at - run_words, 0), np.minimum(at + gram_words + run_words, len(alive))
-                live.append(total[high] > total[low])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(live, pa.list_(pa.bool_())), pa.array(sizes, pa.int32())], ["d", "t", "prints", "places", "gaps", "live", "n"])
-
-    rows = lines.where("size(word_prints) > 0").select("d", "t", "word_prints", "word_places", "gaps", "ends")
-    joined = rows.join(runs, ["d", "t"], "left").select("d", "t", "word_prints", "word_places", "gaps", "ends", F.col("word_places").alias("at"), "runs")
-    flagged = map_batches(joined, run, "d long, t long, prints array<long>, places array<int>, gaps array<int>, live array<boolean>, n int")
-    return flagged.select("d", "t", "n", F.explode(F.arrays_zip("prints", "places", "gaps", "live")).alias("p")).select(
-        "d", "t", "n", F.col("p.prints").alias("print"), F.col("p.places").alias("pos"), F.col("p.gaps").alias("gap"), F.col("p.live").alias("live")
-    )
-
-
-def _matched_words(docs: DataFrame, matches: DataFrame) -> DataFrame:
-    """d, t and the word hashes of the documents that have a part in a match; at most FILTER_BITS / 64 rows are fetched."""
-    texts = matches.select("t").union(matches.select("t0")).distinct().select(F.pmod("t", F.lit(FILTER_BITS)).alias("place"))
-    found = texts.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits")).toPandas()
-    filled = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    filled[found["word"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64)
-    sent = docs.sparkSession.sparkContext.broadcast(filled.view(np.uint64))
+            own = batch.filter(pa.array(in_filter(sent.value, batch.column(2).to_numpy())))
+            for at, block in texts_of(own.column(3)):
+                n, cuts = len(block.cuts) - 1, block.cuts
+                lines = np.searchsorted(block.ends, cuts, "right")
+                shift = np.repeat(cuts[:-1], np.diff(lines))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        own.column(0).slice(at, n), own.column(1).slice(at, n),
+                        pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(block.hashes.view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(lines.astype(np.int32)), pa.array((block.ends - shift).astype(np.int32))),
+                    ],
+                    ["d", "t", "hashes", "ends"],
+                )
+
+    return map_batches(_texts(docs), run, "d long, t long, hashes array<long>, ends array<int>").dropDuplicates(["d", "t"])
+
+
+def _equal(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
+    """How many units from i on equal those from j on."""
+    most, done, step = min(len(a) - i, len(b) - j), 0, 64
+    while done < most:
+        n = min(step, most - done)
+        same = a[i + done : i + done + n] == b[j + done : j + done + n]
+        if not same.all():
+            return done + int(same.argmin())
+        done, step = done + n, step * 4
+    return most
+
+
+def extend(own: np.ndarray, source: np.ndarray, anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The maximal runs of equal units around anchors (place, place in the source)."""
+    runs: list[tuple[int, int]] = []
+    shift = end = None
+    for _, i, j in sorted((i - j, i, j) for i, j in anchors):
+        if shift == i - j and i < end:
+            continue
+        shift = i - j
+        end = i + _equal(own, source, i, j)
+        if end > i:
+            runs.append((i - _equal(own[:i][::-1], source[:j][::-1], 0, 0), end))
+    return runs
+
+
+def repeated_words(docs: DataFrame, matches: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+    """d, t and spans, array<struct(first, last)>: the words to delete, ``last`` excluded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
         for batch in batches:
-            places = batch.column(1).to_numpy(zero_copy_only=False) % FILTER_BITS
-            rows = pa.array((bits[places >> 6] >> (places & 63).astype(np.uint64)) & np.uint64(1) != 0)
-            hashes = [words_of(x) for x in batch.column(2).filter(rows).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(rows), batch.column(1).filter(rows), pa.array(hashes, pa.list_(pa.int64()))], ["d", "t", "hashes"])
-
-    return map_batches(docs.select(*_key(), F.col("text").cast("string").alias("text")), run, "d long, t long, hashes array<long>").dropDuplicates(["d", "t"])
-
+            firsts, lasts = [], []
+            for anchors, words0, ends0, words, ends in zip(*batch.columns[2:], strict=True):
+                words0, ends0, words, ends = (x.values.to_numpy() for x in (words0, ends0, words, ends))
+                in_words = [(x["pos"], x["pos0"]) for x in anchors.as_py() if x["words"]]
+                spans = [(a, b) for a, b in extend(words, words0, in_words) if b - a >= run_words]
+                starts, starts0 = (np.concatenate(([0], e[:-1])) for e in (ends, ends0))
+                in_lines = [
+                    (int(np.searchsorted(starts, x["pos"])), int(np.searchsorted(starts0, x["pos0"]))) for x in anchors.as_py() if not x["words"]
+                ]
+                if in_lines:
+                    lines, lines0 = (_spans_hashed(w.view(np.uint64), s, e) for w, s, e in ((words, starts, ends), (words0, starts0, ends0)))
+                    spans += [(int(starts[a]), int(ends[b - 1])) for a, b in extend(lines, lines0, in_lines)]
+                firsts.append([a for a, _ in spans])
+                lasts.append([b for _, b in spans])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(firsts, pa.list_(pa.int32())), pa.array(lasts, pa.list_(pa.int32()))], ["d", "t", "firsts", "lasts"]
+            )
 
-def repeated_words(docs: DataFrame, lines: DataFrame, runs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
-    """d, t and spans, array<struct(first, last)>: the words to delete beside the lines of ``runs``, ``last`` excluded."""
-    places = _word_places(lines, runs, gram_words, run_words)
-    first = _first_places(places.where("gap = 0").select("d", "t", "print", "pos"))
-    apart = places.where("live and gap = 0").join(first, "print").where("not (d = d0 and t = t0 and pos = pos0)")
-    near = places.where("live and gap > 0").select("d", "t", "n", F.col("d").alias("d0"), F.col("t").alias("t0"), F.col("gap").alias("shift"), "pos")
-    matches = apart.select("d", "t", "n", "d0", "t0", (F.col("pos") - F.col("pos0")).alias("shift"), "pos").union(near)
-    matches = checkpoint(matches.groupBy("d", "t", "n", "d0", "t0", "shift").agg(F.collect_set("pos").alias("anchors")))
-    return _extended(matches, _matched_words(docs, matches), run_words).withColumnRenamed("runs", "spans")
+    units = matched_words(docs, matches)
+    source = units.select(F.col("d").alias("d0"), F.col("t").alias("t0"), F.col("hashes").alias("words0"), F.col("ends").alias("ends0"))
+    both = matches.join(source, ["d0", "t0"]).join(units.select("d", "t", "hashes", "ends"), ["d", "t"]).select("d", "t", "anchors", "words0", "ends0", "hashes", "ends")
+    runs = map_batches(both, run, "d long, t long, firsts array<int>, lasts array<int>").where("size(firsts) > 0")
+    spans = F.expr("transform(arrays_zip(firsts, lasts), x -> struct(x.firsts as first, x.lasts as last))")
+    return runs.groupBy("d", "t").agg(F.array_distinct(F.flatten(F.collect_list(spans))).alias("spans"))
 
 
 def _without(line: str, dead: np.ndarray) -> str:
@@ -331,20 +325,25 @@ def _without(line: str, dead: np.ndarray) -> str:
     return (kept.rstrip(WORD_SEPARATORS) if dead[-1] else kept) + line[at:]
 
 
-def delete_lines(text: str | None, runs: list[dict] | None, spans: list[dict] | None = None) -> tuple[str | None, int, int, int]:
-    """The text without the runs' lines and the spans' words; lines with a word, lines and words deleted."""
+def delete_words(text: str | None, spans: list[dict] | None, whole: bool = False, run_words: int = RUN_WORDS) -> tuple[str | None, int, int, int]:
+    """The text without the spans' words, or without any if it is a ``whole`` copy; lines with a word, lines and words deleted."""
     if not text:
         return text, 0, 0, 0
     lines = text.split("\n")
-    places, _, words = lines_of(text)
-    if not runs and not spans:
+    places = [i for i, line in enumerate(lines) if line.strip(WORD_SEPARATORS)]
+    if not spans and not whole:
         return text, len(places), 0, 0
+    words = [len(lines[i].encode().split()) for i in places]
     ends = np.concatenate(([0], np.cumsum(words, dtype=np.int64)))
+    if whole:
+        spans = [{"first": 0, "last": int(ends[-1])}] if ends[-1] >= run_words else []
     gone = np.zeros(ends[-1] + 1, dtype=np.int64)
-    for first, last in [*((ends[x["first"]], ends[x["last"]]) for x in runs or ()), *((x["first"], x["last"]) for x in spans or ())]:
-        gone[first] += 1
-        gone[last] -= 1
+    for x in spans or ():
+        gone[x["first"]] += 1
+        gone[x["last"]] -= 1
     dead = np.cumsum(gone)[:-1] > 0
+    if not dead.any():
+        return text, len(places), 0, 0
     left = np.array(words, dtype=np.int64) - np.add.reduceat(dead.astype(np.int64), ends[:-1])
     keep = np.ones(len(lines), dtype=bool)
     for k, place in enumerate(places):  # blank lines share the fate of the line before them
@@ -356,50 +355,62 @@ def delete_lines(text: str | None, runs: list[dict] | None, spans: list[dict] |
     return kept, len(places), int((left == 0).sum()), int(dead.sum())
 
 
-def dedup_lines(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
-    """``docs`` with repeated runs of whole lines deleted, and n_lines, n_removed and removed_words beside its columns.
-
-    The new columns are packed as struct ``dedup`` so that they cannot clash.
-    """
-    runs = repeated_runs(_indexed(docs, gram_words, run_words))
-    return _deleted(docs, runs.withColumn("spans", F.lit(None).cast(runs.schema["runs"].dataType)))
-
-
-def dedup_text(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
-    """As ``dedup_lines``, with repeated runs of words deleted too wherever lines break."""
-    lines = _indexed(docs, gram_words, run_words)
-    runs = checkpoint(repeated_runs(lines))
-    spans = repeated_words(docs, lines, runs, gram_words, run_words)
-    return _deleted(docs, runs.join(spans, ["d", "t"], "full"))
-
-
-def _indexed(docs: DataFrame, gram_words: int, run_words: int) -> DataFrame:
-    return checkpoint(index(docs, gram_words, run_words).dropDuplicates(["d", "t"]))
-
+def found_repeats(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
+    """d, t, spans and whole of every document with something to delete."""
+    copies = checkpoint(later_copies(docs))
+    bits = bit_filter(shared_prints(docs, gram_words, run_words))
+    places = shared_places(docs, bits, gram_words, run_words).join(copies.select("d", "t"), ["d", "t"], "left_anti").dropDuplicates(["d", "t", "print", "pos"])
+    matches = checkpoint(matched_places(checkpoint(places)))
+    spans = repeated_words(docs, matches, run_words).withColumn("whole", F.lit(False))
+    return checkpoint(spans.unionByName(copies.select("d", "t", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), F.lit(True).alias("whole"))))
 
-def _deleted(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` without the lines and words that ``found`` (d, t, runs, spans) names."""
-    names = docs.columns
-    d, t = _key()
-    keyed = docs.select(F.struct(*[F.col(f"`{x}`") for x in names]).alias("doc"), d, t)
-    joined = keyed.join(found, ["d", "t"], "left").select("doc", "runs", "spans")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(0).field("text").to_pylist()
-            done = [delete_lines(x, r, w) for x, r, w in zip(texts, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            columns = [[x[k] for x in done] for k in range(4)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(columns[0], pa.string()), *[pa.array(c, pa.int64()) for c in columns[1:]]],
-                ["doc", "clean", "n_lines", "n_removed", "removed_words"],
-            )
+def dedup_text(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS, column: str = "dedup") -> DataFrame:
+    """``docs`` without repeated runs, and struct ``column`` (n_lines, n_removed, removed_words, n_words) beside its columns.
 
-    schema = T.StructType([joined.schema["doc"], T.StructField("clean", T.StringType())])
-    for name in ("n_lines", "n_removed", "removed_words"):
-        schema = schema.add(name, T.LongType())
-    done = map_batches(joined, run, schema)
-    values = [F.col("clean").alias("text") if x == "text" else F.col("doc")[x].alias(x) for x in names]
-    return done.select(*values, F.struct("n_lines", "n_removed", "removed_words").alias("dedup"))
+    A name that cannot clash is ``free_name("dedup", docs.columns)``.
+    """
+    spark = docs.sparkSession
+    ship_package(spark)
+    found = found_repeats(docs, gram_words, run_words)
+    sent = spark.sparkContext.broadcast(bit_filter(found.select(F.xxhash64("d", "t").alias("k"))))
+    # Names of its own for the keys; the text's column is replaced in its place.
+    d, t, k, spans, whole, done = (free_name(x, [*docs.columns, column]) for x in ("d", "t", "k", "spans", "whole", "done"))
+    keyed = docs.withColumns(dict(zip((d, t, k), _key())))
+    fields = "n_lines: long, n_removed: long, removed_words: long, n_words: long"
+
+    def hit(keys: pa.Array) -> pa.Array:
+        return pa.array(in_filter(sent.value, keys.to_numpy(zero_copy_only=False)))
+
+    def look(keys: pa.Array, texts: pa.Array) -> pa.Array:
+        """The measures of texts that have nothing to delete for certain; null for the others."""
+        rest = ~in_filter(sent.value, keys.to_numpy(zero_copy_only=False))
+        lines, words = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        for at in range(0, len(texts), 256):
+            for i, text in enumerate(texts.slice(at, 256).cast(pa.binary()).to_pylist(), at):
+                if text and rest[i]:
+                    words[i], lines[i] = len(text.split()), sum(1 for x in text.split(b"\n") if x and not x.isspace())
+        none = pa.array(np.zeros(len(texts), np.int64))
+        return pa.StructArray.from_arrays([pa.array(lines), none, none, pa.array(words)], ["n_lines", "n_removed", "removed_words", "n_words"], mask=pa.array(~rest))
+
+    def cut(texts: pa.Array, all_spans: pa.Array, copies: pa.Array) -> pa.Array:
+        rows: list[list] = [[] for _ in range(5)]
+        for at in range(0, len(texts), 256):
+            part = (x.slice(at, 256).to_pylist() for x in (texts, all_spans, copies))
+            for text, own, copy in zip(*part, strict=True):
+                out = delete_words(text, own, bool(copy), run_words)
+                for values, value in zip(rows, (*out, len((text or "").encode().split())), strict=True):
+                    values.append(value)
+        give_back_memory()
+        return pa.StructArray.from_arrays([pa.array(rows[0], pa.string()), *[pa.array(x, pa.int64()) for x in rows[1:]]], ["text", "n_lines", "n_removed", "removed_words", "n_words"])
+
+    text = F.col("text").cast("string")
+    rest = keyed.withColumn(column, F.arrow_udf(look, f"struct<{fields}>")(F.col(k), text)).where(F.col(column).isNotNull()).withColumn("text", text).drop(d, t, k)
+    named = found.select(F.col("d").alias(d), F.col("t").alias(t), F.col("spans").alias(spans), F.col("whole").alias(whole))
+    touched = keyed.where(F.arrow_udf(hit, "boolean")(F.col(k))).join(named, [d, t], "left").drop(d, t, k)
+    touched = touched.withColumn(done, F.arrow_udf(cut, f"struct<text: string, {fields}>")(text, F.col(spans), F.col(whole)))
+    measures = F.struct(*[F.col(done)[x].alias(x) for x in ("n_lines", "n_removed", "removed_words", "n_words")])
+    return rest.unionByName(touched.withColumns({"text": F.col(done)["text"], column: measures}).drop(spans, whole, done))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

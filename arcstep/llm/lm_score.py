@@ -1,191 +1,230 @@
 """Cross-entropy difference scores from matched n-gram models.
 
 A target model is counted on chosen documents and a background model on all of
-them, over one shared vocabulary: the ``VOCABULARY`` most frequent words of the
-corpus, one class for every other word, and a start mark. Both are bigram models
-smoothed towards their unigram model, so the loss difference of a token depends
-on two word ids only and the scores come from one table of bounded size. A
-document's score is its mean loss under the target model less that under the
-background model: the lower, the more it is like the target.
+them, over one shared vocabulary: every word and every bigram of the corpus, each
+a symbol with a 64-bit hash, and a start mark. Under either model the loss of a
+token w after h is the log-linear mixture
 
-Counts cover all documents: words and bigrams are counted inside each task, then
-summed by key. Only the vocabulary, and the table of (VOCABULARY + 2) squared
-single-precision numbers, pass through the driver.
+    (1 - MIX) * (L(h w) - L(h)) + MIX * L(w),   L(x) = -ln((c(x) + PRIOR) / (N + PRIOR * V))
+
+with N the model's tokens and V the vocabulary's words or bigrams, both priors and
+V being those of both models. A document's score is its mean loss under the target
+model less that under the background model: the lower, the more it is like the
+target. Losses are sums over symbols, so a document is scored by one join of its
+distinct symbols with the table of counts.
+
+No document is scored by itself: its own counts are taken off both models first
+(off the target model where it is a target). Where ``train`` is given, the models
+are counted on it alone and nothing is taken off.
+
+What is gathered follows the corpus: the counts are a keyed table of Spark's. Only
+two things of fixed size reach the driver and the tasks, and both only save work:
+the counts of the ``MAX_HOT`` most frequent symbols, so that those never meet in a
+join, and a filter of the symbols that two documents share, since others have no
+count but a document's own.
 
 Words are what the six ASCII separators part, A-Z lower-cased. Defined results for
-odd input: null, empty and wordless texts have no tokens and a null score; a null
+odd input: null, empty and wordless texts have no tokens and null losses; a null
 doc_id is scored and never a target; rows with the same doc_id are scored each;
-without targets the target model is uniform; an empty table gives no rows; other
-columns are ignored.
+without targets all target counts are zero; an empty table gives no rows; other
+columns are ignored; texts of any length are cut into blocks at no loss.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcstep.llm.common import checkpoint, map_batches, ship_package, table
-
-#: Words with an id of their own.
-VOCABULARY = 2_048
-#: Ids of the start mark and of all other words.
-START, OTHER = 0, 1
-#: Pseudo-counts: of the unigram model in a bigram distribution, and of each word in the unigram model.
-BIGRAM_PRIOR, UNIGRAM_PRIOR = 50.0, 0.5
-#: Entries a task counts before it passes them on.
-MAX_COUNTED = 1 << 19
+from arcstep.llm.common import bit_filter, checkpoint, in_filter, map_batches, may_be_among, table
+from arcstep.llm.shingles import mix, word_blocks
 
+#: Weight of the unigram loss in a token's loss.
+MIX = 0.3
+#: Pseudo-count of every word and every bigram.
+PRIOR = 0.1
+#: Most frequent symbols whose counts are sent to the tasks; they take 24 bytes each.
+MAX_HOT = 1 << 18
+#: Rows that a task holds before it passes them on.
+MAX_HELD = 1 << 20
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+_START = np.uint64(0x5851F42D4C957F2C)
 
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+def symbols(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For blocks of texts: the first text's place, the number of texts, their tokens, and text, symbol, own count and weight of every distinct symbol of each.
 
-
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[bytes]:
-    """The most frequent words of all documents; of equally frequent ones those that sort first."""
+    Bigrams are odd numbers, words even ones. The weight is what a symbol's loss
+    counts for in the text's loss; histories count as words with a weight only.
+    """
+    raws = [None if x is None else x.lower() for x in column.cast(pa.binary()).to_pylist()]
+    one, even = np.uint64(1), ~np.uint64(1)
+    for first, hashes, cuts, _ in word_blocks(raws):
+        n, texts = len(hashes), len(cuts) - 1
+        tokens = np.diff(cuts)
+        text = np.repeat(np.arange(texts), tokens)
+        word = hashes & even
+        before = np.concatenate(([_START], word[:-1]))[:n]
+        before[cuts[:-1][tokens > 0]] = _START
+        pair = mix(before * np.uint64(0x9E3779B97F4A7C15) ^ word) | one
+        symbol, owner = np.concatenate((word, pair, before)), np.concatenate((text, text, text))
+        weight = np.repeat([MIX, 1 - MIX, MIX - 1], n)
+        own = np.concatenate((np.ones(2 * n, np.int64), (before == _START).astype(np.int64)))
+        # Symbols of one text get one key.
+        key = mix(symbol + (owner + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        order = np.argsort(key, kind="stable")
+        at = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0))) if n else np.zeros(0, np.int64)
+        add = lambda x: np.add.reduceat(x[order], at) if n else x  # noqa: B023, E731
+        rows = order[at]
+        yield first, texts, tokens, owner[rows], symbol[rows].view(np.int64), add(own), add(weight)
+
+
+def _counted(texts: DataFrame, target: bool) -> DataFrame:
+    """(symbol, n, docs, target): occurrences and documents of every symbol, counted inside each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted: Counter[bytes] = Counter()
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            symbol, n, docs = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(symbol, kind="stable")
+            at = np.flatnonzero(np.concatenate(([True], np.diff(symbol[order]) != 0)))
+            return symbol[order][at], np.add.reduceat(n[order], at), np.add.reduceat(docs[order], at)
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(list(counted), pa.binary()), pa.array(list(counted.values()), pa.int64())], ["word", "n"]
-            )
-            counted.clear()
-            return out
+            symbol, n, docs = merged()
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(symbol), pa.array(n), pa.array(docs)], ["symbol", "n", "docs"])
 
         for batch in batches:
-            for text in batch.column(1).to_pylist():
-                counted.update(_words(text))
-                if len(counted) >= MAX_COUNTED:
+            for _, _, _, _, symbol, own, _ in symbols(batch.column(0)):
+                if len(symbol):
+                    held.append((symbol, own, np.ones(len(symbol), np.int64)))
+                    size += len(symbol)
+                if size >= MAX_HELD:
                     yield flush()
-        if counted:
+                    size = 0
+        if size:
             yield flush()
 
-    found = map_batches(_texts(docs), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in found.orderBy(F.desc("n"), "word").limit(size).collect()]
+    zero = F.lit(0).cast("long")
+    found = map_batches(texts.select("text"), run, "symbol long, n long, docs long")
+    return found.select("symbol", zero.alias("n"), zero.alias("docs"), F.col("n").alias("target")) if target else found.withColumn("target", zero)
 
 
-def encoded(docs: DataFrame, words: list[bytes]) -> DataFrame:
-    """doc_id and ids, the words' ids as 16-bit numbers."""
-    sent = docs.sparkSession.sparkContext.broadcast({w: i + 2 for i, w in enumerate(words)})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = sent.value.get
-        for batch in batches:
-            ids = [np.array([get(w, OTHER) for w in _words(t)], dtype="<u2").tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+def flagged(docs: DataFrame, targets: DataFrame) -> DataFrame:
+    """d, t (a hash of the text), text and whether the document is a target; only those that may be one are shuffled."""
+    own = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
+    ids = targets.select(F.col("doc_id").cast("long").alias("d")).where("d is not null").distinct()
+    marked = own.withColumn("may", may_be_among(docs.sparkSession, ids.select(F.xxhash64("d").alias("h")), F.xxhash64("d")))
+    rest = marked.where("not may").drop("may").withColumn("target", F.lit(False))
+    hit = ids.withColumn("target", F.lit(True))
+    return rest.unionByName(marked.where("may").drop("may").join(hit, "d", "left").fillna(False, ["target"]).select(*rest.columns))
 
-    return map_batches(_texts(docs), run, "doc_id long, ids binary")
 
+def _loss(count: Column, total: int, words: int, pairs: int) -> Column:
+    """-ln of a smoothed share; ``total`` tokens have as many words as bigrams."""
+    kinds = F.when(F.col("symbol").bitwiseAND(F.lit(1)) == 1, F.lit(float(pairs))).otherwise(F.lit(float(words)))
+    return -F.log((F.greatest(count, F.lit(0)) + PRIOR) / (F.lit(float(total)) + PRIOR * kinds))
 
-def _bigrams(raw: bytes, width: int) -> np.ndarray:
-    """Codes of a document's bigrams, the first with the start mark."""
-    ids = np.frombuffer(raw, dtype="<u2").astype(np.int32)
-    before = np.concatenate(([START], ids[:-1])).astype(np.int32) if len(ids) else ids
-    return before * width + ids
 
+def score(docs: DataFrame, targets: DataFrame, train: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss and ce_difference of every document.
 
-def bigram_counts(ids: DataFrame, targets: DataFrame, width: int) -> DataFrame:
-    """(code, background, target): how often each bigram occurs in all and in the target documents."""
-    flags = targets.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(1).alias("target")).distinct()
-    flagged = ids.join(flags, "doc_id", "left").select("ids", F.col("target").isNotNull().alias("target"))
+    ``targets`` holds the doc_ids of the target documents; the models are counted on
+    ``train``, by default on the scored documents themselves, less each by itself.
+    """
+    spark = docs.sparkSession
+    alone = train is None  # whether a document's own counts are taken off
+    corpus = flagged(docs if train is None else train, targets)
+    both = _counted(corpus, False).unionByName(_counted(corpus.where("target"), True))
+    counts = both.groupBy("symbol").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.sum("target").alias("target"))
+    # A symbol of one document has nothing left when that is taken off.
+    counts = checkpoint(counts)
+    odd = F.col("symbol").bitwiseAND(F.lit(1)) == 1
+    total = counts.agg(
+        F.sum(F.when(odd, F.col("n"))).alias("n"), F.sum(F.when(odd, F.col("target"))).alias("target"), F.count(F.when(odd, 1)).alias("pairs"), F.count(F.when(~odd, 1)).alias("words")
+    ).first()
+    sizes = [int(total["n"] or 0), int(total["target"] or 0)]
+    pairs, words = max(1, total["pairs"]), max(1, total["words"])
+    shared = counts.where("docs > 1") if alone else counts
+    # The most frequent symbols, by a bound on their count that few enough of them reach.
+    head = shared.groupBy(F.least(F.col("n"), F.lit(1 << 16)).alias("n")).count().orderBy(F.desc("n")).collect()  # at most 2^16 rows
+    least, many = (1 << 16) + 1, 0
+    for r in head:
+        if many + r["count"] > MAX_HOT:
+            break
+        least, many = r["n"], many + r["count"]
+    hot = shared.where(F.col("n") >= least).select("symbol", "n", "target").toArrow().sort_by("symbol")
+    rare = shared.where(F.col("n") < least).select("symbol", "n", "target")
+    sent = spark.sparkContext.broadcast((hot.column("symbol").to_numpy(), (hot.column("n").to_numpy(), hot.column("target").to_numpy()), bit_filter(rare.select("symbol"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            # The lowest bit of a key tells target documents.
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            code, of_target = keys >> 1, np.where(keys & 1, n, 0)
-            first = np.concatenate(([True], code[1:] != code[:-1]))
-            at = np.flatnonzero(first)
-            held.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(code[at], pa.int32()), pa.array(np.add.reduceat(n, at), pa.int64()), pa.array(np.add.reduceat(of_target, at), pa.int64())],
-                ["code", "background", "target"],
-            )
-
-        for batch in batches:
-            for raw, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.append(_bigrams(raw, width).astype(np.int64) * 2 + int(target))
-                size += len(held[-1])
-                if size >= 8 * MAX_COUNTED:
-                    yield flush()
-                    size = 0
-        if size:
-            yield flush()
+        known, of_known, bits = sent.value
+        names = ["d", "t", "target", "symbol", "n", "weight", "tokens", "background", "aim"]
 
-    return map_batches(flagged, run, "code int, background long, target long").groupBy("code").agg(
-        F.sum("background").alias("background"), F.sum("target").alias("target")
-    )
-
-
-def difference_table(counts: DataFrame, width: int) -> np.ndarray:
-    """Target loss less background loss of the second word of every bigram, width by width."""
-    spark = counts.sparkSession
-    sums = counts.groupBy((F.col("code") % width).alias("w")).agg(F.sum("background").alias("b"), F.sum("target").alias("t")).collect()
-    unigram = np.full((2, width), UNIGRAM_PRIOR)
-    for r in sums:
-        unigram[0, r["w"]] += r["b"]
-        unigram[1, r["w"]] += r["t"]
-    unigram /= unigram.sum(axis=1, keepdims=True)
-    ship_package(spark)
-
-    def row(background: np.ndarray, target: np.ndarray) -> np.ndarray:
-        p = [(c + BIGRAM_PRIOR * u) / (c.sum() + BIGRAM_PRIOR) for c, u in zip((background, target), unigram, strict=True)]
-        return (np.log(p[0]) - np.log(p[1])).astype(np.float32)
-
-    def run(group: pa.Table) -> pa.Table:
-        code = group.column("code").to_numpy()
-        both = np.zeros((2, width))
-        both[0, code % width] = group.column("background").to_numpy()
-        both[1, code % width] = group.column("target").to_numpy()
-        return pa.table({"h": pa.array([int(code[0]) // width], pa.int32()), "losses": pa.array([row(*both).tobytes()], pa.binary())})
-
-    heads = counts.withColumn("h", (F.col("code") / width).cast("int")).groupBy("h").applyInArrow(run, "h int, losses binary")
-    out = np.tile(row(np.zeros(width), np.zeros(width)), (width, 1))
-    for r in heads.collect():  # at most ``width`` rows
-        out[r["h"]] = np.frombuffer(r["losses"], dtype=np.float32)
-    return out
-
-
-def score(docs: DataFrame, targets: DataFrame, size: int = VOCABULARY, train: DataFrame | None = None) -> DataFrame:
-    """doc_id, n_tokens and ce_difference of every document.
-
-    ``targets`` holds the doc_ids of the target documents; the models are counted
-    on ``train``, by default the scored documents themselves.
-    """
-    words = vocabulary(docs if train is None else train, size)
-    width = len(words) + 2
-    ids = checkpoint(encoded(docs, words))
-    counts = checkpoint(bigram_counts(ids if train is None else encoded(train, words), targets, width))
-    sent = docs.sparkSession.sparkContext.broadcast(difference_table(counts, width))
+        def losses(count: np.ndarray, odd: np.ndarray, k: int) -> np.ndarray:
+            return -np.log((np.maximum(count, 0) + PRIOR) / (sizes[k] + PRIOR * np.where(odd, float(pairs), float(words))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat = sent.value.reshape(-1)
         for batch in batches:
-            n, scores = [], []
-            for raw in batch.column(1).to_pylist():
-                codes = _bigrams(raw, width)
-                n.append(len(codes))
-                scores.append(float(flat[codes].sum(dtype=np.float64)) / len(codes) if len(codes) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(scores, pa.float64())], ["doc_id", "n_tokens", "s"])
-
-    return map_batches(ids, run, "doc_id long, n_tokens long, s double").select("doc_id", "n_tokens", F.round("s", 6).alias("ce_difference"))
+            target = batch.column(2).to_numpy(zero_copy_only=False)
+            t = batch.column(1).to_numpy()
+            for first, texts, tokens, owner, symbol, own, weight in symbols(batch.column(3)):
+                odd = symbol & 1 == 1
+                if len(known):
+                    at = np.searchsorted(known, symbol)
+                    at[at == len(known)] = 0
+                    here = known[at] == symbol
+                else:
+                    at, here = np.zeros(len(symbol), np.int64), np.zeros(len(symbol), bool)
+                later = ~here & in_filter(bits, symbol)
+                sums = []
+                for k in range(2):
+                    count = np.where(here, of_known[k][at] if len(known) else 0, 0)
+                    if alone:
+                        count = count - own * (target[first + owner] if k else 1)
+                    sums.append(np.bincount(owner, np.where(later, 0.0, weight * losses(count, odd, k)), texts))
+                row, rows = first + owner[later], first + np.arange(texts)
+                d = batch.column(0).take(pa.array(np.concatenate((row, rows))))
+                spread = mix(t[rows].view(np.uint64) + rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+                both = lambda x, y, kind: pa.concat_arrays([pa.array(x, kind), y if isinstance(y, pa.Array) else pa.array(y, kind)])
+                none = lambda n, kind: pa.nulls(n, kind)
+                at = np.concatenate((row, rows))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        d, pa.array(t[at]), pa.array(target[at]), both(symbol[later], spread, pa.int64()), both(own[later], none(texts, pa.int64()), pa.int64()),
+                        both(weight[later], none(texts, pa.float64()), pa.float64()), both(np.zeros(len(row), np.int64), tokens, pa.int64()),
+                        both(np.zeros(len(row)), sums[0], pa.float64()), both(np.zeros(len(row)), sums[1], pa.float64()),
+                    ],
+                    names,
+                )
+
+    schema = "d long, t long, target boolean, symbol long, n long, weight double, tokens long, background double, aim double"
+    scored = flagged(docs, targets) if train is None else flagged(docs, targets.limit(0))
+    rows = map_batches(scored.select("d", "t", "target", "text"), run, schema)
+    # Rows without a weight are the documents themselves; they pass the join by a number that no symbol has.
+    found = rare.select("symbol", F.col("n").alias("all_n"), F.col("target").alias("all_target"))
+    joined = rows.join(found, "symbol", "left")
+    own = F.col("n") if alone else F.lit(0)
+    left = lambda c, less: F.coalesce(F.col(c), F.lit(0)) - less
+    part = lambda c, count, k: F.when(F.col("weight").isNull(), F.col(c)).otherwise(F.col("weight") * _loss(count, sizes[k], words, pairs)).alias(c)
+    summed = joined.select(
+        "d", "t", "tokens", F.col("weight").isNull().cast("int").alias("row"),
+        part("background", left("all_n", own), 0), part("aim", left("all_target", own * F.col("target").cast("int")), 1),
+    ).groupBy("d", "t").agg(*[F.sum(c).alias(c) for c in ("tokens", "row", "background", "aim")])
+    # Rows with equal id and text have met here; each gets its row back.
+    each = summed.select("d", "row", "tokens", "background", "aim", F.explode(F.expr("sequence(1, cast(row as int))")).alias("one"))
+    mean = lambda c, name: F.when(F.col("tokens") > 0, F.round(F.col(c) / F.col("tokens"), 6)).alias(name)
+    difference = F.when(F.col("tokens") > 0, F.round((F.col("aim") - F.col("background")) / F.col("tokens"), 6))
+    return each.select(F.col("d").alias("doc_id"), (F.col("tokens") / F.col("row")).cast("long").alias("n_tokens"), mean("aim", "target_loss"), mean("background", "background_loss"), difference.alias("ce_difference"))
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's score; the target is the documents labelled as of good quality."""
+    """Every document's losses and score; the target is the documents labelled as of good quality."""
     targets = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return score(table(spark, sf_dir, "documents"), targets)
 

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcstep.llm.common import checkpoint, connected_components, map_batches, next_power_of_two, table
+from arcstep.llm.common import bit_filter, checkpoint, connected_components, free_name, give_back_memory, in_filter, map_batches, may_be_among, next_power_of_two, table, written
 from arcstep.llm.shingles import mix, shingle_sets
 
 #: Share of the hash range whose tokens are counted in step 1.
@@ -53,18 +53,16 @@ COUNTED = 0.3
 FREQUENT = 16
 #: Frequent tokens at most; the list is sent to the tasks and takes eight bytes each.
 MAX_FREQUENT = 1 << 18
-#: Bits of the filter of documents left after step 1; its size is fixed, and others that it lets through cost time only.
-FILTER_BITS = 1 << 26
 #: A parity sketch has two bits for each token of the set, rounded up to a power of two, and at least this many.
 SKETCH_BITS = 1 << 8
 #: Classes on either side of a block of candidates; an entry with more is cut into several.
 BLOCK = 1 << 12
 #: Index rows that one group of small entries holds at most, or little more.
-GROUP_ROWS = 1 << 15
+GROUP_ROWS = 1 << 13
 #: Similarity of a link, as a fraction.
 SIMILAR = (80, 100)
 
-_KEY = "doc_id long, n long, c long"
+_KEY = "doc_id long, t long, n long, c long"
 
 
 def _class_of(tokens: np.ndarray) -> int:
@@ -77,17 +75,18 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size) and c (the set's name; null for an empty set)."""
+    """doc_id, t (a hash of the text), n (set size) and c (the set's name; null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, names = [], []
-            for s in shingle_sets(batch.column(1).to_pylist()):
+            for s in shingle_sets(batch.column(2).to_pylist()):
                 sizes.append(len(s))
                 names.append(_class_of(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64())], ["doc_id", "n", "c"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(names, pa.int64())], ["doc_id", "t", "n", "c"])
 
-    return map_batches(_texts(docs), run, _KEY)
+    text = F.col("text").cast("string")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text")), run, _KEY)
 
 
 def _counted_tokens(docs: DataFrame) -> DataFrame:
@@ -126,29 +125,18 @@ def candidates_left(docs: DataFrame, sets: DataFrame) -> DataFrame:
     return classes.join(own, "c", "left").where("own is null or 5 * own <= n").select("c", "doc_id")
 
 
-def document_filter(left: DataFrame) -> np.ndarray:
-    """A bit for one document of every class left, at a place given by its id; at most FILTER_BITS / 64 rows are fetched."""
-    placed = left.where("doc_id is not null").select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("place"))
-    words = placed.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits"))
-    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    found = words.toPandas()
-    out[found["word"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64)
-    return out.view(np.uint64)
-
-
 def token_sets(docs: DataFrame, left: DataFrame) -> DataFrame:
     """(c, n, tokens) of the classes left, tokens sorted as unsigned numbers.
 
     A document that the filter lets through although it is not wanted, or a
     second one of a class, adds rows that change no result.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(document_filter(left))
+    sent = docs.sparkSession.sparkContext.broadcast(bit_filter(left.where("doc_id is not null").select(F.xxhash64("doc_id").alias("h"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
         for batch in batches:
-            places = batch.column(0).to_numpy(zero_copy_only=False)
-            wanted = (bits[places >> 6] >> (places & 63).astype(np.uint64)) & np.uint64(1) != 0
+            wanted = in_filter(bits, batch.column(0).to_numpy(zero_copy_only=False))
             # A class may have null ids only.
             wanted |= batch.column(1).is_null().to_numpy(zero_copy_only=False)
             texts = batch.column(2).filter(pa.array(wanted)).to_pylist()
@@ -165,8 +153,7 @@ def token_sets(docs: DataFrame, left: DataFrame) -> DataFrame:
                     ["c", "n", "tokens"],
                 )
 
-    placed = _texts(docs).select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("place"), "doc_id", "text")
-    return map_batches(placed, run, "c long, n long, tokens array<long>")
+    return map_batches(_texts(docs).select(F.xxhash64("doc_id").alias("h"), "doc_id", "text"), run, "c long, n long, tokens array<long>")
 
 
 def frequent_tokens(sets: DataFrame) -> np.ndarray:
@@ -179,8 +166,7 @@ def frequent_tokens(sets: DataFrame) -> np.ndarray:
         .orderBy(F.desc("df"), "token")
         .limit(MAX_FREQUENT)
     )
-    rows = head.collect()
-    return np.array([r["token"] for r in reversed(rows)], dtype=np.int64).view(np.uint64)
+    return head.toArrow().column("token").to_numpy()[::-1].copy().view(np.uint64)
 
 
 def size_class(n: int) -> int:
@@ -405,6 +391,8 @@ def _sweeper(forest: bool) -> Callable[[pa.Table], pa.Table]:
         p, q = one[p], one[q]
         swap = c[p] > c[q]
         p, q = np.where(swap, q, p), np.where(swap, p, q)
+        if len(c) > GROUP_ROWS // 8:
+            give_back_memory()
         return pa.table({"a": c[p], "b": c[q], "ca": comp[p], "cb": comp[q]})
 
     return run
@@ -458,21 +446,49 @@ def components(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return labels.join(joined, "comp", "left").select("c", F.coalesce("new", "comp").alias("comp"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
+def labelled_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, t (a hash of the text), n, comp (the component's name) and component_id of every document."""
     sets = checkpoint(document_sets(docs))
     left = checkpoint(candidates_left(docs, sets))
     tokens = checkpoint(token_sets(docs, left))
     rows = checkpoint(index_rows(tokens, frequent_tokens(tokens)))
     labels = components(rows, tokens)
     classes = sets.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
-    named = classes.join(labels, "c", "left").select("c", "least", F.coalesce("comp", "c").alias("comp"))
+    named = written(classes.join(labels, "c", "left").select("c", "least", F.coalesce("comp", "c").alias("comp")))
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    by_class = named.join(least, "comp").select("c", "component_id")
+    by_class = named.join(least, "comp").select("c", "comp", "component_id")
     return sets.join(by_class, "c", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-    )
+        "doc_id", "t", "n", "comp", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    )
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document."""
+    return labelled_documents(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of every component: the least doc_id, nulls last, then the least hash of the text.
+
+    Rows are told apart by doc_id and text; of those with both equal, one that is
+    least in the other columns stays. Documents without a shingle all stay.
+    """
+    rows = labelled_documents(docs).where("comp is not null").select("comp", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t").alias("key"))
+    keys = checkpoint(rows.groupBy("comp", "key").agg(F.count(F.lit(1)).alias("n")))
+    first = keys.groupBy("comp").agg(F.min("key").alias("first"))
+    judged = keys.join(first, "comp").select("key.doc_id", "key.t", (F.col("key") == F.col("first")).alias("stays"), "n").where("not stays or n > 1")
+    d, t, h, stays = (free_name(x, docs.columns) for x in ("d", "t", "h", "stays"))
+    found = written(judged.select(F.col("doc_id").alias(d), F.col("t").alias(t), F.col("stays").alias(stays), F.xxhash64("doc_id", "t").alias(h)))
+    own = docs.withColumns({d: F.col("doc_id").cast("long"), t: F.xxhash64(F.col("text").cast("string"))})
+    marked = own.withColumn(h, may_be_among(docs.sparkSession, found.select(h), F.xxhash64(d, t)))
+    rest = marked.where(~F.col(h)).drop(d, t, h)
+    named = found.drop(h)
+    same = marked[d].eqNullSafe(named[d]) & (marked[t] == named[t])
+    touched = marked.where(h).join(named, same, "left").drop(named[d], named[t])
+    once = touched.where(F.col(stays).isNull()).drop(d, t, h, stays)
+    row = F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row")
+    several = touched.where(stays).select(d, t, row).groupBy(d, t).agg(F.min("row").alias("row")).select("row.*")
+    return rest.unionByName(once).unionByName(several)
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ ignored.
 from __future__ import annotations
 
 import heapq
+import math
 import os
 import zlib
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcstep.llm.bpe import vocabulary_path
-from arcstep.llm.common import map_batches, table
+from arcstep.llm.common import map_batches, next_power_of_two, table
 from arcstep.llm.word_cache import ChunkTable
 
 #: Tokens of a full sequence.
@@ -76,41 +77,45 @@ def assign(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int,
         used[seq] += n
         spent[seq] += cost(n)
 
-    # One heap for each binary order of magnitude of free tokens, lowest cost first.
-    heaps: list[list[tuple[float, int]]] = [[] for _ in range(capacity.bit_length())]
+    # A heap of (cost, sequence) for each number of free tokens, and a tree of the heaps' least entries.
+    none = (math.inf, -1)
+    width = next_power_of_two(capacity)
+    heaps: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
+    tree = [none] * (2 * width)
+
+    def changed(free: int) -> None:
+        at = width + free - 1
+        tree[at] = heaps[free][0] if heaps[free] else none
+        while at := at >> 1:
+            tree[at] = min(tree[2 * at], tree[2 * at + 1])
 
     def offer(seq: int) -> None:
         if free := sizes[seq] - used[seq]:
-            heapq.heappush(heaps[free.bit_length() - 1], (spent[seq], seq))
+            heapq.heappush(heaps[free], (spent[seq], seq))
+            changed(free)
 
     def lowest(need: int) -> int | None:
-        """Takes the lowest-cost sequence with ``need`` free tokens; within the order of ``need`` itself, the first that fits."""
-        low = need.bit_length() - 1
-        best: tuple[float, int] | None = None
-        where = -1
-        for k in range(low + 1, len(heaps)):
-            if heaps[k] and (best is None or heaps[k][0] < best):
-                best, where = heaps[k][0], k
-        skipped = []
-        while heaps[low]:
-            top = heaps[low][0]
-            if best is not None and best < top:
-                break
-            heapq.heappop(heaps[low])
-            if sizes[top[1]] - used[top[1]] >= need:
-                best, where = top, -1
-                break
-            skipped.append(top)
-            if len(skipped) >= 64 and best is not None:
-                break
-        for x in skipped:
-            heapq.heappush(heaps[low], x)
-        if best is None:
+        """Takes the lowest-cost sequence with ``need`` free tokens or more."""
+        best, a, b = none, width + need - 1, 2 * width
+        while a < b:
+            if a & 1:
+                best = min(best, tree[a])
+                a += 1
+            a, b = a >> 1, b >> 1
+        if best is none:
             return None
-        if where >= 0:
-            heapq.heappop(heaps[where])
+        free = sizes[best[1]] - used[best[1]]
+        heapq.heappop(heaps[free])
+        changed(free)
         return best[1]
 
+    def roomiest() -> int:
+        """Takes the lowest-cost one of the sequences with most free tokens."""
+        at = 1
+        while at < width:
+            at = 2 * at + (tree[2 * at + 1] is not none)
+        return lowest(at - width + 1)
+
     for seq in range(len(sizes)):
         offer(seq)
     pieces = []
@@ -127,7 +132,7 @@ def assign(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int,
             seq = lowest(n)
             take = n
             if seq is None:  # fits nowhere: fill the sequence with most room, lowest cost first
-                seq = lowest(1 << next(k for k in reversed(range(len(heaps))) if heaps[k]))
+                seq = roomiest()
                 take = min(n, sizes[seq] - used[seq])
             put(doc, start, take, seq)
             offer(seq)
@@ -165,7 +170,7 @@ def _chunks(path: str) -> ChunkTable:
             raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
             return [raw[a:b] for a, b in zip(at, at[1:])]
 
-        _loaded[path] = ChunkTable(words, other, b"")
+        _loaded[path] = ChunkTable(words, lambda many: map(other, many), b"")
     return _loaded[path]
 
 
@@ -224,6 +229,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, group_tokens: int
                     yield flush()
         if held:
             yield flush()
+        _loaded.clear()  # the worker lives on, and other stages need its memory
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return map_batches(texts, run, schema)

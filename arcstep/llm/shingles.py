@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes hashed at once; bounds the memory of a task.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 #: Words of a shingle.
 WIDTH = 5
 
@@ -59,14 +59,7 @@ def word_hashes(raw: bytes) -> np.ndarray:
     """Hashes of a text's words, in blocks cut at white space."""
     if len(raw) <= BLOCK_BYTES:
         return _block_words(raw)[1]
-    out, at = [], 0
-    while at < len(raw):
-        end = at + BLOCK_BYTES
-        while end < len(raw) and not _SPACE[raw[end]]:
-            end += 1
-        out.append(_block_words(raw[at:end])[1])
-        at = end
-    return np.concatenate(out)
+    return np.concatenate([h for _, _, h in _long_blocks(raw)])
 
 
 def _combine(words: np.ndarray, width: int) -> np.ndarray:
@@ -118,3 +111,42 @@ def shingle_sets(texts: list[str | None], width: int = WIDTH) -> Iterator[np.nda
         size += len(raw) + 1
     if group:
         yield from flush()
+
+
+def word_blocks(raws: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts in blocks of bounded size: the first text's place, the hashes of the words, each text's first word (and the end), the word after each line with a word."""
+
+    def block(group: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        raw = b"\n".join(group)
+        offsets = np.cumsum([0, *(len(r) + 1 for r in group)])
+        if len(group) > 1 or len(raw) <= BLOCK_BYTES:
+            starts, hashes = _block_words(raw)
+        else:
+            parts = list(_long_blocks(raw))
+            starts, hashes = np.concatenate([at + s for at, s, _ in parts]), np.concatenate([h for _, _, h in parts])
+        breaks = np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 10)
+        ends = np.unique(np.append(np.searchsorted(starts, breaks), len(starts)))
+        return hashes, np.searchsorted(starts, offsets).astype(np.int64), ends[ends > 0].astype(np.int64)
+
+    group: list[bytes] = []
+    size = first = 0
+    for raw in raws:
+        raw = raw or b""
+        if group and size + len(raw) > BLOCK_BYTES:
+            yield first, *block(group)
+            first, group, size = first + len(group), [], 0
+        group.append(raw)
+        size += len(raw) + 1
+    if group:
+        yield first, *block(group)
+
+
+def _long_blocks(raw: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Places, starts and hashes of the parts of a long text, cut at white space."""
+    at = 0
+    while at < len(raw):
+        end = at + BLOCK_BYTES
+        while end < len(raw) and not _SPACE[raw[end]]:
+            end += 1
+        yield at, *_block_words(raw[at:end])
+        at = end

@@ -7,9 +7,12 @@ blocked hosts along the reversed edges (distrust); a host is blocked when its
 distrust exceeds ``THRESHOLD`` times its trust.
 
 Host edges are the absolute links of the pages, and edges between a host and its
-parent domain, so that a site's subdomains share their reputation. All steps are
-DataFrame functions; pages are counted by host before anything is shuffled, and
-the rank steps join and sum host rows only.
+parent domain, so that a site's subdomains share their reputation. What reaches a
+host without edges goes back to the seeds, and the steps end when ``CUT_EVERY`` of
+them move less than ``TOLERANCE`` of the mass. All steps are DataFrame functions;
+the pages' html is read once, pages are counted by host before anything is
+shuffled, the rank steps join and sum host rows only, and a host's pages meet its
+row in ``SALTS`` parts, since one host may have a third of all pages.
 
 Defined results for odd input: a null url, or one without ``://``, has an empty
 host and path, no rule and no links, and is allowed; a null html has no links;
@@ -22,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcstep.llm.common import checkpoint, table
+from arcstep.llm.common import discard, table, written
 
 #: (verdict, host/path) in any order.
 RULES: tuple[tuple[str, str], ...] = (
@@ -34,10 +37,14 @@ RULES: tuple[tuple[str, str], ...] = (
 )
 #: Share of a score that is passed along the edges in a step.
 DAMPING = 0.85
-#: Steps of both propagations.
-STEPS = 10
-#: Steps between checkpoints.
+#: Steps of a propagation at most, and the share of the mass that still moves when it ends.
+STEPS, TOLERANCE = 60, 1e-2
+#: Steps between checkpoints, after which the end is tested.
 CUT_EVERY = 5
+#: Parts over which the pages of a host are dealt.
+SALTS = 32
+#: Stands for all hosts without edges; no page has it as its host.
+_SINK = ""
 #: A host is blocked when its distrust is more than this many times its trust.
 THRESHOLD = 1.0
 #: Share of a host's pages that must be blocked, or allowed, by rules to make it a seed.
@@ -82,6 +89,13 @@ def rules_frame(spark: SparkSession, rules: tuple[tuple[str, str], ...] = RULES)
     return each.groupBy("rule_host").agg(F.collect_set("rule").alias("rules"))
 
 
+def by_host_row(pages: DataFrame, hosts: DataFrame) -> DataFrame:
+    """``pages`` with the columns of their host's one row, if there is one."""
+    dealt = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)))
+    copies = hosts.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+    return dealt.join(copies, ["host", "salt"], "left").drop("salt")
+
+
 def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds ``rule`` and ``rule_verdict``, both null where no rule fits, to rows with host and path.
 
@@ -95,7 +109,7 @@ def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
         .groupBy("host")
         .agg(F.flatten(F.collect_list("rules")).alias("rules"))
     )
-    joined = pages.join(by_host, "host", "left")
+    joined = by_host_row(pages, by_host)
     fits = F.filter("rules", lambda r: F.col("path").startswith(r["path"]))
     best = F.element_at(
         F.array_sort(
@@ -109,10 +123,8 @@ def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, w): links between different hosts, and parent-domain edges both ways."""
-    links = pages.where("html is not null and host <> ''").select(
-        F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1))).alias("to")
-    )
+    """(src, dst, w): links of pages (host, links) between different hosts, and parent-domain edges both ways."""
+    links = pages.where("host <> ''").select(F.col("host").alias("src"), F.explode("links").alias("to"))
     links = links.select("src", F.translate("to", _UPPER, _LOWER).alias("dst"), F.lit(1.0).alias("w"))
     hosts = pages.where("host <> ''").select("host").distinct()
     up = (
@@ -125,23 +137,34 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.unionByName(up).unionByName(down).where("src <> dst").groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, score): personalised PageRank from seeds (host, s), s adding up to one.
 
-    Scores of hosts without out-edges are not passed on.
+    Hosts without out-edges pass their score to a sink, which deals it to the seeds
+    a step later, its damping made up for; the sink itself is not returned.
     """
     out = edges.groupBy("src").agg(F.sum("w").alias("total"))
-    shares = checkpoint(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")))
-    base = checkpoint(seeds.select("host", ((1 - DAMPING) * F.col("s")).alias("score")))
-    ranks = seeds.select("host", F.col("s").alias("score"))
+    shares = edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share"))
+    ends = edges.select(F.col("dst").alias("src")).union(seeds.select("host")).distinct().join(out, "src", "left_anti")
+    to_sink = ends.select("src", F.lit(_SINK).alias("dst"), F.lit(1.0).alias("share"))
+    from_sink = seeds.select(F.lit(_SINK).alias("src"), F.col("host").alias("dst"), (F.col("s") / DAMPING).alias("share"))
+    shares = written(shares.unionByName(to_sink).unionByName(from_sink))
+    base = written(seeds.select("host", ((1 - DAMPING) * F.col("s")).alias("score")))
+    ranks = last = seeds.select("host", F.col("s").alias("score"))
     for step in range(1, steps + 1):
         moved = ranks.join(shares, F.col("host") == F.col("src")).select(
             F.col("dst").alias("host"), (F.lit(DAMPING) * F.col("score") * F.col("share")).alias("score")
         )
         ranks = moved.unionByName(base).groupBy("host").agg(F.sum("score").alias("score"))
         if step % CUT_EVERY == 0 or step == steps:
-            ranks = checkpoint(ranks)
-    return ranks
+            before, last = last, written(ranks)
+            ranks = last
+            change = ranks.unionByName(before.select("host", (-F.col("score")).alias("score"))).groupBy("host").agg(F.sum("score").alias("d"))
+            moving = change.agg(F.sum(F.abs("d"))).first()[0]
+            discard(before)
+            if moving is None or moving < tolerance:
+                break
+    return ranks.where(F.col("host") != _SINK)
 
 
 def host_scores(edges: DataFrame, counts: DataFrame) -> DataFrame:
@@ -163,14 +186,15 @@ def host_scores(edges: DataFrame, counts: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, and the host's trust and distrust."""
     host, path = host_and_path(F.col("url"))
-    read = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"), "html")
-    judged = match_rules(read.drop("html"), rules_frame(pages.sparkSession, rules))
+    links = F.coalesce(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1)), F.array().cast("array<string>"))
+    read = written(pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"), links.alias("links")))
+    judged = written(match_rules(read.drop("links"), rules_frame(pages.sparkSession, rules)))
     is_ = lambda v: F.count(F.when(F.col("rule_verdict") == v, 1))
-    counts = checkpoint(judged.groupBy("host").agg(F.count(F.lit(1)).alias("n"), is_("allow").alias("allowed"), is_("block").alias("blocked")))
-    scores = host_scores(checkpoint(host_edges(read)), counts)
+    counts = written(judged.groupBy("host").agg(F.count(F.lit(1)).alias("n"), is_("allow").alias("allowed"), is_("block").alias("blocked")))
+    scores = host_scores(written(host_edges(read)), counts)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     method = F.when(zero("distrust") > THRESHOLD * zero("trust"), "block").otherwise("allow")
-    return judged.join(scores, "host", "left").select(
+    return by_host_row(judged, written(scores)).select(
         "page_id", "host", "path", "rule",
         F.coalesce("rule_verdict", method).alias("verdict"),
         F.round(zero("trust"), 9).alias("trust"), F.round(zero("distrust"), 9).alias("distrust"),
@@ -186,16 +210,23 @@ def oracle_sql() -> dict[str, str]:
     rules = ", ".join(f"('{v}', '{r}', '{r.split('/')[0]}', '{r[r.index('/'):]}')" for v, r in RULES)
 
     def ranks(name: str, edges: str, seeds: str) -> str:
-        return f"""{name}_share AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM {edges}),
-{name}(step, host, score) AS (
+        return f"""{name}_share AS MATERIALIZED (
+  SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM {edges}
+  UNION ALL SELECT DISTINCT src, '{_SINK}', 1.0::DOUBLE FROM (SELECT dst AS src FROM {edges} UNION SELECT host FROM {seeds}) WHERE src NOT IN (SELECT src FROM {edges})
+  UNION ALL SELECT '{_SINK}', host, s / {DAMPING} FROM {seeds}),
+{name}_all(step, host, score) AS (
   SELECT 0, host, s FROM {seeds}
   UNION ALL
   SELECT step + 1, host, sum(score) FROM (
-    SELECT step, dst AS host, {DAMPING} * score * share AS score FROM {name} JOIN {name}_share ON src = host
+    SELECT step, dst AS host, {DAMPING} * score * share AS score FROM {name}_all JOIN {name}_share ON src = host
     UNION ALL
-    SELECT t.step, x.host, {1 - DAMPING} * x.s FROM {seeds} x, (SELECT max(step) AS step FROM {name}) t WHERE t.step IS NOT NULL
+    SELECT t.step, x.host, {1 - DAMPING} * x.s FROM {seeds} x, (SELECT max(step) AS step FROM {name}_all) t WHERE t.step IS NOT NULL
   ) WHERE step < {STEPS} GROUP BY step, host
-)"""
+),
+{name}_end AS (SELECT coalesce(min(step), {STEPS}) AS step FROM (SELECT step, sum(abs(d)) AS moving FROM (
+  SELECT step, host, sum(score) AS d FROM (SELECT step, host, score FROM {name}_all WHERE step > 0 AND step % {CUT_EVERY} = 0 UNION ALL SELECT step + {CUT_EVERY}, host, -score FROM {name}_all WHERE step % {CUT_EVERY} = 0 AND step < {STEPS}) GROUP BY step, host
+) GROUP BY step) WHERE moving < {TOLERANCE}),
+{name} AS MATERIALIZED (SELECT host, score FROM {name}_all WHERE step = (SELECT step FROM {name}_end))"""
 
     return {
         "op6_url_filter": f"""
@@ -222,8 +253,7 @@ eb AS (SELECT dst AS src, src AS dst, w FROM e),
 SELECT page_id, j.host, path, rule,
   coalesce(rv, CASE WHEN coalesce(dd.score, 0) > {THRESHOLD} * coalesce(tt.score, 0) THEN 'block' ELSE 'allow' END) AS verdict,
   round(coalesce(tt.score, 0), 9) AS trust, round(coalesce(dd.score, 0), 9) AS distrust
-FROM j LEFT JOIN (SELECT host, score FROM t WHERE step = {STEPS}) tt ON tt.host = j.host
-       LEFT JOIN (SELECT host, score FROM d WHERE step = {STEPS}) dd ON dd.host = j.host"""
+FROM j LEFT JOIN t tt ON tt.host = j.host AND j.host <> '' LEFT JOIN d dd ON dd.host = j.host AND j.host <> ''"""
     }
 
 

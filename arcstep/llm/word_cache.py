@@ -12,18 +12,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 #: Entries kept by one worker; an entry takes about 150 bytes.
-MAX_ENTRIES = 500_000
+MAX_ENTRIES = 150_000
 #: Longer chunks are never kept.
 MAX_CHUNK_BYTES = 64
 
 
 class ChunkTable:
-    """``encode_words`` encodes words of letters only; ``encode_other`` anything else; both give bytes."""
+    """``encode_words`` encodes words of letters only; ``encode_other`` anything else; both take many and give bytes."""
 
     def __init__(
         self,
         encode_words: Callable[[list[bytes]], Iterable[bytes]],
-        encode_other: Callable[[bytes], bytes],
+        encode_other: Callable[[list[bytes]], Iterable[bytes]],
         joiner: bytes,
         max_entries: int = MAX_ENTRIES,
     ) -> None:
@@ -53,22 +53,16 @@ class ChunkTable:
             if len(chunk) <= MAX_CHUNK_BYTES and (word := self.core(chunk)) is not None:
                 cores[chunk] = word
         words = [w for w in dict.fromkeys(cores.values()) if w not in self.known]
-        added = list(words)
+        tails = {chunk[len(chunk.rstrip(b".,")) :] for chunk in cores} - {b""}
+        others = [c for c in dict.fromkeys((*tails, *(c for c in missing if c not in cores))) if c not in self.known]
         self.known.update(zip(words, self.encode_words(words), strict=True))
-        for chunk in missing:
-            word = cores.get(chunk)
-            if word is None:
-                self.known[chunk] = self.encode_other(chunk)
-            elif chunk not in self.known:
-                value = self.known[word]
+        self.known.update(zip(others, self.encode_other(others), strict=True))
+        added = [*words, *others]
+        for chunk, word in cores.items():
+            if chunk not in self.known:
                 tail = chunk[len(chunk.rstrip(b".,")) :]
-                if tail:
-                    if tail not in self.known:
-                        self.known[tail] = self.encode_other(tail)
-                        added.append(tail)
-                    value = self.joiner.join((value, self.known[tail]))
-                self.known[chunk] = value
-            added.append(chunk)
+                self.known[chunk] = self.joiner.join((self.known[word], self.known[tail])) if tail else self.known[word]
+                added.append(chunk)
         room = self.max_entries - (len(self.known) - len(added))
         return [c for i, c in enumerate(added) if i >= room or len(c) > MAX_CHUNK_BYTES]
 
