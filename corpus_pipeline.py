@@ -1,9 +1,16 @@
 """The corpus pipeline: quality rules, line dedup, near duplicates, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on everything that the one
-before kept; all but the last return the columns of ``documents``. Documents are
-told apart by doc_id, which the pipeline takes to be unique, as it is in the
-table. ``text`` and, after line dedup, ``n_chars`` follow the decisions.
+before kept; all but the last return the columns of ``documents``, whatever other
+columns there are and however they are named. ``text`` and, after line dedup,
+``n_chars`` follow the decisions.
+
+Defined results for odd input, in every stage: an empty table gives no rows; a
+null text counts as empty, and fails the quality rules as having few words; a null
+doc_id keeps its row and comes first in line dedup, last among near duplicates;
+rows are told apart by doc_id and text, so that of rows equal in both one stays in
+the third stage, while rows of one doc_id with different texts are judged each by
+its own text; texts of any length are processed whole.
 """
 
 from __future__ import annotations
@@ -14,10 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcstep.llm import bpe, line_dedup, ngram_join, packing, quality_rules
-from arcstep.llm.common import checkpoint
+from arcstep.llm.common import checkpoint, free_name
 
 #: SQL has no tokenizer, so the pipeline's rows are tested against a brute-force version.
 ORACLE_SQL = None
+#: A document that loses more than this share of its words as repeats of others is a near copy; its rest goes, too.
+LEAST_LOST = 0.5
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,19 +35,19 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated runs of lines and words; those that lose every line go."""
-    done = line_dedup.dedup_text(docs)
-    kept = done.where("dedup.n_lines = 0 or dedup.n_removed < dedup.n_lines").drop("dedup")
+    """Documents without their repeated runs of lines and words; those that lose every line, or most of their words, go."""
+    name = free_name("dedup", docs.columns)
+    done = line_dedup.dedup_text(docs, column=name)
+    lost = F.col(name)["removed_words"] > LEAST_LOST * F.col(name)["n_words"]
+    kept = done.where((F.col(name)["n_lines"] == 0) | ((F.col(name)["n_removed"] < F.col(name)["n_lines"]) & ~lost)).drop(name)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    return kept
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of every group of near duplicates."""
-    found = ngram_join.near_duplicates(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of every group of near duplicates: that with the smallest doc_id."""
+    return ngram_join.one_of_each(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
