@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcstep.llm.common import bit_filter, checkpoint, in_filter, map_batches, may_be_among, table
+from arcstep.llm.common import bit_filter, in_filter, map_batches, may_be_among, table, written
 from arcstep.llm.shingles import mix, word_blocks
 
 #: Weight of the unigram loss in a token's loss.
@@ -49,7 +49,7 @@ PRIOR = 0.1
 #: Most frequent symbols whose counts are sent to the tasks; they take 24 bytes each.
 MAX_HOT = 1 << 18
 #: Rows that a task holds before it passes them on.
-MAX_HELD = 1 << 20
+MAX_HELD = 1 << 21
 
 _START = np.uint64(0x5851F42D4C957F2C)
 
@@ -144,7 +144,7 @@ def score(docs: DataFrame, targets: DataFrame, train: DataFrame | None = None) -
     both = _counted(corpus, False).unionByName(_counted(corpus.where("target"), True))
     counts = both.groupBy("symbol").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.sum("target").alias("target"))
     # A symbol of one document has nothing left when that is taken off.
-    counts = checkpoint(counts)
+    counts = written(counts)
     odd = F.col("symbol").bitwiseAND(F.lit(1)) == 1
     total = counts.agg(
         F.sum(F.when(odd, F.col("n"))).alias("n"), F.sum(F.when(odd, F.col("target"))).alias("target"), F.count(F.when(odd, 1)).alias("pairs"), F.count(F.when(~odd, 1)).alias("words")
