@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from arcstep.operators import analysis, builder, calls, dataflow, dominance, graph, transform
+from arcstep.operators import analysis, builder, calls, dataflow, depth_first, dominance, graph, transform, values
 from arcstep.operators.frames import checkpoint
 from arcstep.plans import sql
 from arcstep.plans.registry import query
@@ -291,8 +291,8 @@ def trampolines(spark, d):
 
 
 @query(_EMPTY + """, byp AS MATERIALIZED (SELECT e.graph_id, e.node_id, one.nxt FROM empty e JOIN one ON one.graph_id = e.graph_id AND one.src = e.node_id WHERE e.node_id <> 0 AND e.node_id <> nxt AND kind IN ('Fallthrough', 'Unconditional')),
-r(graph_id, seed, at, hop) AS (SELECT graph_id, node_id, nxt, 1 FROM byp UNION ALL SELECT r.graph_id, r.seed, byp.nxt, hop + 1 FROM r JOIN byp ON byp.graph_id = r.graph_id AND byp.node_id = r.at WHERE hop < 500),
-t AS (SELECT graph_id, seed, arg_max(at, hop) AS "to" FROM r GROUP BY graph_id, seed)
+r(graph_id, seed, cur, hop) AS (SELECT graph_id, node_id, nxt, 1 FROM byp UNION ALL SELECT r.graph_id, r.seed, byp.nxt, hop + 1 FROM r JOIN byp ON byp.graph_id = r.graph_id AND byp.node_id = r.cur WHERE hop < 500),
+t AS (SELECT graph_id, seed, arg_max(cur, hop) AS "to" FROM r GROUP BY graph_id, seed)
 SELECT pe.graph_id, edge_id, src, coalesce(t."to", dst) AS dst FROM pe LEFT JOIN t ON t.graph_id = pe.graph_id AND t.seed = pe.dst WHERE NOT EXISTS (SELECT 1 FROM t x WHERE x.graph_id = pe.graph_id AND x.seed = pe.src)""")
 def empty_block_bypass(spark, d):
     """Edges that skip the blocks left without instructions."""
@@ -343,3 +343,111 @@ def may_alias(spark, d):
 def all_live_variables(spark, d):
     """Variables that are live anywhere in a program."""
     return dataflow.all_live_variables(dataflow.liveness(*tables.programs(spark, d)))
+
+
+# -- values ---------------------------------------------------------------------------------
+
+#: Views and clicks are operations on the last error; other events' results are unknown.
+_VALUES = """, ni AS MATERIALIZED (SELECT * REPLACE (CASE WHEN name IN ('view', 'click') THEN 'error' ELSE before END AS before), CASE WHEN name IN ('view', 'click') THEN name END AS op FROM ins),
+src AS MATERIALIZED (SELECT i.graph_id, i.block, i.idx, i.before, max({'depth': p.depth, 'idx': j.idx, 'block': j.block}) AS m FROM ni i LEFT JOIN (dom d JOIN depth p ON p.graph_id = d.graph_id AND p.n = d.d JOIN ins j ON j.graph_id = d.graph_id AND j.block = d.d)
+  ON d.graph_id = i.graph_id AND d.n = i.block AND j.name = i.before AND (j.block <> i.block OR j.idx < i.idx) GROUP BY i.graph_id, i.block, i.idx, i.before),
+val(graph_id, block, idx, v) AS (SELECT n.graph_id, n.block, n.idx, CASE WHEN op IS NULL THEN 'site ' || n.block || ' ' || n.idx ELSE op || '(' || coalesce('entry ' || n.before, '') || ')' END FROM ni n JOIN src s ON s.graph_id = n.graph_id AND s.block = n.block AND s.idx = n.idx WHERE op IS NULL OR s.m['block'] IS NULL
+  UNION ALL SELECT n.graph_id, n.block, n.idx, n.op || '(' || v.v || ')' FROM val v JOIN src s ON s.graph_id = v.graph_id AND s.m['block'] = v.block AND s.m['idx'] = v.idx JOIN ni n ON n.graph_id = s.graph_id AND n.block = s.block AND n.idx = s.idx AND n.op IS NOT NULL),
+vv AS MATERIALIZED (SELECT v.* FROM val v JOIN ni n ON n.graph_id = v.graph_id AND n.block = v.block AND n.idx = v.idx AND n.op IS NOT NULL),
+red AS MATERIALIZED (SELECT graph_id, block, idx FROM vv a WHERE EXISTS (SELECT 1 FROM vv b WHERE b.graph_id = a.graph_id AND b.v = a.v AND b.block = a.block AND b.idx < a.idx)
+  OR EXISTS (SELECT 1 FROM vv b JOIN dom d ON d.graph_id = b.graph_id AND d.d = b.block WHERE b.graph_id = a.graph_id AND b.v = a.v AND d.n = a.block AND b.block <> a.block))
+"""
+_D = with_(sql.PROGRAMS, sql.DOM)
+
+
+def _operations(ins):
+    is_op = F.col("name").isin("view", "click")
+    return ins.withColumn("op", F.when(is_op, F.col("name"))).withColumn("uses", F.when(is_op, F.array(F.lit("error"))).otherwise(F.col("uses")))
+
+
+def _numbered(spark, d):
+    g, ins = tables.programs(spark, d)
+    ins = _operations(ins)
+    dom = dominance.dominators(g)
+    names = values.value_names(ins, checkpoint(values.operand_sources(ins, dom)))
+    return ins, dom, names
+
+
+@query(_D + _VALUES + "SELECT a.graph_id, a.block, a.idx, (SELECT count(*) FROM vv b WHERE b.graph_id = a.graph_id AND b.v = a.v) AS same FROM vv a")
+def global_values(spark, d):
+    """How many instructions of a program compute each one's value, if views and clicks are operations."""
+    ins, _, names = _numbered(spark, d)
+    same = names.join(ins.where("op is not null"), values.SITE, "left_semi")
+    return same.join(same.groupBy("graph_id", "value").agg(F.count(F.lit(1)).alias("same")), ["graph_id", "value"]).select(*values.SITE, "same")
+
+
+@query(_D + _VALUES + "SELECT * FROM red")
+def redundant_expressions(spark, d):
+    """Expressions that a dominating instruction has computed."""
+    ins, dom, names = _numbered(spark, d)
+    return values.redundant(ins, names, dom)
+
+
+@query(_D + _VALUES + "SELECT graph_id, count(*) AS redundant FROM red GROUP BY graph_id")
+def redundant_counts(spark, d):
+    """Redundant expressions of every program."""
+    ins, dom, names = _numbered(spark, d)
+    return values.count_redundant(values.redundant(ins, names, dom))
+
+
+@query(_D + _VALUES + "SELECT graph_id, block, row_number() OVER (PARTITION BY graph_id, block ORDER BY idx) - 1 AS idx, name FROM ins i WHERE NOT EXISTS (SELECT 1 FROM red r WHERE r.graph_id = i.graph_id AND r.block = i.block AND r.idx = i.idx)")
+def redundancy_elimination(spark, d):
+    """Instructions left once redundant expressions are gone."""
+    ins, dom, names = _numbered(spark, d)
+    return values.eliminate(ins, values.redundant(ins, names, dom)).select("graph_id", "block", "idx", "name")
+
+
+@query(_P + """, ni AS MATERIALIZED (SELECT * REPLACE (CASE WHEN name IN ('view', 'click') THEN 'error' ELSE before END AS before), CASE WHEN name IN ('view', 'click') THEN name END AS op FROM ins), s AS MATERIALIZED (SELECT i.graph_id, i.block, i.idx, max(j.idx) AS f FROM ni i LEFT JOIN ins j ON j.graph_id = i.graph_id AND j.block = i.block AND j.name = i.before AND j.idx < i.idx GROUP BY ALL),
+val(graph_id, block, idx, v) AS (SELECT n.graph_id, n.block, n.idx, CASE WHEN op IS NULL THEN 'site ' || n.idx ELSE op || '(' || coalesce('entry ' || n.before, '') || ')' END FROM ni n JOIN s ON s.graph_id = n.graph_id AND s.block = n.block AND s.idx = n.idx WHERE op IS NULL OR f IS NULL
+  UNION ALL SELECT n.graph_id, n.block, n.idx, n.op || '(' || v.v || ')' FROM val v JOIN s ON s.graph_id = v.graph_id AND s.block = v.block AND s.f = v.idx JOIN ni n ON n.graph_id = s.graph_id AND n.block = s.block AND n.idx = s.idx AND n.op IS NOT NULL)
+SELECT a.graph_id, a.block, a.idx FROM val a JOIN ni n ON n.graph_id = a.graph_id AND n.block = a.block AND n.idx = a.idx AND n.op IS NOT NULL
+WHERE EXISTS (SELECT 1 FROM val b WHERE b.graph_id = a.graph_id AND b.block = a.block AND b.v = a.v AND b.idx < a.idx)""")
+def local_values(spark, d):
+    """Expressions computed earlier in their block, nothing being known at its entry."""
+    ins = _operations(tables.programs(spark, d)[1])
+    return values.redundant(ins, values.value_names(ins, checkpoint(values.operand_sources(ins))))
+
+
+# -- depth-first orders -----------------------------------------------------------------------
+
+def _ranked(df, name):
+    from pyspark.sql import Window as W
+
+    return df.select("graph_id", "node_id", (F.row_number().over(W.partitionBy("graph_id").orderBy("pos")) - 1).cast("long").alias(name))
+
+
+@query()
+def depth_first_orders(spark, d):
+    """Depth-first preorder, postorder and reverse postorder of every program's blocks."""
+    g, _ = tables.programs(spark, d)
+    events = checkpoint(depth_first.depth_first_events(g, g.roots.select("graph_id", F.col("root").alias("node_id"))))
+    key = ["graph_id", "node_id"]
+    return _ranked(depth_first.preorder(events), "preorder").join(_ranked(depth_first.postorder(events), "postorder"), key).join(_ranked(depth_first.reverse_postorder(events), "reverse_postorder"), key)
+
+
+@query()
+def depth_first_walk(spark, d):
+    """All depth-first events of every program's blocks."""
+    g, _ = tables.programs(spark, d)
+    return depth_first.depth_first_events(g, g.roots.select("graph_id", F.col("root").alias("node_id")))
+
+
+@query(with_(sql.PROGRAMS, "fan AS MATERIALIZED (SELECT graph_id, edge_id, src, dst, row_number() OVER (PARTITION BY graph_id, src ORDER BY edge_id) AS r FROM pe WHERE kind = 'Fallthrough' OR kind = 'ConditionalTrue')",
+"pth(graph_id, n, path) AS (SELECT graph_id, node_id, [0::BIGINT] FROM blk WHERE node_id = 0 UNION ALL SELECT f.graph_id, f.dst, list_append(p.path, f.r) FROM pth p JOIN fan f ON f.graph_id = p.graph_id AND f.src = p.n AND NOT EXISTS (SELECT 1 FROM fan o WHERE o.graph_id = f.graph_id AND o.dst = f.dst AND o.edge_id < f.edge_id))")
++ "SELECT graph_id, n AS node_id, row_number() OVER (PARTITION BY graph_id ORDER BY path) - 1 AS preorder FROM pth")
+def depth_first_trees(spark, d):
+    """Depth-first preorder of the tree that each block's first way in, fallthrough or jump ahead, makes of a program."""
+    from pyspark.sql import Window as W
+
+    g, _ = tables.programs(spark, d)
+    kept = g.live().where("kind in ('Fallthrough', 'ConditionalTrue')")
+    first = F.row_number().over(W.partitionBy("graph_id", "dst").orderBy("edge_id"))
+    tree = checkpoint(kept.withColumn("k", first).where("k = 1").drop("k"))
+    events = depth_first.depth_first_events(graph.Graph(g.nodes, tree, g.roots), g.roots.select("graph_id", F.col("root").alias("node_id")))
+    return _ranked(depth_first.preorder(events), "preorder")
+

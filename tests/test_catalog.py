@@ -13,7 +13,7 @@ from arcstep.plans import catalog
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
 #: A cross-section that runs quickly; the driver compares all of them.
-NAMES = ("graph_adjacency", "graph_counts", "bfs_distance", "walk_edges", "def_use", "liveness", "ssa_uses", "natural_loops", "block_purity", "merge_blocks", "dot_text")
+NAMES = ("graph_adjacency", "graph_updates", "walk_edges", "def_use", "block_purity", "merge_blocks", "dot_text", "build_edges", "recovered_switches", "alias_sets", "empty_block_bypass", "graph_diff")
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 
@@ -37,4 +37,4 @@ def test_query_equals_sql(spark, con, name):
 
 
 def test_every_query_has_sql_but_the_known_ones():
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"horn_derivable", "loop_invariants"}
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"loop_invariants", "depth_first_orders", "depth_first_walk"}
