@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 #: Entries kept by one worker; an entry takes about 150 bytes.
-MAX_ENTRIES = 150_000
+MAX_ENTRIES = 300_000
 #: Longer chunks are never kept.
 MAX_CHUNK_BYTES = 64
 
