@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from arcstep.llm import bpe, chat_format, embedding_dedup, fill_in_middle, html_extract, license_scan, line_dedup, lm_score, ngram_join, packing, quality_rules, url_filter
+from arcstep.llm import bpe, chat_format, embedding_dedup, fill_in_middle, html_extract, license_scan, line_dedup, lm_score, ngram_join, packing, quality_rules, spelling_variants, url_filter
 
-MODULES = (bpe, chat_format, embedding_dedup, fill_in_middle, html_extract, license_scan, line_dedup, lm_score, ngram_join, packing, quality_rules, url_filter)
+MODULES = (bpe, chat_format, embedding_dedup, fill_in_middle, html_extract, license_scan, line_dedup, lm_score, ngram_join, packing, quality_rules, spelling_variants, url_filter)
 
 
 def queries() -> dict:
