@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcstep.operators.frames import checkpoint, closure, pinned
+from arcstep.operators.domtree import dominates, immediate_dominators, parents_and_jumps, tree_jumps
+from arcstep.operators.frames import checkpoint, closure
 from arcstep.operators.graph import Graph
 
 KEY = ["graph_id", "node_id"]
@@ -14,36 +15,11 @@ KEY = ["graph_id", "node_id"]
 def dominators(graph: Graph, roots: DataFrame | None = None) -> DataFrame:
     """(graph_id, node_id, dom) for the nodes reachable from the root, each dominating itself.
 
-    Every dominator of a node lies on each path to it, so one breadth-first path
-    gives its candidates. A candidate goes where a predecessor does not have it,
-    and takes itself away from the successors then: a closure over what is taken
-    away, in which every pair moves once. The result has one row for each level of
-    a node's depth in the dominator tree, as explicit dominators need.
+    The ancestors in the dominator tree, one row for each level of a node's depth in
+    it, as explicit dominators need; what only asks for parents, common dominators or
+    whether one node dominates another can use the tree (``domtree``) itself.
     """
-    roots = graph.roots if roots is None else roots
-    seeds = roots.select("graph_id", F.col("root").alias("node_id")).distinct()
-    edges = pinned(graph.live().where("src <> dst").select("graph_id", "src", "dst").distinct(), "graph_id", "src")
-
-    def walk(f: DataFrame) -> DataFrame:
-        return f.withColumnRenamed("node_id", "src").join(edges, ["graph_id", "src"]).select("graph_id", F.col("dst").alias("node_id"), F.concat("path", F.array("dst")).alias("path"))
-
-    tree = closure(seeds.withColumn("path", F.array("node_id")), walk, KEY, best={"path": F.min("path")})
-    above = checkpoint(tree.select(*KEY, F.explode("path").alias("dom")))
-    pair = [*KEY, "dom"]
-    # Edges from nodes that the root does not reach say nothing.
-    inner = edges.join(tree.select("graph_id", F.col("node_id").alias("src")), ["graph_id", "src"], "left_semi").select("graph_id", "src", F.col("dst").alias("node_id"))
-    missing = (
-        inner.join(above.where("dom <> node_id"), KEY)
-        .join(above.select("graph_id", F.col("node_id").alias("src"), "dom"), ["graph_id", "src", "dom"], "left_anti")
-        .select(*pair)
-    )
-
-    def lose(f: DataFrame) -> DataFrame:
-        passed = f.withColumnRenamed("node_id", "src").join(edges, ["graph_id", "src"]).where("dom <> dst").select("graph_id", F.col("dst").alias("node_id"), "dom")
-        return passed.join(above, pair, "left_semi")
-
-    lost = closure(missing, lose, pair)
-    return checkpoint(above.join(lost, pair, "left_anti"))
+    return parents_and_jumps(graph, roots)[1].ancestors()
 
 
 def post_dominators(graph: Graph, exits: DataFrame | None = None) -> DataFrame:
@@ -51,17 +27,20 @@ def post_dominators(graph: Graph, exits: DataFrame | None = None) -> DataFrame:
 
     Without exits a graph's last node stands in. Nodes that reach no exit have no rows.
     """
+    return dominators(graph.reversed(), _exits(graph, exits))
+
+
+def post_dominator_tree(graph: Graph, exits: DataFrame | None = None) -> DataFrame:
+    """(graph_id, node_id, idom, depth) of the same; null where only the virtual exit is behind a node."""
+    return immediate_dominators(graph.reversed(), _exits(graph, exits))
+
+
+def _exits(graph: Graph, exits: DataFrame | None) -> DataFrame:
     if exits is None:
         own = graph.exits()
         without = graph.nodes.groupBy("graph_id").agg(F.max("node_id").alias("node_id")).join(own, "graph_id", "left_anti")
         exits = own.unionByName(without.select(*KEY))
-    virtual = exits.select("graph_id", F.lit(-1).cast("long").alias("src"), F.col("node_id").alias("dst"))
-    turned = graph.reversed()
-    edges = turned.edges.unionByName(
-        virtual.select("graph_id", F.lit(-1).cast("long").alias("edge_id"), "src", "dst", F.lit("Fallthrough").alias("kind"), F.lit(None).cast("double").alias("weight"), F.lit(True).alias("live"))
-    )
-    roots = exits.select("graph_id", F.lit(-1).cast("long").alias("root")).distinct()
-    return dominators(Graph(graph.nodes, edges, roots)).where("node_id <> -1 and dom <> -1")
+    return exits.select("graph_id", F.col("node_id").alias("root")).distinct()
 
 
 def dominator_tree(dom: DataFrame) -> DataFrame:
@@ -116,6 +95,15 @@ def back_edges(graph: Graph, dom: DataFrame, tagged: bool = False) -> DataFrame:
     return found.distinct()
 
 
+def tree_back_edges(graph: Graph, tree: DataFrame, tagged: bool = False) -> DataFrame:
+    """As ``back_edges``, from the dominator tree instead of explicit dominators."""
+    edges = graph.live().select("graph_id", "src", "dst").distinct()
+    found = dominates(tree_jumps(tree), edges.where("src <> dst"), "dst", "src").unionByName(edges.where("src = dst"))
+    if tagged:
+        found = found.unionByName(graph.live().where("kind = 'Back'").select("graph_id", "src", "dst"))
+    return found.distinct()
+
+
 def loop_bodies(graph: Graph, backs: DataFrame) -> DataFrame:
     """(graph_id, header, node_id): natural loops, those of one header merged."""
     turned = checkpoint(graph.live().select("graph_id", F.col("dst").alias("node_id"), F.col("src").alias("prev")).distinct())
@@ -165,11 +153,15 @@ def innermost_loop(bodies: DataFrame) -> DataFrame:
 
 def reducible(graph: Graph, dom: DataFrame) -> DataFrame:
     """(graph_id, reducible): without its back edges the reachable part has no cycle."""
+    return acyclic_but_for(graph, dom.select(*KEY).distinct(), back_edges(graph, dom))
+
+
+def acyclic_but_for(graph: Graph, live: DataFrame, backs: DataFrame) -> DataFrame:
+    """(graph_id, reducible): whether the live nodes span no cycle without the (graph_id, src, dst) edges of ``backs``."""
     from arcstep.operators.traverse import topological_levels
 
-    live = dom.select(*KEY).distinct()
     inside = graph.live().join(live.withColumnRenamed("node_id", "src"), ["graph_id", "src"], "left_semi")
-    forward = checkpoint(inside.join(back_edges(graph, dom), ["graph_id", "src", "dst"], "left_anti"))
+    forward = checkpoint(inside.join(backs, ["graph_id", "src", "dst"], "left_anti"))
     nodes = checkpoint(live.withColumn("payload", F.lit(None).cast("string")))
     order = topological_levels(Graph(nodes, forward)).groupBy("graph_id").agg(F.count(F.lit(1)).alias("done"))
     count = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcstep.operators import analysis, calls, components, dataflow, dominance, graph, transform, traverse
+from arcstep.operators import analysis, calls, components, dataflow, dominance, domtree, graph, transform, traverse
 from arcstep.operators.frames import checkpoint, closure, dense_ids, pinned
 from arcstep.plans import sql
 from arcstep.plans.registry import ORACLES, QUERIES, Query, query
@@ -44,8 +44,8 @@ def _dom(spark: SparkSession, d: str) -> tuple[graph.Graph, DataFrame, DataFrame
 
 
 def _loops(spark: SparkSession, d: str) -> tuple[graph.Graph, DataFrame, DataFrame, DataFrame]:
-    g, ins, dom = _dom(spark, d)
-    backs = checkpoint(dominance.back_edges(g, dom))
+    g, ins = tables.programs(spark, d)
+    backs = checkpoint(dominance.tree_back_edges(g, domtree.immediate_dominators(g)))
     return g, ins, backs, checkpoint(dominance.loop_bodies(g, backs))
 
 
@@ -328,14 +328,13 @@ SELECT p.graph_id, p.n AS node_id, i.idom, p.depth FROM depth p LEFT JOIN idom i
 def dominator_tree_large(spark, d):
     """Immediate dominators of larger graphs."""
     g, _ = _parts(spark, d)
-    return dominance.dominator_tree(dominance.dominators(g))
+    return domtree.immediate_dominators(g)
 
 
 @query(_D + "SELECT p.graph_id, p.n AS node_id, i.idom, p.depth FROM depth p LEFT JOIN idom i ON i.graph_id = p.graph_id AND i.n = p.n")
 def dominator_tree(spark, d):
     """Immediate dominators and depths of all programs' blocks."""
-    _, _, dom = _dom(spark, d)
-    return dominance.dominator_tree(dom)
+    return domtree.immediate_dominators(tables.programs(spark, d)[0])
 
 
 @query(with_(sql.PROGRAMS, sql.PDOM) + "SELECT graph_id, n AS node_id, d AS dom FROM pdom")
@@ -363,8 +362,8 @@ def control_dependence(spark, d):
 @query(_L + "SELECT graph_id, src, dst FROM backs UNION SELECT graph_id, src, dst FROM pe WHERE kind = 'Back'")
 def back_edges(spark, d):
     """Back edges by dominance or by kind."""
-    g, _, dom = _dom(spark, d)
-    return dominance.back_edges(g, dom, tagged=True)
+    g, _ = tables.programs(spark, d)
+    return dominance.tree_back_edges(g, domtree.immediate_dominators(g), tagged=True)
 
 
 @query(_L + """, sz AS (SELECT graph_id, header, count(*) AS size FROM body GROUP BY ALL),
@@ -399,8 +398,9 @@ c(graph_id, a, b) AS (SELECT * FROM fw UNION SELECT c.graph_id, c.a, f.dst FROM
 SELECT graph_id, NOT EXISTS (SELECT 1 FROM c WHERE c.graph_id = g.graph_id AND a = b) AS reducible FROM (SELECT DISTINCT graph_id FROM blk) g""")
 def reducible(spark, d):
     """Whether each program's control flow is reducible."""
-    g, _, dom = _dom(spark, d)
-    return dominance.reducible(g, dom)
+    g, _ = tables.programs(spark, d)
+    tree = domtree.immediate_dominators(g)
+    return dominance.acyclic_but_for(g, tree.select("graph_id", "node_id"), dominance.tree_back_edges(g, tree))
 
 
 @query(_L + """, ent AS (SELECT e.graph_id, e.dst AS header, count(*) AS n FROM pe e WHERE EXISTS (SELECT 1 FROM body b WHERE b.graph_id = e.graph_id AND b.header = e.dst)
