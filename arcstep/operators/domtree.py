@@ -45,21 +45,22 @@ class Jumps:
     """
 
     def __init__(self, parents: DataFrame) -> None:
-        state = checkpoint(parents.select(*KEY, F.col("parent").alias("up"), F.lit(1).cast("long").alias("hops")))
-        self.levels = [state]
+        state = parents.select(*KEY, F.col("parent").alias("up"), F.lit(1).cast("long").alias("hops"))
+        self.levels: list[DataFrame] = []
+        self._stored: list[DataFrame] = []
         ended = -1
         while True:
-            total, done = state.agg(F.count(F.lit(1)), F.count(F.when(F.col("up") == ABOVE, 1))).first()
+            # Two levels a job: on shallow trees the number of jobs is what takes time.
+            states = [state, _further(state)]
+            stored = checkpoint(states[0].withColumn("at", F.lit(0)).unionByName(states[1].withColumn("at", F.lit(1))))
+            self._stored.append(stored)
+            states = [stored.where(F.col("at") == k).drop("at") for k in range(2)]
+            self.levels += states
+            total, done = states[1].agg(F.count(F.lit(1)), F.count(F.when(F.col("up") == ABOVE, 1))).first()
             if done in (ended, total):  # a depth that no node has is beyond all nodes
                 break
             ended = done
-            onward = state.select("graph_id", F.col("node_id").alias("up"), F.col("up").alias("to"), F.col("hops").alias("more"))
-            state = checkpoint(
-                state.join(onward, ["graph_id", "up"], "left").where(F.col("to").isNotNull() | (F.col("up") == ABOVE)).select(
-                    *KEY, F.coalesce("to", "up").alias("up"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")
-                )
-            )
-            self.levels.append(state)
+            state = _further(states[1])
 
     def depths(self, node: str = "node_id", name: str = "depth") -> DataFrame:
         """(graph_id, node, depth) of the nodes below ``ABOVE``."""
@@ -120,7 +121,15 @@ class Jumps:
         return known
 
     def discard(self) -> None:
-        discard(*self.levels)
+        discard(*self._stored)
+
+
+def _further(state: DataFrame) -> DataFrame:
+    """Twice as far up; what leads nowhere but to a node without a parent is dropped."""
+    onward = state.select("graph_id", F.col("node_id").alias("up"), F.col("up").alias("to"), F.col("hops").alias("more"))
+    return state.join(onward, ["graph_id", "up"], "left").where(F.col("to").isNotNull() | (F.col("up") == ABOVE)).select(
+        *KEY, F.coalesce("to", "up").alias("up"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")
+    )
 
 
 def _edges(graph: Graph, roots: DataFrame) -> DataFrame:
@@ -143,10 +152,10 @@ def spanning_tree(edges: DataFrame) -> DataFrame:
         alive = left.join(left.select("graph_id", F.col("dst").alias("src")).distinct(), ["graph_id", "src"], "left_semi").unionByName(left.where(F.col("src") == ABOVE))
         single = alive.groupBy("graph_id", "dst").agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("src"), F.min("via").alias("via")).where("n = 1")
         hung = checkpoint(single.select("graph_id", F.col("dst").alias("node_id"), F.col("src").alias("next"), F.col("via.pred").alias("parent")))
-        ends = chase(hung.select(*KEY, "next"))
-        placed = checkpoint(hung.join(ends.select(*KEY, "end", "hops"), KEY, "left"))  # rings have no end
+        ends = chase(hung.select(*KEY, "next"), stored=True)
+        placed = hung.join(ends.select(*KEY, "end", "hops"), KEY, "left")  # rings have no end
         parts.append(placed.where("end is not null").select(*KEY, "parent"))
-        keys = placed.select("graph_id", F.col("node_id").alias("dst"))
+        keys = hung.select("graph_id", F.col("node_id").alias("dst"))
         heads = placed.select("graph_id", F.col("node_id").alias("src"), F.col("end"), F.col("hops"), F.lit(True).alias("inner"))
         moved = alive.join(keys, ["graph_id", "dst"], "left_anti").join(heads, ["graph_id", "src"], "left").where("inner is null or end is not null")
         moved = moved.select(
@@ -173,6 +182,7 @@ def parents_and_jumps(graph: Graph, roots: DataFrame | None = None) -> tuple[Dat
     edges = checkpoint(_edges(graph, graph.roots if roots is None else roots))
     parents = spanning_tree(edges)
     jumps = Jumps(parents)
+    # The core of a graph that cannot be contracted takes rounds for its depth here, all others a few.
     parents = jumps.depths().select(*KEY).join(parents, KEY)
     # Only nodes that several reached nodes lead to can have another parent.
     reached = edges.where(F.col("src") == ABOVE).unionByName(edges.join(jumps.depths("src"), ["graph_id", "src"], "left_semi"))

@@ -171,21 +171,24 @@ def follow(links: DataFrame, seeds: DataFrame, max_hops: int | None = None) -> D
     return chain.drop("path")
 
 
-def chase(links: DataFrame) -> DataFrame:
+def chase(links: DataFrame, stored: bool = False) -> DataFrame:
     """(graph_id, node_id, end, hops): where the chain of (graph_id, node_id, next) rows from each node ends.
 
+    ``stored`` says that the links are a written table already.
+
     Pointer doubling: rounds grow with the logarithm of the longest chain, and a
     row never holds a path. Nodes that lead into a ring have no end and no row.
     """
     links = links.select("graph_id", "node_id", F.col("next").alias("at"), F.lit(1).cast("long").alias("hops"))
-    state = checkpoint(links.withColumn("done", F.lit(False)))
+    state = links.withColumn("done", F.lit(False))
+    state = state if stored else checkpoint(state)
     before = 0
     while True:
         # Two doublings a job: on short chains the number of jobs is what takes time.
         last, state = state, checkpoint(_doubled(_doubled(state)))
         discard(last)
-        ended = state.where("done").count()
-        if ended == before:
+        total, ended = state.agg(F.count(F.lit(1)), F.count(F.when(F.col("done"), 1))).first()
+        if ended in (before, total):
             return state.where("done").select("graph_id", "node_id", F.col("at").alias("end"), "hops")
         before = ended
 

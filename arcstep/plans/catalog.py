@@ -14,13 +14,13 @@ from arcstep.sources import tables
 
 
 def queries() -> dict[str, Query]:
-    from arcstep.plans import more  # noqa: F401  registers its queries
+    from arcstep.plans import flow, more  # noqa: F401  register their queries
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from arcstep.plans import more  # noqa: F401
+    from arcstep.plans import flow, more  # noqa: F401
 
     return dict(ORACLES)
 
