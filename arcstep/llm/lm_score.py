@@ -1,37 +1,40 @@
 """Cross-entropy difference scores from matched n-gram models.
 
-A target model is counted on chosen documents and a background model on all of
-them, over one shared vocabulary: every word and every bigram of the corpus, each
-a symbol with a 64-bit hash, and a start mark. Under either model the loss of a
-token w after h is the log-linear mixture
-
-    (1 - MIX) * (L(h w) - L(h)) + MIX * L(w),   L(x) = -ln((c(x) + PRIOR) / (N + PRIOR * V))
-
-with N the model's tokens and V the vocabulary's words or bigrams, both priors and
-V being those of both models. A document's score is its mean loss under the target
-model less that under the background model: the lower, the more it is like the
-target. Losses are sums over symbols, so a document is scored by one join of its
-distinct symbols with the table of counts.
-
-No document is scored by itself: its own counts are taken off both models first
-(off the target model where it is a target). Where ``train`` is given, the models
+A target model is counted on chosen documents and a background model on all others,
+over one shared vocabulary: every word and every bigram of the corpus, each a symbol
+with a 64-bit hash, and a start mark. The background is matched to the target by
+weight: its counts c are multiplied so that both models have N tokens, those of the
+target. The loss of a token w after h under either model is
+
+    MIX * -ln((c(w) + PRIOR) / (N + PRIOR * V)) + (1 - MIX) * -ln((c(h w) + PRIOR) / (c(h) + PRIOR * V)),
+
+V being the vocabulary's words: the losses of a unigram and of a bigram model, each a
+probability over the vocabulary (the bigram's rest is that a text ends after h). So
+what a model has never seen costs about ln V, never less than what it has seen. A
+document's score is its mean loss under the target model less that under the
+background model: the lower, the more it is like the target. Losses are sums over
+symbols, so a document is scored by one join of its distinct symbols with the table
+of counts.
+
+No document is scored by itself: its own counts are taken off its model first. Where ``train`` is given, the models
 are counted on it alone and nothing is taken off.
 
 What is gathered follows the corpus: the counts are a keyed table of Spark's. Only
 two things of fixed size reach the driver and the tasks, and both only save work:
 the counts of the ``MAX_HOT`` most frequent symbols, so that those never meet in a
-join, and a filter of the symbols that two documents share, since others have no
-count but a document's own.
+join, and a filter of the symbols that occur twice or more, since others have no
+count but a document's own. The texts are read once for the counts, once for the scores.
 
 Words are what the six ASCII separators part, A-Z lower-cased. Defined results for
 odd input: null, empty and wordless texts have no tokens and null losses; a null
 doc_id is scored and never a target; rows with the same doc_id are scored each;
-without targets all target counts are zero; an empty table gives no rows; other
+without targets all target counts are zero and the background keeps its own; an empty table gives no rows; other
 columns are ignored; texts of any length are cut into blocks at no loss.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +47,7 @@ from arcstep.llm.shingles import mix, word_blocks
 
 #: Weight of the unigram loss in a token's loss.
 MIX = 0.3
-#: Pseudo-count of every word and every bigram.
+#: Pseudo-count of every word, also after every history.
 PRIOR = 0.1
 #: Most frequent symbols whose counts are sent to the tasks; they take 24 bytes each.
 MAX_HOT = 1 << 18
@@ -55,10 +58,9 @@ _START = np.uint64(0x5851F42D4C957F2C)
 
 
 def symbols(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For blocks of texts: the first text's place, the number of texts, their tokens, and text, symbol, own count and weight of every distinct symbol of each.
+    """For blocks of texts: the first text's place, the number of texts, their tokens, and of every distinct symbol of each text the text, the symbol, how often it occurs and how often as a history.
 
-    Bigrams are odd numbers, words even ones. The weight is what a symbol's loss
-    counts for in the text's loss; histories count as words with a weight only.
+    Bigrams are odd numbers, words and the start mark even ones.
     """
     raws = [None if x is None else x.lower() for x in column.cast(pa.binary()).to_pylist()]
     one, even = np.uint64(1), ~np.uint64(1)
@@ -71,39 +73,37 @@ def symbols(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
         before[cuts[:-1][tokens > 0]] = _START
         pair = mix(before * np.uint64(0x9E3779B97F4A7C15) ^ word) | one
         symbol, owner = np.concatenate((word, pair, before)), np.concatenate((text, text, text))
-        weight = np.repeat([MIX, 1 - MIX, MIX - 1], n)
         own = np.concatenate((np.ones(2 * n, np.int64), (before == _START).astype(np.int64)))
+        history = np.repeat(np.array([0, 1]), [2 * n, n])
         # Symbols of one text get one key.
         key = mix(symbol + (owner + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         order = np.argsort(key, kind="stable")
         at = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0))) if n else np.zeros(0, np.int64)
         add = lambda x: np.add.reduceat(x[order], at) if n else x  # noqa: B023, E731
         rows = order[at]
-        yield first, texts, tokens, owner[rows], symbol[rows].view(np.int64), add(own), add(weight)
+        yield first, texts, tokens, owner[rows], symbol[rows].view(np.int64), add(own), add(history)
 
 
-def _counted(texts: DataFrame, target: bool) -> DataFrame:
-    """(symbol, n, docs, target): occurrences and documents of every symbol, counted inside each task first."""
+def _counted(texts: DataFrame) -> DataFrame:
+    """(symbol, n, aim): occurrences of every symbol in all texts and in targets, counted inside each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
-        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            symbol, n, docs = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(symbol, kind="stable")
-            at = np.flatnonzero(np.concatenate(([True], np.diff(symbol[order]) != 0)))
-            return symbol[order][at], np.add.reduceat(n[order], at), np.add.reduceat(docs[order], at)
-
         def flush() -> pa.RecordBatch:
-            symbol, n, docs = merged()
+            symbol, n, aim = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(symbol), pa.array(n), pa.array(docs)], ["symbol", "n", "docs"])
+            order = np.argsort(symbol, kind="stable")
+            symbol = symbol[order]
+            at = np.flatnonzero(np.concatenate(([True], np.diff(symbol) != 0)))
+            return pa.RecordBatch.from_arrays([pa.array(symbol[at]), *(pa.array(np.add.reduceat(x[order], at)) for x in (n, aim))], ["symbol", "n", "aim"])
 
         for batch in batches:
-            for _, _, _, _, symbol, own, _ in symbols(batch.column(0)):
+            target = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            for first, _, _, owner, symbol, own, _ in symbols(batch.column(0)):
                 if len(symbol):
-                    held.append((symbol, own, np.ones(len(symbol), np.int64)))
+                    held.append((symbol, own, own * target[first + owner]))
                     size += len(symbol)
                 if size >= MAX_HELD:
                     yield flush()
@@ -111,9 +111,7 @@ def _counted(texts: DataFrame, target: bool) -> DataFrame:
         if size:
             yield flush()
 
-    zero = F.lit(0).cast("long")
-    found = map_batches(texts.select("text"), run, "symbol long, n long, docs long")
-    return found.select("symbol", zero.alias("n"), zero.alias("docs"), F.col("n").alias("target")) if target else found.withColumn("target", zero)
+    return map_batches(texts.select("text", "target"), run, "symbol long, n long, aim long")
 
 
 def flagged(docs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -126,12 +124,6 @@ def flagged(docs: DataFrame, targets: DataFrame) -> DataFrame:
     return rest.unionByName(marked.where("may").drop("may").join(hit, "d", "left").fillna(False, ["target"]).select(*rest.columns))
 
 
-def _loss(count: Column, total: int, words: int, pairs: int) -> Column:
-    """-ln of a smoothed share; ``total`` tokens have as many words as bigrams."""
-    kinds = F.when(F.col("symbol").bitwiseAND(F.lit(1)) == 1, F.lit(float(pairs))).otherwise(F.lit(float(words)))
-    return -F.log((F.greatest(count, F.lit(0)) + PRIOR) / (F.lit(float(total)) + PRIOR * kinds))
-
-
 def score(docs: DataFrame, targets: DataFrame, train: DataFrame | None = None) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and ce_difference of every document.
 
@@ -140,18 +132,16 @@ def score(docs: DataFrame, targets: DataFrame, train: DataFrame | None = None) -
     """
     spark = docs.sparkSession
     alone = train is None  # whether a document's own counts are taken off
-    corpus = flagged(docs if train is None else train, targets)
-    both = _counted(corpus, False).unionByName(_counted(corpus.where("target"), True))
-    counts = both.groupBy("symbol").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.sum("target").alias("target"))
-    # A symbol of one document has nothing left when that is taken off.
-    counts = written(counts)
+    counts = written(_counted(flagged(docs if train is None else train, targets)).groupBy("symbol").agg(F.sum("n").alias("n"), F.sum("aim").alias("aim")))
     odd = F.col("symbol").bitwiseAND(F.lit(1)) == 1
-    total = counts.agg(
-        F.sum(F.when(odd, F.col("n"))).alias("n"), F.sum(F.when(odd, F.col("target"))).alias("target"), F.count(F.when(odd, 1)).alias("pairs"), F.count(F.when(~odd, 1)).alias("words")
-    ).first()
-    sizes = [int(total["n"] or 0), int(total["target"] or 0)]
-    pairs, words = max(1, total["pairs"]), max(1, total["words"])
-    shared = counts.where("docs > 1") if alone else counts
+    total = counts.agg(F.sum(F.when(odd, F.col("n"))).alias("n"), F.sum(F.when(odd, F.col("aim"))).alias("aim"), F.count(F.when(~odd, 1)).alias("words")).first()
+    aimed, rest = int(total["aim"] or 0), int(total["n"] or 0) - int(total["aim"] or 0)
+    words = float(max(1, total["words"] - 1))  # without the start mark
+    # Of the background and of the target: what a count is worth, and the tokens.
+    worth = (aimed / rest if aimed and rest else 1.0, 1.0)
+    tokens_of = (float(rest) * worth[0], float(aimed))
+    # A symbol that occurs once has nothing left when that is taken off.
+    shared = counts.where("n > 1") if alone else counts
     # The most frequent symbols, by a bound on their count that few enough of them reach.
     head = shared.groupBy(F.least(F.col("n"), F.lit(1 << 16)).alias("n")).count().orderBy(F.desc("n")).collect()  # at most 2^16 rows
     least, many = (1 << 16) + 1, 0
@@ -159,22 +149,25 @@ def score(docs: DataFrame, targets: DataFrame, train: DataFrame | None = None) -
         if many + r["count"] > MAX_HOT:
             break
         least, many = r["n"], many + r["count"]
-    hot = shared.where(F.col("n") >= least).select("symbol", "n", "target").toArrow().sort_by("symbol")
-    rare = shared.where(F.col("n") < least).select("symbol", "n", "target")
-    sent = spark.sparkContext.broadcast((hot.column("symbol").to_numpy(), (hot.column("n").to_numpy(), hot.column("target").to_numpy()), bit_filter(rare.select("symbol"))))
+    hot = shared.where(F.col("n") >= least).toArrow().sort_by("symbol")
+    rare = shared.where(F.col("n") < least)
+    aim_of = hot.column("aim").to_numpy()
+    sent = spark.sparkContext.broadcast((hot.column("symbol").to_numpy(), (hot.column("n").to_numpy() - aim_of, aim_of), bit_filter(rare.select("symbol"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, of_known, bits = sent.value
-        names = ["d", "t", "target", "symbol", "n", "weight", "tokens", "background", "aim"]
+        start = _START.view(np.int64)
 
-        def losses(count: np.ndarray, odd: np.ndarray, k: int) -> np.ndarray:
-            return -np.log((np.maximum(count, 0) + PRIOR) / (sizes[k] + PRIOR * np.where(odd, float(pairs), float(words))))
+        def losses(symbol: np.ndarray, count: np.ndarray, n: np.ndarray, history: np.ndarray, k: int) -> np.ndarray:
+            c = np.maximum(count, 0) * worth[k]
+            last = -np.log(c + PRIOR)
+            as_word = np.where(symbol == start, 0.0, n * MIX * (last + np.log(tokens_of[k] + PRIOR * words)))
+            return np.where(symbol & 1 == 1, n * (1 - MIX) * last, as_word + history * (1 - MIX) * np.log(c + PRIOR * words))
 
         for batch in batches:
             target = batch.column(2).to_numpy(zero_copy_only=False)
             t = batch.column(1).to_numpy()
-            for first, texts, tokens, owner, symbol, own, weight in symbols(batch.column(3)):
-                odd = symbol & 1 == 1
+            for first, texts, tokens, owner, symbol, own, history in symbols(batch.column(3)):
                 if len(known):
                     at = np.searchsorted(known, symbol)
                     at[at == len(known)] = 0
@@ -186,36 +179,41 @@ def score(docs: DataFrame, targets: DataFrame, train: DataFrame | None = None) -
                 for k in range(2):
                     count = np.where(here, of_known[k][at] if len(known) else 0, 0)
                     if alone:
-                        count = count - own * (target[first + owner] if k else 1)
-                    sums.append(np.bincount(owner, np.where(later, 0.0, weight * losses(count, odd, k)), texts))
+                        count = count - own * (target[first + owner] == bool(k))
+                    sums.append(np.bincount(owner, np.where(later, 0.0, losses(symbol, count, own, history, k)), texts))
                 row, rows = first + owner[later], first + np.arange(texts)
-                d = batch.column(0).take(pa.array(np.concatenate((row, rows))))
-                spread = mix(t[rows].view(np.uint64) + rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-                both = lambda x, y, kind: pa.concat_arrays([pa.array(x, kind), y if isinstance(y, pa.Array) else pa.array(y, kind)])
-                none = lambda n, kind: pa.nulls(n, kind)
                 at = np.concatenate((row, rows))
+                spread = mix(t[rows].view(np.uint64) + rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+                both = lambda x, y: pa.concat_arrays([pa.array(x, pa.int64()), y if isinstance(y, pa.Array) else pa.array(y, pa.int64())])
+                # The rows of the documents themselves have sums, those of symbols have none.
+                sums_of = pa.StructArray.from_arrays([pa.array(tokens, pa.int64()), pa.array(sums[0]), pa.array(sums[1])], ["tokens", "background", "aim"])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        d, pa.array(t[at]), pa.array(target[at]), both(symbol[later], spread, pa.int64()), both(own[later], none(texts, pa.int64()), pa.int64()),
-                        both(weight[later], none(texts, pa.float64()), pa.float64()), both(np.zeros(len(row), np.int64), tokens, pa.int64()),
-                        both(np.zeros(len(row)), sums[0], pa.float64()), both(np.zeros(len(row)), sums[1], pa.float64()),
+                        batch.column(0).take(pa.array(at)), pa.array(t[at]), both(symbol[later], spread), both(own[later], pa.nulls(texts, pa.int64())),
+                        both(2 * history[later] + target[row], pa.nulls(texts, pa.int64())), pa.concat_arrays([pa.nulls(len(row), sums_of.type), sums_of]),
                     ],
-                    names,
+                    ["d", "t", "symbol", "n", "history", "sums"],
                 )
 
-    schema = "d long, t long, target boolean, symbol long, n long, weight double, tokens long, background double, aim double"
+    schema = "d long, t long, symbol long, n long, history long, sums struct<tokens: bigint, background: double, aim: double>"
     scored = flagged(docs, targets) if train is None else flagged(docs, targets.limit(0))
     rows = map_batches(scored.select("d", "t", "target", "text"), run, schema)
-    # Rows without a weight are the documents themselves; they pass the join by a number that no symbol has.
-    found = rare.select("symbol", F.col("n").alias("all_n"), F.col("target").alias("all_target"))
-    joined = rows.join(found, "symbol", "left")
-    own = F.col("n") if alone else F.lit(0)
-    left = lambda c, less: F.coalesce(F.col(c), F.lit(0)) - less
-    part = lambda c, count, k: F.when(F.col("weight").isNull(), F.col(c)).otherwise(F.col("weight") * _loss(count, sizes[k], words, pairs)).alias(c)
-    summed = joined.select(
-        "d", "t", "tokens", F.col("weight").isNull().cast("int").alias("row"),
-        part("background", left("all_n", own), 0), part("aim", left("all_target", own * F.col("target").cast("int")), 1),
-    ).groupBy("d", "t").agg(*[F.sum(c).alias(c) for c in ("tokens", "row", "background", "aim")])
+    # The documents' own rows pass the join by a number that no symbol has. ``history`` is doubled, and odd in a target.
+    joined = rows.join(rare.select("symbol", F.col("n").alias("all_n"), F.col("aim").alias("all_aim")), "symbol", "left")
+    is_aim = F.col("history").bitwiseAND(F.lit(1)) == 1
+    found = (F.coalesce("all_n", F.lit(0)) - F.coalesce("all_aim", F.lit(0)), F.coalesce("all_aim", F.lit(0)))
+
+    def loss(k: int) -> Column:
+        off = F.when(is_aim == bool(k), F.col("n")).otherwise(0) if alone else F.lit(0)
+        c = F.greatest(found[k] - off, F.lit(0)) * F.lit(worth[k])
+        last = -F.log(c + PRIOR)
+        as_word = F.when(F.col("symbol") == int(_START.view(np.int64)), 0.0).otherwise(F.col("n") * MIX * (last + math.log(tokens_of[k] + PRIOR * words)))
+        as_history = F.shiftright("history", 1) * (1 - MIX) * F.log(c + PRIOR * words)
+        return F.when(odd, F.col("n") * (1 - MIX) * last).otherwise(as_word + as_history)
+
+    part = lambda name, k: F.when(F.col("sums").isNull(), loss(k)).otherwise(F.col(f"sums.{name}")).alias(name)
+    summed = joined.select("d", "t", F.col("sums.tokens").alias("tokens"), F.col("sums").isNotNull().cast("int").alias("row"), part("background", 0), part("aim", 1)).groupBy("d", "t")
+    summed = summed.agg(*[F.sum(c).alias(c) for c in ("tokens", "row", "background", "aim")])
     # Rows with equal id and text have met here; each gets its row back.
     each = summed.select("d", "row", "tokens", "background", "aim", F.explode(F.expr("sequence(1, cast(row as int))")).alias("one"))
     mean = lambda c, name: F.when(F.col("tokens") > 0, F.round(F.col(c) / F.col("tokens"), 6)).alias(name)
