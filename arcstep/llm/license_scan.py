@@ -144,7 +144,7 @@ u AS (
   UNION ALL SELECT * FROM (SELECT doc_id, 'paragraph', unnest(range(len(ps))), unnest(ps) AS x FROM l) WHERE contains(x, chr(10))
   UNION ALL SELECT doc_id, 'text', 0, text FROM l WHERE len(ps) > 1
 ),
-w AS (SELECT doc_id, kind, place, {grams('w')} AS g FROM (SELECT *, regexp_extract_all(lower(x), '[\p{{L}}\p{{N}}]+') AS w FROM u) WHERE len(w) BETWEEN 2 AND 5000),
+w AS (SELECT doc_id, kind, place, {grams('w')} AS g FROM (SELECT *, regexp_extract_all(lower(x), '[\p{{L}}\p{{N}}]+') AS w FROM u) WHERE len(w) >= 2),
 m AS (SELECT doc_id, kind, place, name AS license, len(list_intersect(w.g, t.g))::BIGINT AS shared, len(w.g)::BIGINT AS unit_size, len(t.g)::BIGINT AS template_size
       FROM w JOIN t ON len(w.g) * {over} <= (2 * {under} - {over}) * len(t.g) AND len(t.g) * {over} <= (2 * {under} - {over}) * len(w.g))
 SELECT doc_id, kind, place::BIGINT AS place, license, shared, unit_size, template_size, round(2 * shared / (unit_size + template_size), 6) AS dice

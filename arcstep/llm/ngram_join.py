@@ -43,6 +43,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arcstep.llm.common import bit_filter, checkpoint, connected_components, free_name, give_back_memory, in_filter, map_batches, may_be_among, next_power_of_two, table, written
 from arcstep.llm.shingles import mix, shingle_sets
@@ -467,11 +468,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return labelled_documents(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
+def _has_order(kind: T.DataType) -> bool:
+    """Whether values of a type can be compared."""
+    if isinstance(kind, T.ArrayType):
+        return _has_order(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_has_order(x.dataType) for x in kind)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of every component: the least doc_id, nulls last, then the least hash of the text.
 
     Rows are told apart by doc_id and text; of those with both equal, one that is
-    least in the other columns stays. Documents without a shingle all stay.
+    least in the other columns stays; columns that have no order, such as maps, do not
+    count there. Documents without a shingle all stay.
     """
     rows = labelled_documents(docs).where("comp is not null").select("comp", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t").alias("key"))
     keys = checkpoint(rows.groupBy("comp", "key").agg(F.count(F.lit(1)).alias("n")))
@@ -487,7 +498,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     touched = marked.where(h).join(named, same, "left").drop(named[d], named[t])
     once = touched.where(F.col(stays).isNull()).drop(d, t, h, stays)
     row = F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row")
-    several = touched.where(stays).select(d, t, row).groupBy(d, t).agg(F.min("row").alias("row")).select("row.*")
+    order = F.struct(F.lit(0), *[F.col(f"row.`{x.name}`") for x in docs.schema if _has_order(x.dataType)])
+    several = touched.where(stays).select(d, t, row).groupBy(d, t).agg(F.min_by("row", order).alias("row")).select("row.*")
     return rest.unionByName(once).unionByName(several)
 
 

@@ -461,6 +461,23 @@ def test_stages_keep_the_columns(spark):
     assert out.agg(F.count(F.lit(1))).first()[0] == 5
 
 
+def test_stages_with_a_map_column(spark):
+    """Maps have no order and no hash; rows that differ in nothing else are still one."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    text = say(rng, 60)
+    rows = [(1, text, "a", {"x": 1}), (1, text, "a", {"x": 1}), (2, text, "b", None), (3, say(rng, 60), "c", {"y": 2}), (None, None, None, {"z": 3})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra map<string,int>")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        assert {r["doc_id"] for r in out.collect()} >= {1, 3}, name
+    assert sorted(r["doc_id"] or 0 for r in out.collect()) == [0, 1, 3]
+    assert {r["extra"]["x"] for r in out.collect() if r["doc_id"] == 1} == {1}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() > 0
+
+
 def test_stages_with_odd_rows_and_names(spark):
     """Repeated ids and rows, nulls, clashing and dotted names, in every stage."""
     import corpus_pipeline
