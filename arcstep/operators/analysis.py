@@ -204,6 +204,44 @@ def interference(instrs: DataFrame, live: DataFrame) -> DataFrame:
     return pairs.select("graph_id", F.least("variable", "other").alias("a"), F.greatest("variable", "other").alias("b")).distinct()
 
 
+#: Points of a block that share a bin when live ranges are compared.
+BIN = 64
+
+
+def live_ranges(instrs: DataFrame, live: DataFrame) -> DataFrame:
+    """(graph_id, block, variable, first, last): ranges of points of a block at which a variable holds a value that is used, or was just written.
+
+    Point i lies behind instruction i, point -1 before the first one. Going backward from the
+    variables live out of the block, a variable is live up to its next event there if that is a
+    use; an instruction reads before it writes.
+    """
+    key = ["graph_id", "block", "variable"]
+    reads = instrs.select("graph_id", "block", "idx", F.explode("uses").alias("variable"), F.lit(0).alias("write"))
+    writes = instrs.select("graph_id", "block", "idx", F.explode("defs").alias("variable"), F.lit(1).alias("write"))
+    size = instrs.groupBy("graph_id", "block").agg(F.max("idx").alias("end"))
+    out = live.where("side = 'out'").select(*key).join(size, ["graph_id", "block"], "left").select(*key, F.coalesce(F.col("end") + 1, F.lit(0)).alias("idx"), F.lit(0).alias("write"))
+    events = reads.unionByName(writes).unionByName(out).distinct()  # what is live out is read behind the block
+    order = W.partitionBy(*key).orderBy("idx", "write")
+    events = events.withColumn("before", F.lag("idx").over(order)).withColumn("was", F.lag("write").over(order))
+    used = events.where("write = 0").select(*key, F.coalesce("before", F.lit(-1)).alias("first"), (F.col("idx") - 1).alias("last"))
+    # A value is read in the instruction that writes the variable anew: nothing is held at the point between.
+    held = used.where("first <= last")
+    written = events.where("write = 1").select(*key, F.col("idx").alias("first"), F.col("idx").alias("last"))
+    return held.unionByName(written).distinct()
+
+
+def interference_at_points(instrs: DataFrame, live: DataFrame) -> DataFrame:
+    """(graph_id, a, b), a < b: variables that hold values at one point of a block, as ``live_ranges`` has them.
+
+    Ranges meet over bins of points, so that of a long block only ranges near each other are compared.
+    """
+    ranges = live_ranges(instrs, live)
+    binned = ranges.withColumn("bin", F.explode(F.sequence(F.floor(F.col("first") / BIN), F.floor(F.col("last") / BIN))))
+    other = binned.select("graph_id", "block", "bin", F.col("variable").alias("b"), F.col("first").alias("b_first"), F.col("last").alias("b_last"))
+    pairs = binned.withColumnRenamed("variable", "a").join(other, ["graph_id", "block", "bin"]).where("a < b and first <= b_last and b_first <= last")
+    return pairs.select("graph_id", "a", "b").distinct()
+
+
 def colour(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(graph_id, node, colour): greedy colouring by ascending degree, then name; each takes the least free colour.
 

@@ -742,8 +742,7 @@ def dead_code_elimination(spark, d):
 def loop_invariants(spark, d):
     """Instructions of loops that compute the same in every round."""
     g, ins, du = _du(spark, d)
-    dom = dominance.dominators(g)
-    bodies = checkpoint(dominance.loop_bodies(g, dominance.back_edges(g, dom)))
+    bodies = checkpoint(dominance.loop_bodies(g, dominance.tree_back_edges(g, domtree.immediate_dominators(g))))
     return transform.loop_invariants(ins, bodies, du)
 
 

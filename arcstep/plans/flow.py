@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from arcstep.operators import dataflow, dominance, domtree, sccp as conditional, solver
+from arcstep.operators import analysis, dataflow, dominance, domtree, expressions, open_search, sccp as conditional, solver
 from arcstep.operators.frames import checkpoint
 from arcstep.plans import sql
 from arcstep.plans.registry import query
@@ -106,3 +107,84 @@ def seeded_facts(spark, d):
     step = lambda nodes, facts: facts.where("fact < 4").withColumn("fact", F.col("fact") + 1)
     _, out = solver.solve_keyed(g, step, F.min, "forward", boundary=start, seeds=seeds, types=("string", "bigint"))
     return out.select("graph_id", "node_id", F.col("fact").alias("hops"))
+
+
+# -- expression trees ------------------------------------------------------------------------
+
+#: Variables are event types by turns of five; an event reads the first and the third one before. Purchases are opaque, multiples of 7 are constants.
+_EXPR = _P.rstrip() + """, xv AS MATERIALIZED (SELECT graph_id, block, idx, seq, name, value, name || (seq % 5) AS v, lag(name || (seq % 5)) OVER w AS r1, lag(name || (seq % 5), 3) OVER w AS r3,
+  CASE WHEN value % 7 = 0 THEN 'CONST' WHEN name <> 'purchase' THEN 'OP' ELSE 'OPAQUE' END AS kind FROM ins WINDOW w AS (PARTITION BY graph_id ORDER BY seq)),
+xr AS MATERIALIZED (SELECT graph_id, block, idx, kind, 0 AS pos, r1 AS v FROM xv WHERE r1 IS NOT NULL UNION ALL SELECT graph_id, block, idx, kind, 1, r3 FROM xv WHERE r3 IS NOT NULL),
+xo AS (SELECT graph_id, block, v, max(idx) AS reader, max(pos) AS pos FROM xr GROUP BY ALL HAVING count(*) = 1 AND max(kind) = 'OP'),
+xp AS MATERIALIZED (SELECT x.graph_id, x.block, x.v, max(x.idx) AS idx, max(reader) AS parent, max(pos) AS pos FROM xv x JOIN xo o ON o.graph_id = x.graph_id AND o.block = x.block AND o.v = x.v AND x.idx < o.reader GROUP BY ALL),
+xroot AS (SELECT x.* FROM xv x WHERE NOT EXISTS (SELECT 1 FROM xp p WHERE p.graph_id = x.graph_id AND p.block = x.block AND p.idx = x.idx) AND NOT EXISTS (SELECT 1 FROM xv y WHERE y.graph_id = x.graph_id AND y.block = x.block AND y.v = x.v AND y.idx > x.idx)),
+xt(graph_id, block, root, idx, path) AS (SELECT graph_id, block, idx, idx, []::BIGINT[] FROM xroot UNION ALL SELECT t.graph_id, t.block, t.root, p.idx, list_append(t.path, p.pos) FROM xt t JOIN xp p ON p.graph_id = t.graph_id AND p.block = t.block AND p.parent = t.idx),
+xn AS MATERIALIZED (SELECT t.*, x.kind, x.name, x.value FROM xt t JOIN xv x ON x.graph_id = t.graph_id AND x.block = t.block AND x.idx = t.idx),
+xk AS (SELECT graph_id, block, root, path, true AS node, CASE kind WHEN 'OP' THEN name || '(' WHEN 'CONST' THEN value::VARCHAR ELSE '?' || idx END AS s FROM xn
+  UNION ALL SELECT graph_id, block, root, list_append(path, 1099511627776), false, ')' FROM xn WHERE kind = 'OP'
+  UNION ALL SELECT n.graph_id, n.block, n.root, list_append(n.path, r.pos), true, r.v FROM xn n JOIN xr r ON r.graph_id = n.graph_id AND r.block = n.block AND r.idx = n.idx
+    WHERE n.kind = 'OP' AND NOT EXISTS (SELECT 1 FROM xp p WHERE p.graph_id = n.graph_id AND p.block = n.block AND p.parent = n.idx AND p.pos = r.pos)),
+xs AS (SELECT graph_id, block, root, max(len(path)) FILTER (node) + 1 AS depth, count(*) FILTER (node) AS nodes, string_agg(CASE WHEN node AND len(path) > 0 AND path[-1] > 0 THEN ',' ELSE '' END || s, '' ORDER BY path) AS text FROM xk GROUP BY ALL)
+SELECT s.graph_id, s.block, s.root AS idx, x.v AS variable, s.depth, s.nodes, s.text FROM xs s JOIN xv x ON x.graph_id = s.graph_id AND x.block = s.block AND x.idx = s.root"""
+
+
+@query(_EXPR)
+def expression_trees(spark, d):
+    """Expression trees of all blocks: depths, sizes and texts of the roots."""
+    _, ins = tables.programs(spark, d)
+    variable = F.concat("name", (F.col("seq") % 5).cast("string"))
+    prog = W.partitionBy("graph_id").orderBy("seq")
+    rows = ins.select(
+        "graph_id", "block", "idx", F.array_compact(F.array(F.lag(variable).over(prog), F.lag(variable, 3).over(prog))).alias("uses"), F.array(variable).alias("defs"),
+        F.when(F.col("value") % 7 == 0, F.col("value")).alias("constant"), F.when(F.col("name") != "purchase", F.col("name")).alias("operator"),
+    )
+    return expressions.expression_trees(rows)
+
+
+# -- interference ----------------------------------------------------------------------------
+
+#: Variables are event types by turns of three; what each point holds is asked point by point.
+_POINTS = _P.rstrip() + """, iv AS MATERIALIZED (SELECT graph_id, block, idx, name || (seq % 3) AS d, lag(name || (seq % 3)) OVER (PARTITION BY graph_id ORDER BY seq) AS u FROM ins),
+iu AS (SELECT graph_id, block, u AS v, min(idx) AS i FROM iv WHERE u IS NOT NULL GROUP BY ALL), idf AS MATERIALIZED (SELECT graph_id, block, d AS v, min(idx) AS i FROM iv GROUP BY ALL),
+il(graph_id, block, v) AS (SELECT iu.graph_id, iu.block, iu.v FROM iu LEFT JOIN idf ON idf.graph_id = iu.graph_id AND idf.block = iu.block AND idf.v = iu.v WHERE idf.i IS NULL OR iu.i <= idf.i
+  UNION SELECT e.graph_id, e.src, l.v FROM il l JOIN pe e ON e.graph_id = l.graph_id AND e.dst = l.block WHERE NOT EXISTS (SELECT 1 FROM idf WHERE idf.graph_id = e.graph_id AND idf.block = e.src AND idf.v = l.v)),
+io AS MATERIALIZED (SELECT DISTINCT e.graph_id, e.src AS block, l.v FROM il l JOIN pe e ON e.graph_id = l.graph_id AND e.dst = l.block),
+pt AS (SELECT graph_id, block, idx AS p FROM iv UNION ALL SELECT graph_id, node_id, -1 FROM blk),
+vars AS (SELECT graph_id, block, u AS v FROM iv WHERE u IS NOT NULL UNION SELECT graph_id, block, d FROM iv UNION SELECT graph_id, block, v FROM io),
+nxt AS (SELECT q.graph_id, q.block, q.p, x.v, (SELECT min(i.idx) FROM iv i WHERE i.graph_id = q.graph_id AND i.block = q.block AND i.idx > q.p AND i.u = x.v) AS nu,
+  (SELECT min(i.idx) FROM iv i WHERE i.graph_id = q.graph_id AND i.block = q.block AND i.idx > q.p AND i.d = x.v) AS nd,
+  EXISTS (SELECT 1 FROM io WHERE io.graph_id = q.graph_id AND io.block = q.block AND io.v = x.v) AS lo FROM pt q JOIN vars x ON x.graph_id = q.graph_id AND x.block = q.block),
+held AS MATERIALIZED (SELECT graph_id, block, p, v FROM nxt WHERE nu IS NOT NULL AND (nd IS NULL OR nu <= nd) OR nu IS NULL AND nd IS NULL AND lo UNION SELECT graph_id, block, idx, d FROM iv)
+SELECT DISTINCT a.graph_id, a.v AS a, b.v AS b FROM held a JOIN held b ON a.graph_id = b.graph_id AND a.block = b.block AND a.p = b.p AND a.v < b.v"""
+
+
+@query(_POINTS)
+def point_interference(spark, d):
+    """Variables that hold values at one point of a block; not all that are live out of a block together."""
+    g, ins = tables.programs(spark, d)
+    variable = F.concat("name", (F.col("seq") % 3).cast("string"))
+    before = F.lag(variable).over(W.partitionBy("graph_id").orderBy("seq"))
+    rows = checkpoint(ins.select("graph_id", "block", "idx", F.array_compact(F.array(before)).alias("uses"), F.array(variable).alias("defs")))
+    return analysis.interference_at_points(rows, checkpoint(dataflow.liveness(g, rows)))
+
+
+# -- graphs that are not stored --------------------------------------------------------------
+
+
+@query("""WITH RECURSIVE m AS (SELECT count(*) AS m FROM part), s AS (SELECT DISTINCT l_suppkey % 3 AS graph_id, l_suppkey AS key FROM lineitem WHERE l_suppkey <= 6),
+r(graph_id, key, depth) USING KEY (graph_id, key) AS (SELECT graph_id, key, 0::BIGINT FROM s
+  UNION SELECT graph_id, min(key) AS key, min(depth) FROM (SELECT r.graph_id, unnest([(r.key * 7 + 3) % m, r.key // 2, (r.key * r.key + 1) % m]) AS key, r.depth + 1 AS depth FROM r, m) x
+    WHERE NOT EXISTS (SELECT 1 FROM recurring.r k WHERE k.graph_id = x.graph_id AND k.key = x.key) AND depth <= 12 GROUP BY graph_id, x.key),
+p AS (SELECT a.graph_id, b.key, min(a.key) AS parent FROM r a, m JOIN r b ON b.graph_id = a.graph_id AND b.depth = a.depth + 1 AND b.key IN ((a.key * 7 + 3) % m, a.key // 2, (a.key * a.key + 1) % m) GROUP BY ALL)
+SELECT r.graph_id, r.key, r.depth, p.parent, row_number() OVER (PARTITION BY r.graph_id ORDER BY depth, r.key) - 1 AS node_id FROM r LEFT JOIN p ON p.graph_id = r.graph_id AND p.key = r.key""")
+def open_states(spark, d):
+    """States up to twelve steps from some suppliers' keys; three successors of each come from arithmetic modulo the number of parts."""
+    read = lambda n: tables.table(spark, d, n)
+    seeds = read("lineitem").where("l_suppkey <= 6").select((F.col("l_suppkey") % 3).alias("graph_id"), F.col("l_suppkey").alias("key"))
+    m = F.lit(read("part").count())
+
+    def successors(states):
+        k = F.col("key")
+        return states.select("graph_id", "key", F.explode(F.array((k * 7 + 3) % m, F.expr("key div 2"), (k * k + 1) % m)).alias("next"))
+
+    return open_search.open_search(seeds, successors, max_states=1_000_000, max_depth=12)
