@@ -96,6 +96,20 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Within it the files of a job's shuffles are deleted as soon as the job has ended, where the session knows how to."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    if before is not None:
+        spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is not None:
+            spark.conf.set(key, before)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a frame of ``written`` that nothing reads any more."""
     folder = _FOLDERS.pop(df, None)

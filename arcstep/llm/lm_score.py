@@ -39,10 +39,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from arcstep.llm.common import bit_filter, in_filter, map_batches, may_be_among, table, written
+from arcstep.llm.common import bit_filter, in_filter, map_batches, may_be_among, shuffles_freed, table, written
 from arcstep.llm.shingles import mix, word_blocks
 
 #: Weight of the unigram loss in a token's loss.
@@ -132,16 +132,19 @@ def score(docs: DataFrame, targets: DataFrame, train: DataFrame | None = None) -
     """
     spark = docs.sparkSession
     alone = train is None  # whether a document's own counts are taken off
-    counts = written(_counted(flagged(docs if train is None else train, targets)).groupBy("symbol").agg(F.sum("n").alias("n"), F.sum("aim").alias("aim")))
     odd = F.col("symbol").bitwiseAND(F.lit(1)) == 1
-    total = counts.agg(F.sum(F.when(odd, F.col("n"))).alias("n"), F.sum(F.when(odd, F.col("aim"))).alias("aim"), F.count(F.when(~odd, 1)).alias("words")).first()
+    counts = _counted(flagged(docs if train is None else train, targets)).groupBy("symbol").agg(F.sum("n").alias("n"), F.sum("aim").alias("aim"))
+    totals = Observation()
+    counts = counts.observe(totals, F.sum(F.when(odd, F.col("n"))).alias("n"), F.sum(F.when(odd, F.col("aim"))).alias("aim"), F.count(F.when(~odd, 1)).alias("words"))
+    # A symbol that occurs once has nothing left when that is taken off, so only the others are kept.
+    with shuffles_freed(spark):
+        shared = written(counts.where("n > 1") if alone else counts)
+    total = totals.get
     aimed, rest = int(total["aim"] or 0), int(total["n"] or 0) - int(total["aim"] or 0)
     words = float(max(1, total["words"] - 1))  # without the start mark
     # Of the background and of the target: what a count is worth, and the tokens.
     worth = (aimed / rest if aimed and rest else 1.0, 1.0)
     tokens_of = (float(rest) * worth[0], float(aimed))
-    # A symbol that occurs once has nothing left when that is taken off.
-    shared = counts.where("n > 1") if alone else counts
     # The most frequent symbols, by a bound on their count that few enough of them reach.
     head = shared.groupBy(F.least(F.col("n"), F.lit(1 << 16)).alias("n")).count().orderBy(F.desc("n")).collect()  # at most 2^16 rows
     least, many = (1 << 16) + 1, 0
