@@ -181,6 +181,28 @@ def phi_webs(copies: DataFrame) -> DataFrame:
     return webs.select("graph_id", "variable", F.col("node").alias("version"), F.col("component").alias("web"))
 
 
+def memory_ssa(graph: Graph, instrs: DataFrame, dom: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Versions of memory: the accesses (graph_id, block, idx, memory, access, version), and the operands of the phis.
+
+    ``instrs`` has (graph_id, block, idx, reads, writes), arrays of names of memories such as alias
+    sets; one name for all is memory as a whole. A write makes a version (access ``def``), a read
+    has the version that the last write before it on every path left (``use``), joins of different
+    versions make one at idx -1 (``phi``), and version 0 is memory at entry. A write follows the version
+    before it, which is its ``clobbered`` one. The operands (graph_id, block, memory, edge_id, pred, version) name
+    the version that comes over each edge into a phi.
+    """
+    own = checkpoint(instrs.select("graph_id", "block", "idx", F.col("reads").alias("uses"), F.col("writes").alias("defs")))
+    phis = checkpoint(place_phis(graph, own, dom))
+    defs = checkpoint(ssa_definitions(own, phis, dom))
+    read = ssa_uses(own, defs, dom).withColumn("access", F.lit("use")).withColumn("clobbered", F.lit(None).cast("long"))
+    # What a write finds is what a read at its place would have.
+    found = ssa_uses(own.withColumn("uses", F.col("defs")), defs, dom).select("graph_id", "block", "idx", "variable", F.col("version").alias("clobbered"))
+    made = defs.withColumn("access", F.when(F.col("is_phi"), "phi").otherwise("def")).join(found, ["graph_id", "block", "idx", "variable"], "left")
+    columns = ["graph_id", "block", "idx", F.col("variable").alias("memory"), "access", "version", "clobbered"]
+    operands = phi_operands(graph, phis, defs, dom).withColumnRenamed("variable", "memory")
+    return made.select(*columns).unionByName(read.select(*columns)), operands
+
+
 # -- lattices -------------------------------------------------------------------
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from arcstep.operators import analysis, dataflow, dominance, domtree, expressions, open_search, sccp as conditional, solver
+from arcstep.operators import analysis, dataflow, dominance, domtree, expressions, open_search, sccp as conditional, solver, transform
 from arcstep.operators.frames import checkpoint
 from arcstep.plans import sql
 from arcstep.plans.registry import query
@@ -188,3 +190,33 @@ def open_states(spark, d):
         return states.select("graph_id", "key", F.explode(F.array((k * 7 + 3) % m, F.expr("key div 2"), (k * k + 1) % m)).alias("next"))
 
     return open_search.open_search(seeds, successors, max_states=1_000_000, max_depth=12)
+
+
+# -- memory ----------------------------------------------------------------------------------
+
+_MEM_AT = """coalesce((SELECT arg_max(s.version, (q.depth, s.idx)) FROM dom d JOIN depth q ON q.graph_id = d.graph_id AND q.n = d.d
+JOIN sdef s ON s.graph_id = d.graph_id AND s.block = d.d AND s.v = u.m WHERE d.graph_id = u.graph_id AND d.n = u.block AND (d.d <> u.block OR s.idx < u.idx)), 0)::BIGINT"""
+_MEM = with_(
+    sql.PROGRAMS, sql.DOM, "mins AS MATERIALIZED (SELECT graph_id, block, idx, 'm' || (abs(value) % 2) AS name FROM ins WHERE name IN ('purchase', 'error'))", re.sub(r"\bins\b", "mins", sql.SSA)
+) + f"""SELECT u.graph_id, u.block, u.idx, u.m AS memory, 'use' AS access, {_MEM_AT} AS version, NULL::BIGINT AS clobbered FROM (SELECT graph_id, block, idx, 'm' || (abs(value) % 2) AS m FROM ins WHERE name IN ('view', 'error')) u
+UNION ALL SELECT u.graph_id, u.block, u.idx, u.m, CASE WHEN is_phi THEN 'phi' ELSE 'def' END, ver, CASE WHEN NOT is_phi THEN {_MEM_AT} END FROM (SELECT graph_id, block, idx, v AS m, is_phi, version AS ver FROM sdef) u"""
+
+
+@query(_MEM)
+def memory_versions(spark, d):
+    """Memory of two alias sets: purchases write, views read, errors do both."""
+    g, ins = tables.programs(spark, d)
+    one = F.array(F.concat(F.lit("m"), (F.abs("value") % 2).cast("string")))
+    when = lambda *names: F.when(F.col("name").isin(*names), one).otherwise(F.array().cast("array<string>"))
+    rows = ins.select("graph_id", "block", "idx", when("view", "error").alias("reads"), when("purchase", "error").alias("writes"))
+    return dataflow.memory_ssa(g, rows, dominance.dominators(g))[0]
+
+
+# -- clean-up --------------------------------------------------------------------------------
+
+
+@query()
+def simplified_programs(spark, d):
+    """Edges that are left once views, clicks and signups are gone and clean-up moves nothing any more."""
+    g, ins = tables.programs(spark, d)
+    return transform.simplify(g, ins.where("name not in ('view', 'click', 'signup')"))[0].live().select("graph_id", "edge_id", "src", "dst", "kind")
