@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from arcstep.operators.frames import checkpoint, closure, dense_ids, discard, pinned
+from arcstep.operators.frames import HOPS, checkpoint, closure, dense_ids, discard, pinned
 from arcstep.operators.graph import Graph
 
 
@@ -47,7 +47,7 @@ def distances(
         return f.withColumnRenamed("node_id", "src").join(ends, ["graph_id", "src"]).select("graph_id", F.col("dst").alias("node_id"), (F.col("depth") + 1).alias("depth"))
 
     start = seeds.select("graph_id", "node_id", F.lit(0).cast("long").alias("depth"))
-    return closure(start, step, ["graph_id", "node_id"], max_depth, {"depth": F.min("depth")}).select("graph_id", "node_id", "depth")
+    return closure(start, step, ["graph_id", "node_id"], max_depth, {"depth": F.min("depth")}, HOPS if max_depth is None else None).select("graph_id", "node_id", "depth")
 
 
 def breadth_first(graph: Graph, seeds: DataFrame, direction: str = "forward", max_depth: int | None = None, where: Column | str | None = None) -> DataFrame:

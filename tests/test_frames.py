@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from arcstep.operators import frames
 from arcstep.operators.frames import checkpoint
 
 
@@ -17,3 +18,18 @@ def test_a_table_that_shrinks_in_files_is_not_broadcast(spark):
     key = ["graph_id", "node_id"]
     assert "Broadcast" not in plan(large.join(large.withColumnRenamed("payload", "other"), key, "left"))
     assert "Broadcast" in plan(large.join(small.withColumnRenamed("payload", "other"), key, "left"))
+
+
+def test_a_closure_asks_what_is_known_once_in_several_steps(spark, monkeypatch):
+    written = []
+    real = frames.checkpoint
+    monkeypatch.setattr(frames, "checkpoint", lambda df: written.append(1) or real(df))
+    # A chain of 18 nodes with a ring at its end and a short cut.
+    edges = spark.createDataFrame([(i, i + 1) for i in range(17)] + [(17, 14), (2, 9)], "src long, dst long")
+    step = lambda f: f.withColumnRenamed("node_id", "src").join(edges, "src").select(F.col("dst").alias("node_id"))
+    got = frames.closure(spark.sql("select 0L as node_id"), step, ["node_id"])
+    assert sorted(r[0] for r in got.collect()) == list(range(18))
+    assert len(written) <= 6
+    deep = lambda f: f.withColumnRenamed("node_id", "src").join(edges, "src").select(F.col("dst").alias("node_id"), (F.col("depth") + 1).alias("depth"))
+    far = frames.closure(spark.sql("select 0L as node_id, 0L as depth"), deep, ["node_id"], best={"depth": F.min("depth")}, hops=4)
+    assert {tuple(r) for r in far.select("node_id", "depth").collect()} == {(i, i if i < 9 else i - 6) for i in range(18)}
