@@ -33,3 +33,22 @@ def test_a_closure_asks_what_is_known_once_in_several_steps(spark, monkeypatch):
     deep = lambda f: f.withColumnRenamed("node_id", "src").join(edges, "src").select(F.col("dst").alias("node_id"), (F.col("depth") + 1).alias("depth"))
     far = frames.closure(spark.sql("select 0L as node_id, 0L as depth"), deep, ["node_id"], best={"depth": F.min("depth")}, hops=4)
     assert {tuple(r) for r in far.select("node_id", "depth").collect()} == {(i, i if i < 9 else i - 6) for i in range(18)}
+
+
+def test_large_parts_of_a_closure_stay_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(frames, "LARGE", 20)
+    plans = []
+    real = frames.checkpoint
+    monkeypatch.setattr(frames, "checkpoint", lambda df: plans.append(plan(df)) or real(df))
+    # Thirty chains of 60 nodes: each round finds more rows than the bound, and a few rounds far more than it.
+    edges = real(spark.range(30 * 60).selectExpr("cast(id % 30 as string) as graph_id", "id div 30 as node_id", "id div 30 + 1 as next"))
+    step = lambda f: f.join(edges, ["graph_id", "node_id"]).select("graph_id", F.col("next").alias("node_id"))
+    seed = edges.where("node_id = 0").select("graph_id", "node_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = frames.closure(seed, step, ["graph_id", "node_id"])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(tuple(r) for r in got.collect()) == sorted((str(g), n) for g in range(30) for n in range(61))
+    # What is known is read in its buckets, without being moved.
+    assert any("Bucketed: true" in p and "LeftAnti" in p for p in plans)
