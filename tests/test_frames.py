@@ -52,3 +52,13 @@ def test_large_parts_of_a_closure_stay_where_they_are(spark, monkeypatch):
     assert sorted(tuple(r) for r in got.collect()) == sorted((str(g), n) for g in range(30) for n in range(61))
     # What is known is read in its buckets, without being moved.
     assert any("Bucketed: true" in p and "LeftAnti" in p for p in plans)
+
+
+def test_ids_of_groups_join_where_their_rows_are(spark):
+    rows = spark.range(5000).selectExpr("cast(id % 3 as string) as g", "5000 - id as v").where("g <> '2' or v < 10")
+    got = frames.dense_ids(rows, ["v"], "k", ["g"])
+    for g in ("0", "1", "2"):
+        ordered = [r["k"] for r in got.where(F.col("g") == g).orderBy("v").collect()]
+        assert ordered and ordered == list(range(len(ordered)))
+    # No join on the groups alone: a large group is never in one task.
+    assert "[g#" not in "".join(line for line in plan(got).splitlines() if "Join" in line and "__part" not in line)
