@@ -24,19 +24,21 @@ def operand_sources(instrs: DataFrame, dom: DataFrame | None = None) -> DataFram
     the nearest dominator that has one; null where there is none.
     """
     reads = instrs.select(*SITE, F.posexplode("uses").alias("pos", "variable"))
-    defs = instrs.select("graph_id", F.col("block").alias("from_block"), F.col("idx").alias("from_idx"), F.explode("defs").alias("variable"))
     if dom is None:
-        near = reads.join(defs.withColumn("block", F.col("from_block")), ["graph_id", "block", "variable"])
-        rank = F.struct(F.lit(0).alias("depth"), "from_idx", "from_block")
-    else:
-        depth = dom.groupBy("graph_id", F.col("node_id").alias("from_block")).agg(F.count(F.lit(1)).alias("depth"))
-        above = dom.select("graph_id", F.col("node_id").alias("block"), F.col("dom").alias("from_block")).join(depth, ["graph_id", "from_block"])
-        last = defs.groupBy("graph_id", "from_block", "variable").agg(F.max("from_idx").alias("from_idx"))
-        outer = reads.join(above.where("block <> from_block"), ["graph_id", "block"]).join(last, ["graph_id", "from_block", "variable"])
-        own = reads.join(defs, ["graph_id", "variable"]).where("block = from_block").join(depth, ["graph_id", "from_block"])
-        cols = [*SITE, "pos", "variable", "from_block", "from_idx", "depth"]
-        near = outer.select(*cols).unionByName(own.select(*cols))
-        rank = F.struct("depth", "from_idx", "from_block")
+        none = lambda kind: F.lit(None).cast(kind)
+        defs = instrs.select(*SITE, none("int").alias("pos"), F.explode("defs").alias("variable"), F.col("idx").alias("made"))
+        earlier = W.partitionBy("graph_id", "block", "variable").orderBy("idx").rangeBetween(W.unboundedPreceding, -1)
+        marks = reads.withColumn("made", none("long")).unionByName(defs).withColumn("from_idx", F.max("made").over(earlier))
+        return marks.where("pos is not null").select(*SITE, "pos", "variable", F.when(F.col("from_idx").isNotNull(), F.col("block")).alias("from_block"), "from_idx")
+    defs = instrs.select("graph_id", F.col("block").alias("from_block"), F.col("idx").alias("from_idx"), F.explode("defs").alias("variable"))
+    depth = dom.groupBy("graph_id", F.col("node_id").alias("from_block")).agg(F.count(F.lit(1)).alias("depth"))
+    above = dom.select("graph_id", F.col("node_id").alias("block"), F.col("dom").alias("from_block")).join(depth, ["graph_id", "from_block"])
+    last = defs.groupBy("graph_id", "from_block", "variable").agg(F.max("from_idx").alias("from_idx"))
+    outer = reads.join(above.where("block <> from_block"), ["graph_id", "block"]).join(last, ["graph_id", "from_block", "variable"])
+    own = reads.join(defs, ["graph_id", "variable"]).where("block = from_block").join(depth, ["graph_id", "from_block"])
+    cols = [*SITE, "pos", "variable", "from_block", "from_idx", "depth"]
+    near = outer.select(*cols).unionByName(own.select(*cols))
+    rank = F.struct("depth", "from_idx", "from_block")
     before = near.where("block <> from_block or from_idx < idx")
     best = before.groupBy(*SITE, "pos").agg(F.max(rank).alias("m"))
     return reads.join(best, [*SITE, "pos"], "left").select(*SITE, "pos", "variable", F.col("m.from_block").alias("from_block"), F.col("m.from_idx").alias("from_idx"))
