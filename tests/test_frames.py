@@ -62,3 +62,16 @@ def test_ids_of_groups_join_where_their_rows_are(spark):
         assert ordered and ordered == list(range(len(ordered)))
     # No join on the groups alone: a large group is never in one task.
     assert "[g#" not in "".join(line for line in plan(got).splitlines() if "Join" in line and "__part" not in line)
+
+
+def test_links_of_hot_nodes_are_not_joined_by_them(spark, monkeypatch):
+    monkeypatch.setattr(frames, "HOT", 10)
+    seen = []
+    real = frames.checkpoint
+    monkeypatch.setattr(frames, "checkpoint", lambda df: seen.append(df) or real(df))
+    # Two stars of 50 links whose centres are linked, and a chain.
+    links = [("a", 1, i) for i in range(100, 150)] + [("a", 50, i) for i in range(200, 250)] + [("a", 1, 50)] + [("b", i, i + 1) for i in range(9)]
+    got = frames.star_components(spark.createDataFrame(links, "g string, a long, b long"), ["g"], "a", "b")
+    want = {("a", n, 1) for n in [1, 50, *range(100, 150), *range(200, 250)]} | {("b", n, 0) for n in range(10)}
+    assert {tuple(r) for r in got.select("g", "node", "component").collect()} == want
+    assert any("#" in plan(df) and "hot" in plan(df) and "BroadcastHashJoin" in plan(df) for df in seen)
