@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arcstep.operators import dataflow, dominance, graph, sccp, solver
+from arcstep.operators import dataflow, dominance, frames, graph, sccp, solver
 from tests.test_graph import build, reach
 
 INSTRS = "graph_id string, block long, idx long, uses array<string>, defs array<string>, op string, value long"
@@ -89,3 +89,17 @@ def test_reaching_definitions_and_widening_by_the_solver(spark):
     # Only what the seeds reach is visited.
     into, out = solver.solve_keyed(g, lambda nodes, facts: facts, F.max, boundary=spark.createDataFrame([("p", 2, "t", True)], "graph_id string, node_id long, key string, fact boolean"), seeds=spark.createDataFrame([("p", 2)], "graph_id string, node_id long"))
     assert {r["node_id"] for r in out.collect()} == reach(edges, 2)
+
+
+def test_keyed_facts_look_up_only_what_a_round_visits(spark, monkeypatch):
+    # A chain down which a fact falls: each round visits one node, so all rounds together ask for few rows; tables lie in buckets.
+    for module in (frames, solver):
+        monkeypatch.setattr(module, "LARGE", 2)
+    n, asked, rows = 14, [], solver._Parts.rows
+    monkeypatch.setattr(solver._Parts, "rows", lambda self, *nodes: (asked.append(rows(self, *nodes).count() if nodes else None), rows(self, *nodes))[1])
+    g = build(spark, {"p": (n, [(i, i + 1) for i in range(n - 1)])})
+    start = spark.createDataFrame([("p", 0, "k", 0)], "graph_id string, node_id long, key string, fact long")
+    step = lambda nodes, facts: facts.withColumn("fact", F.col("fact") + 1)
+    _, out = solver.solve_keyed(g, step, F.min, "forward", boundary=start, seeds=start.select("graph_id", "node_id"), types=("string", "bigint"))
+    assert {r["node_id"]: r["fact"] for r in out.collect()} == {i: i + 1 for i in range(n)}
+    assert asked[-1] is None and None not in asked[:-1] and max(asked[:-1]) <= 4
