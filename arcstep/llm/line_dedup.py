@@ -287,12 +287,11 @@ def repeated_words(docs: DataFrame, matches: DataFrame, run_words: int = RUN_WOR
             firsts, lasts = [], []
             for anchors, words0, ends0, words, ends in zip(*batch.columns[2:], strict=True):
                 words0, ends0, words, ends = (x.values.to_numpy() for x in (words0, ends0, words, ends))
-                in_words = [(x["pos"], x["pos0"]) for x in anchors.as_py() if x["words"]]
+                pos, pos0, of_words = (anchors.values.field(x).to_numpy(zero_copy_only=False) for x in ("pos", "pos0", "words"))
+                in_words = list(zip(pos[of_words].tolist(), pos0[of_words].tolist(), strict=True))
                 spans = [(a, b) for a, b in extend(words, words0, in_words) if b - a >= run_words]
                 starts, starts0 = (np.concatenate(([0], e[:-1])) for e in (ends, ends0))
-                in_lines = [
-                    (int(np.searchsorted(starts, x["pos"])), int(np.searchsorted(starts0, x["pos0"]))) for x in anchors.as_py() if not x["words"]
-                ]
+                in_lines = list(zip(np.searchsorted(starts, pos[~of_words]).tolist(), np.searchsorted(starts0, pos0[~of_words]).tolist(), strict=True))
                 if in_lines:
                     lines, lines0 = (_spans_hashed(w.view(np.uint64), s, e) for w, s, e in ((words, starts, ends), (words0, starts0, ends0)))
                     spans += [(int(starts[a]), int(ends[b - 1])) for a, b in extend(lines, lines0, in_lines)]
