@@ -34,6 +34,9 @@ ABOVE = -(1 << 62)
 
 KEY = ["graph_id", "node_id"]
 
+#: Levels of jump tables that one plan walks; the driver holds the broadcasts of a plan's joins at the same time.
+WALK = 4
+
 
 class Jumps:
     """Ancestors of the nodes of trees at distances of powers of two.
@@ -70,10 +73,19 @@ class Jumps:
         up = self.levels[j].select("graph_id", F.col("node_id").alias(node), F.col("up").alias(name))
         return rows.join(up, ["graph_id", node], "left")
 
+    def _cut(self, rows: DataFrame, j: int) -> DataFrame:
+        """``rows`` as a written table before each ``WALK`` levels of a walk down to level ``j`` but the first."""
+        if (j + 1) % WALK or j + 1 == len(self.levels):
+            return rows
+        rows = checkpoint(rows)
+        self._stored.append(rows)
+        return rows
+
     def lifted(self, rows: DataFrame, node: str, by: str) -> DataFrame:
         """``rows`` with each ``node`` replaced by its ancestor ``by`` levels above."""
         columns = rows.columns
         for j in reversed(range(len(self.levels))):
+            rows = self._cut(rows, j)
             take = (F.col(by) >= 1 << j) & F.col("__up").isNotNull()
             rows = self._joined(rows, j, node, "__up").select(
                 *[F.when(take, F.col("__up")).otherwise(F.col(c)).alias(c) if c == node else F.when(take, F.col(c) - (1 << j)).otherwise(F.col(c)).alias(c) if c == by else F.col(c) for c in columns]
@@ -102,6 +114,7 @@ class Jumps:
         """As ``common``, for rows of ``leveled``."""
         columns = [c for c in rows.columns if c not in (a, b, "level")]
         for j in reversed(range(len(self.levels))):
+            rows = self._cut(rows, j)
             rows = self._joined(self._joined(rows, j, a, "__a"), j, b, "__b")
             apart = F.col("__a") != F.col("__b")  # null at ABOVE, where nothing moves
             rows = rows.select(
@@ -188,18 +201,34 @@ def parents_and_jumps(graph: Graph, roots: DataFrame | None = None) -> tuple[Dat
     reached = edges.where(F.col("src") == ABOVE).unionByName(edges.join(jumps.depths("src"), ["graph_id", "src"], "left_semi"))
     joins = reached.groupBy("graph_id", "dst").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("graph_id", "dst")
     hard = checkpoint(reached.join(joins, ["graph_id", "dst"]).select("graph_id", F.col("dst").alias("node_id"), F.col("src").alias("b")))
+    settled, stored = [], []
     while True:
         pairs = hard.join(parents.select(*KEY, F.col("parent").alias("a")), KEY).withColumn("old", F.col("a"))
         # Where the parent is above the node that leads here, nothing moves.
         apart = checkpoint(jumps.leveled(pairs).where("a <> b or a <> old"))
         if apart.isEmpty():
-            discard(apart, hard, edges)
-            return parents, jumps
+            break
+        # A graph in which no parent moves is done; the next rounds leave it out.
+        moving = checkpoint(apart.select("graph_id").distinct())
         best = jumps.met(apart).groupBy(*KEY).agg(F.min_by("lca", "level").alias("new"))
-        last, parents = parents, checkpoint(parents.join(best, KEY, "left").select(*KEY, F.coalesce("new", "parent").alias("parent")))
+        now = parents.join(best, KEY, "left").join(moving.withColumn("moves", F.lit(True)), "graph_id", "left")
+        now = checkpoint(now.select(*KEY, F.coalesce("new", "parent").alias("parent"), F.coalesce("moves", F.lit(False)).alias("moves")))
+        last, hard = hard, checkpoint(hard.join(moving, "graph_id", "left_semi"))
+        jumps.discard()
+        discard(last, apart, moving)
+        stored.append(now)
+        settled.append(now.where("not moves").select(*KEY, "parent"))
+        parents = now.where("moves").select(*KEY, "parent")
+        jumps = Jumps(parents)
+    discard(apart, hard, edges)
+    if any(not part.isEmpty() for part in settled):
+        for part in settled:
+            parents = parents.unionByName(part)
+        parents = checkpoint(parents)
         jumps.discard()
-        discard(last, apart)
+        discard(*stored)
         jumps = Jumps(parents)
+    return parents, jumps
 
 
 def immediate_dominators(graph: Graph, roots: DataFrame | None = None) -> DataFrame:

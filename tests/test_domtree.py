@@ -70,6 +70,26 @@ def test_chain_of_100000_nodes(spark):
     assert [tuple(r) for r in tree.where(f"node_id = {n - 1}").select("idom", "depth").collect()] == [(1000, 1001)]
 
 
+def test_rounds_leave_out_settled_graphs_and_plans_stay_short(spark, monkeypatch):
+    trees, joins = [], []
+
+    class Counted(domtree.Jumps):
+        def __init__(self, parents):
+            trees.append(parents.count())
+            super().__init__(parents)
+
+    real = domtree.checkpoint
+    monkeypatch.setattr(domtree, "Jumps", Counted)
+    monkeypatch.setattr(domtree, "checkpoint", lambda df: joins.append(df._jdf.queryExecution().analyzed().toString().count("Join ")) or real(df))
+    chains = {f"c{i}": (5, [(k, k + 1) for k in range(4)]) for i in range(12)}
+    # Two ways of 40 nodes each that meet again, and a diamond behind them.
+    ways = [(0, 1), (0, 41), (40, 81), (80, 81), (81, 82), (81, 83), (82, 84), (83, 84)] + [(k, k + 1) for s in (1, 41) for k in range(s, s + 39)]
+    some = chains | {"ways": (85, ways)}
+    assert got_trees(domtree.immediate_dominators(build(spark, some))) == {k: brute_tree(es) for k, (_, es) in some.items()}
+    assert trees[0] == trees[-1] == 145 and set(trees[1:-1]) == {85}
+    assert max(joins) <= 12
+
+
 def test_changed_graphs_equal_whole_trees(spark):
     rng = random.Random(11)
     graphs = larger_graphs(12, seed=3)

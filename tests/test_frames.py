@@ -20,6 +20,16 @@ def test_a_table_that_shrinks_in_files_is_not_broadcast(spark):
     assert "Broadcast" in plan(large.join(small.withColumnRenamed("payload", "other"), key, "left"))
 
 
+def test_a_side_of_some_megabytes_is_not_broadcast_at_run_time(spark):
+    # 60,000 rows are over two megabytes in a shuffle, which is below Spark's own bound.
+    rows = checkpoint(spark.range(60_000).selectExpr("cast(id % 7 as string) as graph_id", "id as node_id", "id * 3 as value"))
+    for most, want in ((60_000, False), (100, True)):
+        other = checkpoint(rows.withColumnRenamed("value", "other")).where(F.col("node_id") < most)
+        joined = rows.join(other, ["graph_id", "node_id"])
+        assert len(joined.collect()) == most
+        assert ("BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()) == want
+
+
 def test_a_closure_asks_what_is_known_once_in_several_steps(spark, monkeypatch):
     written = []
     real = frames.checkpoint
