@@ -206,6 +206,8 @@ def interference(instrs: DataFrame, live: DataFrame) -> DataFrame:
 
 #: Points of a block that share a bin when live ranges are compared.
 BIN = 64
+#: Consecutive blocks of a graph whose pairs of variables are found in one task.
+BLOCKS = 256
 
 
 def live_ranges(instrs: DataFrame, live: DataFrame) -> DataFrame:
@@ -237,9 +239,13 @@ def interference_at_points(instrs: DataFrame, live: DataFrame) -> DataFrame:
     """
     ranges = live_ranges(instrs, live)
     binned = ranges.withColumn("bin", F.explode(F.sequence(F.floor(F.col("first") / BIN), F.floor(F.col("last") / BIN))))
-    other = binned.select("graph_id", "block", "bin", F.col("variable").alias("b"), F.col("first").alias("b_first"), F.col("last").alias("b_last"))
-    pairs = binned.withColumnRenamed("variable", "a").join(other, ["graph_id", "block", "bin"]).where("a < b and first <= b_last and b_first <= last")
-    return pairs.select("graph_id", "a", "b").distinct()
+    # Neighbouring blocks mostly hold the same pairs: a task that has several of them drops the repeats before they move.
+    key = ["graph_id", "part", "block", "bin"]
+    binned = binned.withColumn("part", F.floor(F.col("block") / BLOCKS)).repartition("graph_id", "part")
+    near = binned.groupBy(*key).agg(F.collect_list(F.struct("variable", "first", "last")).alias("ranges")).select("graph_id", "ranges", F.explode("ranges").alias("one"))
+    meets = lambda x: (x["variable"] > F.col("one.variable")) & (x["first"] <= F.col("one.last")) & (x["last"] >= F.col("one.first"))
+    others = F.transform(F.filter("ranges", meets), lambda x: x["variable"])
+    return near.select("graph_id", F.col("one.variable").alias("a"), F.explode(others).alias("b")).distinct()
 
 
 def colour(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
