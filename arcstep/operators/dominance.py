@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcstep.operators.domtree import dominates, immediate_dominators, parents_and_jumps, tree_jumps
+from arcstep.operators import domtree, whole
+from arcstep.operators.domtree import dominates, tree_jumps
 from arcstep.operators.frames import checkpoint, closure
 from arcstep.operators.graph import Graph
 
@@ -17,9 +20,27 @@ def dominators(graph: Graph, roots: DataFrame | None = None) -> DataFrame:
 
     The ancestors in the dominator tree, one row for each level of a node's depth in
     it, as explicit dominators need; what only asks for parents, common dominators or
-    whether one node dominates another can use the tree (``domtree``) itself.
+    whether one node dominates another can use the tree (``domtree``) itself. Graphs that fit
+    a task are solved there (``whole``).
     """
-    return parents_and_jumps(graph, roots)[1].ancestors()
+    roots = graph.roots if roots is None else roots
+    found, large, heads = _solved(graph, roots, whole.dominators_kernel, "node_id bigint, dom bigint")
+    return found if large is None else found.unionByName(domtree.parents_and_jumps(large, heads)[1].ancestors())
+
+
+def immediate_dominators(graph: Graph, roots: DataFrame | None = None) -> DataFrame:
+    """(graph_id, node_id, idom, depth) of the nodes that a root reaches, as ``domtree`` has them; graphs that fit a task are solved there (``whole``)."""
+    roots = graph.roots if roots is None else roots
+    found, large, heads = _solved(graph, roots, whole.tree_kernel, "node_id bigint, idom bigint, depth bigint")
+    return found if large is None else found.unionByName(domtree.immediate_dominators(large, heads))
+
+
+def _solved(graph: Graph, roots: DataFrame, kernel: Callable, schema: str) -> tuple[DataFrame, Graph | None, DataFrame]:
+    """What ``kernel`` makes of the small graphs, the large ones and the roots of these."""
+    small, large = whole.parted(graph)
+    heads = roots if large is None else whole.without(roots, large)
+    rows = whole.edges(small).unionByName(whole.marks(heads, node="root"))
+    return checkpoint(whole.solved(rows, kernel, schema)), large, roots if large is None else whole.of(roots, large)
 
 
 def post_dominators(graph: Graph, exits: DataFrame | None = None) -> DataFrame:

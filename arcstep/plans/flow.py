@@ -77,7 +77,7 @@ def updated_dominators(spark, d):
     """The dominator tree after some jumps ahead were removed, brought up to date from the tree before."""
     g, _ = tables.programs(spark, d)
     gone = g.edges.where("kind = 'ConditionalTrue' and edge_id % 5 = 0")
-    tree = domtree.immediate_dominators(g)
+    tree = dominance.immediate_dominators(g)
     ends = gone.select("graph_id", "src", "dst")
     return domtree.updated_dominators(tree, g.remove_edges(gone), ends.limit(0), ends)[0]
 

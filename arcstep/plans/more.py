@@ -147,7 +147,7 @@ def found_functions(spark, d):
 def _regions(spark, d):
     """Loops as regions: the header's loop is protected, its handler is entered at the header, finally or catch by turns."""
     g, _ = tables.programs(spark, d)
-    bodies = checkpoint(dominance.loop_bodies(g, dominance.tree_back_edges(g, domtree.immediate_dominators(g))))
+    bodies = checkpoint(dominance.loop_bodies(g, dominance.tree_back_edges(g, dominance.immediate_dominators(g))))
     lists = bodies.groupBy("graph_id", F.col("header").alias("key")).agg(F.collect_list("node_id").alias("protected"))
     ids = graph.intern(lists.select("graph_id", "key", F.col("key").alias("seen")))
     regions = checkpoint(ids.join(lists, ["graph_id", "key"]).select("graph_id", F.col("node_id").alias("region_id"), "protected", F.col("key").alias("entry")))
@@ -262,7 +262,7 @@ def changed_dominators(spark, d):
     """Immediate dominators that change when some of the jumps ahead are removed."""
     g, _ = tables.programs(spark, d)
     cut = g.remove_edges(g.edges.where("kind = 'ConditionalTrue' and edge_id % 2 = 0"))
-    return dominance.changed_dominators(domtree.immediate_dominators(g), domtree.immediate_dominators(cut))
+    return dominance.changed_dominators(dominance.immediate_dominators(g), dominance.immediate_dominators(cut))
 
 
 _TAGGED = with_(sql.PROGRAMS, sql.DOM, sql.LOOPS.replace("SELECT DISTINCT e.graph_id, e.src, e.dst FROM pe e WHERE e.src = e.dst OR", "SELECT DISTINCT e.graph_id, e.src, e.dst FROM pe e WHERE e.kind IN ('Back', 'ConditionalTrue') OR e.src = e.dst OR"))
@@ -273,7 +273,7 @@ def tagged_loops(spark, d):
     """How many loops hold each block, if jumps ahead are tagged as back edges, too."""
     g, _ = tables.programs(spark, d)
     tagged = graph.Graph(g.nodes, g.edges.withColumn("kind", F.when(F.col("kind") == "ConditionalTrue", "Back").otherwise(F.col("kind"))), g.roots)
-    backs = checkpoint(dominance.tree_back_edges(tagged, domtree.immediate_dominators(tagged), tagged=True))
+    backs = checkpoint(dominance.tree_back_edges(tagged, dominance.immediate_dominators(tagged), tagged=True))
     return dominance.nesting_depth(tagged, dominance.loop_bodies(tagged, backs))
 
 
