@@ -7,15 +7,23 @@ branch tests lets it be taken. A round looks only at what the round before has
 changed: instructions of blocks that are new, instructions and phis that read a
 value that has moved, and phis of blocks that a new edge enters. A value read
 before the first definition (version 0) varies.
+
+Where the executable blocks are known and the folding is given as a Python function, too, graphs
+of up to ``MAX_SITES`` instructions are solved whole by one task each, with a worklist of the same steps.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from arcstep.operators import whole
 from arcstep.operators.frames import checkpoint, discard
 from arcstep.operators.graph import Graph
 
@@ -24,6 +32,12 @@ SITE = ["graph_id", "block", "idx"]
 VALUE = ["graph_id", "variable", "version"]
 EDGE = ["graph_id", "edge_id"]
 
+#: Instructions of a graph that one task takes; it holds about a kilobyte of each.
+MAX_SITES = 1 << 17
+
+#: Maps an instruction's columns and the constants that it reads to the variable it defines and its value, or to None.
+RowFold = Callable[[dict, dict], "tuple[str, object] | None"]
+
 
 def _settled(rows: DataFrame, values: DataFrame) -> DataFrame:
     """(graph_id, variable, version, ...) rows with ``known`` (whether the value is not absent), ``bottom`` and ``value``."""
@@ -45,6 +59,7 @@ def sccp(
     reached: DataFrame | None = None,
     tests: DataFrame | None = None,
     takes: Column | None = None,
+    fold_row: RowFold | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The values (graph_id, variable, version, state, value), state CONST or BOTTOM, of executable blocks, and the executable edges (graph_id, edge_id, src, dst).
 
@@ -58,8 +73,19 @@ def sccp(
     (graph_id, block), such as the nodes of the dominator tree, then spares the rounds
     that find the blocks. ``tests`` (graph_id, block, variable, version) names the value that
     the end of a block tests, and ``takes``, over an edge's ``kind`` and that ``value``, the edges
-    taken for a constant.
+    taken for a constant. ``fold_row`` is the same as ``fold``, which must be monotone, in Python;
+    with it and ``reached`` graphs that fit a task take no rounds.
     """
+    if fold_row is not None and tests is None and reached is not None:
+        large = checkpoint(instrs.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MAX_SITES).select("graph_id"))
+        parts = (instrs, defs, uses, operands, reached)
+        if large.isEmpty():
+            return _solved(graph, *parts, fold_row, foldable, value_type)
+        of = lambda df, how: df.join(F.broadcast(large), "graph_id", how)
+        part = lambda how: (Graph(of(graph.nodes, how), of(graph.edges, how)), *[of(df, how) for df in parts])
+        g, ins, d, u, o, r = part("left_semi")
+        by_rounds = sccp(Graph(g.nodes, g.edges, graph.roots), ins, d, u, o, fold, foldable, value_type, r)
+        return tuple(a.unionByName(b) for a, b in zip(_solved(*part("left_anti"), fold_row, foldable, value_type), by_rounds, strict=True))
     live = checkpoint(graph.live().select("graph_id", "edge_id", F.col("src").alias("block"), "dst", "kind"))
     can = F.lit(True) if foldable is None else F.coalesce(foldable, F.lit(False))
     sites = checkpoint(instrs.withColumn("__can", can).join(defs.where("not is_phi").select(*SITE, "variable", "version"), SITE))
@@ -124,6 +150,86 @@ def sccp(
     return values.select(*VALUE, state, "value"), edges.select("graph_id", "edge_id", F.col("block").alias("src"), "dst")
 
 
+def _solved(
+    graph: Graph, instrs: DataFrame, defs: DataFrame, uses: DataFrame, operands: DataFrame, reached: DataFrame, fold_row: RowFold, foldable: Column | None, value_type: str
+) -> tuple[DataFrame, DataFrame]:
+    """As ``sccp`` with all ways out executable, each graph by one task."""
+    blocks = checkpoint(reached.select(*BLOCK).distinct())
+    live = graph.live().select("graph_id", "edge_id", F.col("src").alias("block"), "dst")
+    edges = checkpoint(live.join(blocks, BLOCK, "left_semi"))
+    can = F.lit(True) if foldable is None else F.coalesce(foldable, F.lit(False))
+    own = instrs.join(blocks, BLOCK, "left_semi").withColumn("can", can).withColumn("instr", F.struct(*instrs.columns))
+    row = lambda df, kind: df.withColumn("kind", F.lit(kind))
+    rows = row(own.select(*SITE, "can", "instr").join(defs.where("not is_phi").select(*SITE, "variable", "version"), SITE), 0)
+    more = [
+        row(uses.select(*SITE, "variable", "version").distinct(), 1),
+        row(defs.where("is_phi").select(*BLOCK, "variable", "version"), 2),
+        row(operands.join(edges.select(*EDGE), EDGE, "left_semi").select(*BLOCK, "variable", "version"), 3),
+    ]
+    for part in more:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    kernel = partial(_worklist, fold_row=fold_row, value_type=to_arrow_type(rows.sparkSession.createDataFrame([], f"v {value_type}").schema["v"].dataType))
+    values = whole.solved(rows, kernel, f"variable string, version bigint, state string, value {value_type}", plain=True)
+    return checkpoint(values), edges.select("graph_id", "edge_id", F.col("block").alias("src"), "dst")
+
+
+def _worklist(table: pa.Table, fold_row: RowFold, value_type: pa.DataType) -> Iterator[dict]:
+    new = whole.begins(table, ("graph_id",))
+    names = table.column("graph_id").take(pa.array(np.flatnonzero(new)))
+    get = lambda c: table.column(c).to_pylist()
+    # [whether it folds, instruction, results, reads] of an instruction; [None, None, result, operands] of a phi.
+    sites: dict[tuple, list] = {}
+    phis: dict[tuple, list] = {}
+    reads, operands = [], []
+    for g, kind, block, idx, variable, version, can, instr in zip((np.cumsum(new) - 1).tolist(), *map(get, ("kind", "block", "idx", "variable", "version", "can", "instr")), strict=True):
+        value = (g, variable, version)
+        if kind == 0:
+            sites.setdefault((g, block, idx), [can, instr, [], []])[2].append(value)
+        elif kind == 1:
+            reads.append(((g, block, idx), value))
+        elif kind == 2:
+            phis[g, block, variable] = [None, None, value, []]
+        else:
+            operands.append(((g, block, variable), value))
+    readers: dict[tuple, list] = {}
+    for places, pairs in ((sites, reads), (phis, operands)):
+        for place, value in pairs:
+            if (at := places.get(place)) is not None:
+                at[3].append(value)
+                readers.setdefault(value, []).append(at)
+    bottom = object()
+    held: dict[tuple, object] = {}
+    look = lambda value: bottom if value[2] == 0 else held.get(value)
+    due = [*sites.values(), *phis.values()]
+    while due:
+        can, instr, result, inputs = due.pop()
+        known = [look(v) for v in inputs]
+        if can is None:
+            settled = [x for x in known if x is not None]
+            if not settled:
+                continue
+            made = [(result, bottom if any(x is bottom or x != settled[0] for x in settled) else settled[0])]
+        elif not can:
+            made = [(v, bottom) for v in result]
+        else:
+            if any(x is None for x in known):
+                continue
+            folded = fold_row(instr, {v[1]: x for v, x in zip(inputs, known, strict=True) if x is not bottom})
+            made = [(v, bottom if folded is None or folded[0] != v[1] or folded[1] is None else folded[1]) for v in result]
+        for value, to in made:
+            old = held.get(value)
+            if old is bottom or (old is not None and to is not bottom and old == to):
+                continue
+            # Values only go down.
+            held[value] = to if old is None else bottom
+            due.extend(readers.get(value, ()))
+    at = pa.array([v[0] for v in held], pa.int64())
+    yield {
+        "graph_id": names.take(at), "variable": pa.array([v[1] for v in held], pa.string()), "version": pa.array([v[2] for v in held], pa.int64()),
+        "state": pa.array(["BOTTOM" if x is bottom else "CONST" for x in held.values()], pa.string()), "value": pa.array([None if x is bottom else x for x in held.values()], value_type),
+    }
+
+
 def _taken(live: DataFrame, blocks: DataFrame, edges: DataFrame, values: DataFrame, tests: DataFrame | None, takes: Column | None) -> DataFrame:
     """The edges that have become executable."""
     left = live.join(edges.select(*EDGE), EDGE, "left_anti").join(blocks, BLOCK, "left_semi")

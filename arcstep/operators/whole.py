@@ -63,18 +63,21 @@ def marks(nodes: DataFrame, at: int = 1, node: str = "node_id") -> DataFrame:
     return nodes.select("graph_id", F.lit(at).alias("at"), F.col(node).alias("src"), F.col(node).alias("dst"))
 
 
-def solved(rows: DataFrame, kernel: Callable[[Whole], Iterable[dict]], schema: str, keys: Sequence[str] = ("graph_id",)) -> DataFrame:
-    """What ``kernel`` makes of the graphs of ``rows``: tables of columns of ``schema``, which begins with ``keys``."""
+def solved(rows: DataFrame, kernel: Callable[..., Iterable[dict]], schema: str, keys: Sequence[str] = ("graph_id",), plain: bool = False) -> DataFrame:
+    """What ``kernel`` makes of the graphs of ``rows``: tables of columns of ``schema``, which begins with ``keys``.
+
+    It gets a ``Whole``, or the table of the rows themselves if they are ``plain``.
+    """
     spark = rows.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     placed = rows.repartition(parts, *keys).sortWithinPartitions(*keys)
     types = dict(rows.dtypes)
-    return placed.mapInArrow(partial(_run, kernel, tuple(keys)), ", ".join([f"{k} {types[k]}" for k in keys] + [schema]))
+    return placed.mapInArrow(partial(_run, kernel, tuple(keys), plain=plain), ", ".join([f"{k} {types[k]}" for k in keys] + [schema]))
 
 
-def _run(kernel: Callable[[Whole], Iterable[dict]], keys: tuple[str, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _run(kernel: Callable[..., Iterable[dict]], keys: tuple[str, ...], batches: Iterator[pa.RecordBatch], plain: bool = False) -> Iterator[pa.RecordBatch]:
     for table in _tables(batches, keys):
-        whole = Whole(table, keys)
+        whole = table if plain else Whole(table, keys)
         del table
         for columns in kernel(whole):
             yield from pa.table(columns).to_batches(max_chunksize=100_000)
@@ -87,7 +90,7 @@ def _tables(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
     for batch in batches:
         if not batch.num_rows:
             continue
-        cut = int(np.flatnonzero(_begins(batch, keys))[-1])
+        cut = int(np.flatnonzero(begins(batch, keys))[-1])
         if cut == 0 and rows >= CHUNK and any(held[-1].column(k)[-1] != batch.column(k)[0] for k in keys):
             yield _taken(held)
             rows = 0
@@ -107,7 +110,7 @@ def _taken(held: list[pa.RecordBatch]) -> pa.Table:
     return out
 
 
-def _begins(rows: pa.RecordBatch | pa.Table, keys: Sequence[str]) -> np.ndarray:
+def begins(rows: pa.RecordBatch | pa.Table, keys: Sequence[str]) -> np.ndarray:
     """Whether a row is the first one of its graph."""
     new = np.zeros(rows.num_rows, bool)
     new[0] = True
@@ -121,7 +124,7 @@ class Whole:
     """Whole graphs as one: ``n`` nodes, numbered by graph and id, with edges from ``src`` to ``dst`` and what else the rows have."""
 
     def __init__(self, table: pa.Table, keys: Sequence[str]) -> None:
-        new = _begins(table, keys)
+        new = begins(table, keys)
         first = pa.array(np.flatnonzero(new))
         self._names = {k: table.column(k).take(first) for k in keys}
         code = np.cumsum(new) - 1

@@ -45,6 +45,19 @@ def _fold(known: Column) -> Column:
     return F.when(value.isNotNull(), F.struct(F.get("defs", F.lit(0)).alias("variable"), value.alias("value")))
 
 
+def _fold_row(instr: dict, known: dict) -> tuple[str, int] | None:
+    """The same of one instruction."""
+    name, value = instr["name"], instr["value"]
+    read = known.get(instr["uses"][0]) if instr["uses"] else None
+    if name == "view":
+        out = None if value is None else value % 5
+    elif name == "click":
+        out = None if read is None else (read + 1) % 7  # what is read is not negative
+    else:
+        out = read if name == "signup" else None
+    return None if out is None else (instr["defs"][0], out)
+
+
 @query(_SCCP)
 def sccp(spark, d):
     """Constants of all programs' SSA values, with folding, and the executable edges."""
@@ -55,7 +68,7 @@ def sccp(spark, d):
     uses, operands = dataflow.ssa_uses(ins, defs, dom), dataflow.phi_operands(g, phis, defs, dom)
     can = F.col("name").isin("view", "click", "signup")
     reached = dom.select("graph_id", F.col("node_id").alias("block")).distinct()
-    values, edges = conditional.sccp(g, ins, defs, uses, operands, _fold, can, reached=reached)
+    values, edges = conditional.sccp(g, ins, defs, uses, operands, _fold, can, reached=reached, fold_row=_fold_row)
     null = lambda t: F.lit(None).cast(t)
     return values.select("graph_id", "variable", "version", "state", "value", null("bigint").alias("src"), null("bigint").alias("dst")).unionByName(
         edges.select("graph_id", null("string").alias("variable"), null("bigint").alias("version"), F.lit("EDGE").alias("state"), null("bigint").alias("value"), "src", "dst")

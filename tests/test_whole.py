@@ -9,7 +9,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from arcstep.operators import components, dominance, frames, traverse, whole
+from arcstep.operators import components, dataflow, dominance, frames, sccp, traverse, whole
 from tests.test_graph import FIXED, build, random_graphs
 
 
@@ -120,3 +120,34 @@ def test_least_labels_take_several_steps_a_round(spark, monkeypatch):
     want |= {i: 5 * i for i in range(9)} | {9 + i: 4 + 5 * i for i in range(9)}
     assert got == want
     assert len(written) <= 8
+
+
+def test_conditional_constants_without_rounds(spark, g, monkeypatch):
+    rng = random.Random(8)
+    lines = [
+        (r["graph_id"], r["node_id"], i, [rng.choice("abc")] if op != "load" else [], [rng.choice("abc")], op, rng.randrange(2))
+        for r in sorted(g.nodes.collect()) for i, op in enumerate(rng.choices(["load", "add", "add", "call"], k=rng.randrange(4)))
+    ]
+    ins = spark.createDataFrame(lines, "graph_id string, block long, idx long, uses array<string>, defs array<string>, op string, value long")
+
+    def fold(known):
+        value = F.when(F.col("op") == "load", F.col("value")).when(F.col("op") == "add", known[F.get("uses", F.lit(0))] % 2 + F.col("value"))
+        return F.when(value.isNotNull(), F.struct(F.col("defs")[0].alias("variable"), value.alias("value")))
+
+    def fold_row(instr, known):
+        read = 0 if instr["op"] == "load" else known.get(instr["uses"][0])
+        return None if read is None or instr["op"] == "call" else (instr["defs"][0], read % 2 + instr["value"])
+
+    dom = dominance.dominators(g)
+    phis = frames.checkpoint(dataflow.place_phis(g, ins, dom))
+    defs = frames.checkpoint(dataflow.ssa_definitions(ins, phis, dom))
+    uses, operands = frames.checkpoint(dataflow.ssa_uses(ins, defs, dom)), frames.checkpoint(dataflow.phi_operands(g, phis, defs, dom))
+    reached = dom.select("graph_id", F.col("node_id").alias("block")).distinct()
+    solve = lambda **how: [rows(df) for df in sccp.sccp(g, ins, defs, uses, operands, fold, F.col("op") != "call", reached=reached, **how)]
+    by_rounds = solve()
+    assert {r[1] for r in by_rounds[0]} == {"BOTTOM", "CONST"}
+    monkeypatch.setattr(sccp, "MAX_SITES", 14)
+    assert solve(fold_row=fold_row) == by_rounds
+    monkeypatch.setattr(sccp, "MAX_SITES", 1000)
+    monkeypatch.setattr(sccp, "_settled", None)  # which all rounds need
+    assert solve(fold_row=fold_row) == by_rounds
